@@ -93,7 +93,7 @@ class Batch:
         return self.owner[:n] == self.owner[length - 1 :][:n]
 
 
-def slices(texts: list[bytes], limit: int = 4 << 20):
+def slices(texts: list[bytes], limit: int = 1 << 20):
     """Ranges of texts with about ``limit`` bytes, at least one text each."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -35,7 +35,7 @@ WINDOW, NGRAM, SUB = 50, 12, 25
 SKETCH_BITS, BLOCK_BITS, ROWS = 27, 20, 2
 _SALTS = (0x8F14E45FCEEA167A, 0x1B873593CC9E2D51)
 #: Names, and candidate windows, that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 500_000
 NULL_ID = (1 << 63) - 1
 
 _CANDIDATES = "slot long, h2 int, known boolean, doc long, first long, n int, total long"
