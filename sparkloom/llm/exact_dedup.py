@@ -28,7 +28,7 @@ from sparkloom.runtime import cut
 from .common import lower_ascii, pick, text_or_empty
 
 #: Digests that a filter's bucket holds, about.
-BUCKET_KEYS = 20_000
+BUCKET_KEYS = 2_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:

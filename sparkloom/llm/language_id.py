@@ -38,13 +38,17 @@ def letters(text: str | None) -> str:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY) -> Model:
     """Per-language dictionaries; the driver gets at most ``texts`` texts a language, cut to ``size`` characters together."""
-    rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[lang_col].alias("lang"), df[text_col].alias("text"), F.xxhash64(df[id_col].cast("string")).alias("h"), F.length(df[text_col]).alias("n"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.where("n > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    sample = sample.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size)
+    rows = df.where(df[lang_col].isNotNull() & (F.length(df[text_col]) > 0)).select(df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), F.xxhash64(df[id_col].cast("string")).alias("h"))
+    # Narrow rows find each language's last hash; only the texts up to it are then read out.
+    order = Window.partitionBy("lang").orderBy("h")
+    first = rows.select("lang", "h", F.length("text").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = first.withColumn("before", before).where(F.col("before") < size).groupBy("lang").agg(F.max("h").alias("last")).collect()
+    if not last:
+        return ()
+    chosen = F.broadcast(df.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in last], "lang string, last long"))  # a row per language
     found: dict[str, list[str]] = {}
-    for r in sample.select("lang", "rank", F.expr(f"substring(text, 1, {size} - before)").alias("text")).orderBy("lang", "rank").toLocalIterator():
+    for r in rows.join(chosen, "lang").where("h <= last").orderBy("lang", "h", "text").toLocalIterator():
         found.setdefault(r["lang"], []).append(letters(r["text"]))
     return tuple((lang, " ".join(t).encode()[:size]) for lang, t in sorted(found.items()))
 
