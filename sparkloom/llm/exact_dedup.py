@@ -9,8 +9,8 @@ Texts are equal when identical after lower-casing A-Z. Of equal texts, the row w
    3-wise binary-fuse filter (8-bit fingerprints, about 9 bits a key). Distinct incoming digests meet the filter
    of their bucket: a negative is new for certain.
 4. Positives join the snapshot's digests exactly.
-5. Byte check: the texts of every digest with more than one row are grouped by (digest, text), again with map-side
-   sums. Should texts of one digest ever differ, their rows are split by text.
+5. Byte check: all texts are grouped by (digest, text), again with map-side sums. Should texts of one digest ever
+   differ, their rows are split by text.
 
 Defined cases: null text counts as empty; a group of null ids only keeps one row with null; rows that repeat both
 id and text count in group_size, and one of them is kept; empty tables give empty results.
@@ -152,10 +152,9 @@ def exact_dedup(df: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text
     only_old = snapshot.join(met.select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
     groups = cut(merged.unionByName(fresh).unionByName(only_old))
 
-    # Byte check of every group with more than one row.
-    repeated = groups.where("group_size > 1").select("digest")
-    texts = rows.select("doc", "norm", F.sha2("norm", 256).alias("digest")).join(repeated, "digest", "left_semi")
-    checked = cut(texts.groupBy("digest", "norm").agg(F.max("doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    # Byte check: equal texts meet map-side first, so each distinct text is shuffled once a task at most.
+    texts = rows.select("doc", "norm", F.sha2("norm", 256).alias("digest"))
+    checked = cut(texts.groupBy("digest", "norm").count().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
     once = Window.partitionBy("digest", "doc").orderBy(F.lit(0))
     numbered = digests.select("doc", "digest").withColumn("copy", F.row_number().over(once))
     split = checked.limit(1).count()
