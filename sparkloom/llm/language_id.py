@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of the training sample, for each language.
 TEXTS, DICTIONARY = 400, 96 << 10
-LEVEL, MARGIN = 6, 0.0
+LEVEL, MARGIN = 6, 0.005
 #: Where the two smallest sizes are closer than NARROW of the second, the text is compressed again at level FINE.
 NARROW, FINE = 0.04, 12
 _OTHER = regex.compile(r"[^\p{L}]+")
