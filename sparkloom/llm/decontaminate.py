@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .rolling import Batch, slices, window_hashes
 
 NGRAM, CHANCE, MIN_SCORE, SHARD_WORDS = 3, 1e-4, 0.6, 1_000_000
@@ -221,7 +222,7 @@ def _search(shared):
 
 def finder(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, chance: float = CHANCE, min_score: float = MIN_SCORE, shard_words: int = SHARD_WORDS):
     """A column function: text -> array of (item_id, score, start, end), words from start to before end."""
-    texts, columns = docs.select(docs[text_col].cast("string").alias("text")), []
+    texts, columns = small_batches(docs).select(docs[text_col].cast("string").alias("text")), []
     for items in _shards(benchmark, item_col, item_text_col, shard_words):
         counts, total, n = _word_counts(texts, items.vocabulary)
         shared = docs.sparkSession.sparkContext.broadcast((items, items.index(counts, total, ngram, chance, n), min_score))

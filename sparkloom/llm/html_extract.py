@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[\"'=])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
@@ -239,5 +241,5 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([extract(p) for p in pages.to_pylist()], pa.string())
 
-    rows = df.select(df[id_col], df[url_col], run(df[html_col].cast("string")).alias("text"))
+    rows = small_batches(df).select(df[id_col], df[url_col], run(df[html_col].cast("string")).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

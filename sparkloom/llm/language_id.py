@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of the training sample, for each language.
 TEXTS, DICTIONARY = 400, 96 << 10
 LEVEL, MARGIN = 6, 0.005
@@ -38,7 +40,7 @@ def letters(text: str | None) -> str:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY) -> Model:
     """Per-language dictionaries; the driver gets at most ``texts`` texts a language, cut to ``size`` characters together."""
-    rows = df.where(df[lang_col].isNotNull() & (F.length(df[text_col]) > 0)).select(df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), F.xxhash64(df[id_col].cast("string")).alias("h"))
+    rows = small_batches(df).where(df[lang_col].isNotNull() & (F.length(df[text_col]) > 0)).select(df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), F.xxhash64(df[id_col].cast("string")).alias("h"))
     # Narrow rows find each language's last hash; only the texts up to it are then read out.
     order = Window.partitionBy("lang").orderBy("h")
     first = rows.select("lang", "h", F.length("text").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
@@ -53,7 +55,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return tuple((lang, " ".join(t).encode()[:size]) for lang, t in sorted(found.items()))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _compressors(model: Model, level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for lang, content in model:
@@ -98,5 +100,5 @@ def held_out(id_col: Column) -> Column:
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, accepted."""
-    found = df.select(df[id_col], held_out(df[id_col]).alias("held_out"), classifier(model)(df[text_col].cast("string")).alias("found"))
+    found = small_batches(df).select(df[id_col], held_out(df[id_col]).alias("held_out"), classifier(model)(df[text_col].cast("string")).alias("found"))
     return found.select(id_col, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.accepted").alias("accepted"))

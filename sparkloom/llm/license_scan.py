@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 COVERAGE, SLACK = 0.8, 0.3
 
 #: Published license notices and permission texts.
@@ -155,4 +157,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def scan(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("license", "coverage", "start", "end"), r, strict=True)) for r in scanner.scan(t)] for t in texts.to_pylist()], kind)
 
-    return df.select(df[id_col], F.explode(scan(df[text_col].cast("string"))).alias("x")).select(id_col, "x.*")
+    return small_batches(df).select(df[id_col], F.explode(scan(df[text_col].cast("string"))).alias("x")).select(id_col, "x.*")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.runtime import cut
 
-from .common import with_small
+from .common import small_batches, with_small
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         found = [fingerprint(t or b"") for t in texts.cast(pa.large_binary()).to_pylist()]
         return pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
 
-    return df.select(df[id_col].cast("long").alias("doc"), of(df[text_col].cast("string")).alias("fp"))
+    return small_batches(df).select(df[id_col].cast("long").alias("doc"), of(df[text_col].cast("string")).alias("fp"))
 
 
 def _within(fps: np.ndarray, shift: int, same: np.ndarray, radius: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches
 from .rolling import SECOND_BASE, Batch, mix, slices, window_hashes
 
 WINDOW, NGRAM, SUB = 50, 12, 25
@@ -248,7 +248,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_words, n_removed, kept_sha256, kept_text (kept words joined by a space)."""
     if not 0 < ngram <= sub <= window:
         raise ValueError("0 < ngram <= sub <= window must hold")
-    docs = pick(df, doc=id_col, text=text_col).select(F.col("doc").cast("long"), F.col("text").cast("string"))
+    docs = pick(small_batches(df), doc=id_col, text=text_col).select(F.col("doc").cast("long"), F.col("text").cast("string"))
     found = repeated_windows(docs, window, sub, ngram, sketch_bits, min(block_bits, sketch_bits))
     runs = found.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "total")).alias("runs")).select(F.col("doc").alias("run_doc"), "runs")
     both = docs.join(runs, F.coalesce(docs["doc"], F.lit(NULL_ID)) == runs["run_doc"], "left").select("doc", "text", "runs")

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Pre-tokens whose counts a worker keeps before it starts its table anew.
 KEPT = 500_000
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
@@ -121,5 +123,5 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
         return pa.array([counter.count(t) if t else 0 for t in texts.to_pylist()], pa.int64())
 
     text = df[text_col].cast("string")
-    rows = df.select(df[id_col], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
+    rows = small_batches(df).select(df[id_col], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
