@@ -20,7 +20,9 @@ from .common import pick, text_or_empty
 
 #: Fixed by the contract; (kind, pattern, minimal length of the group that counts, that group).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
+#: The contract's ``AKIA[A-Z0-9]+`` of 18 characters or more and ``[0-9a-f]+`` of 16 or more. Both patterns take whole runs, so
+#: asking for the length in the pattern finds the same matches without a row for every short run of prose.
+ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
