@@ -41,8 +41,15 @@ class Counter:
     """Counts the tokens of texts under the vocabulary in a tokenizer's JSON file."""
 
     def __init__(self, spec: dict):
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
-        self.letters = _byte_letters()
+        numbers = {letter: b for b, letter in enumerate(_byte_letters())}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        for a, b in merges:
+            for symbol in (a, b, a + b):
+                numbers.setdefault(symbol, len(numbers))
+        self.width = len(numbers)
+        #: Rank of a pair of symbols, and the symbol that the merge of each rank makes.
+        self.ranks = {numbers[a] * self.width + numbers[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [numbers[a + b] for a, b in merges]
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.pattern, self.double = regex.compile(PATTERN), re.compile(r"\s ")
@@ -50,52 +57,61 @@ class Counter:
 
     def merged(self, piece: str) -> int:
         """Symbols that are left of one pre-token."""
-        symbols: list[str | None] = [self.letters[b] for b in piece.encode()]
+        symbols = list(piece.encode())  # the first 256 symbols are the bytes
         n = left = len(symbols)
-        if n < 2:
-            return n
-        ranks = self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get((a, b))) is not None]
+        rank_of, width, made = self.ranks.get, self.width, self.made
+        # The rank of the pair that starts at each symbol now, -1 for none; heap entries of other ranks are stale.
+        now = [rank_of(a * width + b, -1) for a, b in zip(symbols, symbols[1:])]
+        now.append(-1)
+        heap = [rank * n + i for i, rank in enumerate(now) if rank >= 0]
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            rank, i = divmod(heapq.heappop(heap), n)
+            if now[i] != rank:
                 continue
-            symbols[i], symbols[j] = a + b, None
+            j = after[i]
+            symbols[i] = symbol = made[rank]
             left -= 1
+            now[i] = now[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get((a + b, symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, symbols[k]))
-            if (p := before[i]) >= 0 and (r := ranks.get((symbols[p], a + b))) is not None:
-                heapq.heappush(heap, (r, p, symbols[p], a + b))
+                now[i] = rank = rank_of(symbol * width + symbols[k], -1)
+                if rank >= 0:
+                    heapq.heappush(heap, rank * n + i)
+            p = before[i]
+            if p >= 0:
+                now[p] = rank = rank_of(symbols[p] * width + symbol, -1)
+                if rank >= 0:
+                    heapq.heappush(heap, rank * n + p)
         return left
 
+    def _keep(self, piece: str, n: int) -> int:
+        if len(piece) <= 64:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[piece] = n
+        return n
+
     def _words(self, text: str) -> int:
-        return sum(map(self.merged, self.pattern.findall(text)))
+        """Tokens of a text's pre-tokens."""
+        pieces, kept = self.pattern.findall(text), self.kept
+        if len(pieces) == 1:
+            return self.merged(text)
+        return sum(n if (n := kept.get(piece)) is not None else self._keep(piece, self.merged(piece)) for piece in pieces)
 
     def _plain(self, text: str) -> int:
         if not text:
             return 0
-        kept = self.kept
         if self.double.search(text):
-            pieces = self.pattern.findall(text)
-        else:  # a single space always starts a pre-token
-            first, *rest = text.split(" ")
-            pieces = [first, *[f" {x}" for x in rest]]
-        total = 0
-        for piece in pieces:
+            return self._words(text)
+        # Else a single space always starts a pre-token.
+        first, *rest = text.split(" ")
+        kept, total = self.kept, 0
+        for piece in [first, *[f" {x}" for x in rest]]:
             n = kept.get(piece)
-            if n is None:
-                n = self._words(piece)
-                if len(piece) <= 64:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[piece] = n
-            total += n
+            total += n if n is not None else self._keep(piece, self._words(piece))
         return total
 
     def count(self, text: str) -> int:
