@@ -8,7 +8,7 @@ Equal fingerprints are merged first, with map-side minima. The 64 bits are cut i
 four bits agree on two whole parts at least, so each goes under its 15 pairs of parts. Rows under one key are
 compared bit-sliced: bit planes are packed 64 rows to a machine word, ``plane ^ (plane shifted by d)`` says for 64
 pairs at once whether they differ in that bit, a carry-save counter of bit planes adds it up, and words in which
-every pair is over the radius are abandoned. A key with more than ``TILE`` rows is split into tiles whose
+every pair is over the radius are abandoned. Pairs that earlier links under the key have joined are not compared again. A key with more than ``TILE`` rows is split into tiles whose
 pairs are compared by different tasks. What leaves a task is a spanning forest of the links that it found, never
 all pairs; components then come from a distributed star contraction.
 
@@ -39,6 +39,8 @@ PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 TILE = 8192
 #: Bits that are added before words are abandoned.
 STEP = 8
+#: Distances up to ALONE are compared one by one, as they join most; later ones together, about WORDS machine words.
+ALONE, WORDS = 16, 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -69,80 +71,127 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(df).select(df[id_col].cast("long").alias("doc"), of(df[text_col].cast("string")).alias("fp"))
 
 
-def _within(fps: np.ndarray, shift: int, same: np.ndarray, radius: int) -> np.ndarray:
-    """Rows i whose fingerprint is within ``radius`` of that of row i + shift; ``same``: rows that may be compared so."""
-    n = len(fps) - shift
-    words = -(-n // 64)
-    alive = np.zeros(words * 8, dtype=np.uint8)
-    bits = np.packbits(same[:n], bitorder="little")
-    alive[: len(bits)] = bits
-    alive = alive.view(np.uint64)
-    where = np.flatnonzero(alive)
-    alive = alive[where]
-    if not len(where):
-        return np.empty(0, dtype=np.int64)
-    # Vertical store: rows of the words that are still compared, as 64 planes of differing bits.
-    rows = (where[:, None] * 64 + np.arange(64)).ravel()
-    at = np.minimum(rows, n - 1)
-    differing = (fps[at] ^ fps[at + shift]).reshape(-1, 64)
-    ones, twos, fours = (np.zeros(len(where), dtype=np.uint64) for _ in range(3))
-    for bit in range(0, 64, STEP):
-        for b in range(bit, bit + STEP):
-            plane = np.packbits(((differing >> np.uint64(b)) & np.uint64(1)).astype(bool), axis=1, bitorder="little").view(np.uint64).ravel() & alive
-            carry = ones & plane
-            ones ^= plane
-            twos, carry = twos ^ carry, twos & carry
-            fours, carry = fours ^ carry, fours & carry
-            alive &= ~(carry | _over(ones, twos, fours, radius))
-        left = np.flatnonzero(alive)
-        if len(left) < len(where):
-            where, alive, ones, twos, fours, differing = (x[left] for x in (where, alive, ones, twos, fours, differing))
-        if not len(where):
-            return np.empty(0, dtype=np.int64)
-    found = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-    return (where[:, None] * 64 + np.arange(64))[found]
+class Planes:
+    """Fingerprints stored vertically: plane b holds bit b of 64 rows in each machine word."""
+
+    def __init__(self, fps: np.ndarray):
+        words = -(-len(fps) // 64)
+        bits = np.zeros((64, words * 64), dtype=np.uint8)
+        for b in range(64):
+            bits[b, : len(fps)] = (fps >> np.uint64(b)).astype(np.uint8) & np.uint8(1)
+        # Two empty words follow, so that every shifted read stays inside.
+        self.planes = np.zeros((64, words + 2), dtype=np.uint64)
+        self.planes[:, :words] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+    def within(self, pairs: list[tuple[int, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, i + shift) within ``radius``, of the pairs given as (shift, mask over i); many shifts go together."""
+        masks, words, shifts = [], [], []
+        for shift, mask in pairs:
+            packed = np.packbits(mask, bitorder="little")
+            packed = np.concatenate((packed, np.zeros(-len(packed) % 8, dtype=np.uint8))).view(np.uint64)
+            used = np.flatnonzero(packed)
+            masks.append(packed[used])
+            words.append(used)
+            shifts.append(np.full(len(used), shift))
+        alive, where, shift = np.concatenate(masks), np.concatenate(words), np.concatenate(shifts)
+        ones, twos, fours = (np.zeros(len(where), dtype=np.uint64) for _ in range(3))
+        for bit in range(0, 64, STEP):
+            if not len(where):
+                break
+            step, end = self.planes[bit : bit + STEP], self.planes.shape[1] - 1
+            at, part = where + shift // 64, (shift % 64).astype(np.uint64)
+            # A shift by 64 gives zero.
+            moved = step[:, np.minimum(at, end)] >> part | step[:, np.minimum(at + 1, end)] << (np.uint64(64) - part)
+            for plane in (step[:, where] ^ moved) & alive:
+                carry = ones & plane
+                ones = ones ^ plane
+                twos, carry = twos ^ carry, twos & carry
+                fours, carry = fours ^ carry, fours & carry
+                alive = alive & ~(carry | _over(ones, twos, fours, radius))
+            left = np.flatnonzero(alive)
+            if len(left) < len(where):
+                where, shift, alive, ones, twos, fours = (x[left] for x in (where, shift, alive, ones, twos, fours))
+        found = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        first = where[:, None] * 64 + np.arange(64)
+        return first[found], (first + shift[:, None])[found]
 
 
 def _over(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
     """Pairs whose three-bit count is over the radius (at most 7)."""
+    if radius == 4:
+        return fours & (ones | twos)
     out = np.zeros_like(ones)
     for value in range(radius + 1, 8):
         out |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join sets not joined before."""
+def compare(fps: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of the links among rows of one run; the rows of a run are neighbours.
+
+    Pairs are taken by their distance in the run, near ones first. A pair whose rows are joined already needs no
+    comparison, as only its component matters: a group of near copies closes after a few distances.
+    """
+    a, b, shift = [], [], 1
+    while len(fps):
+        # Rows of runs that are too short for this distance, or all joined, leave; done whenever the distance doubles.
+        starts = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+        counts = np.diff(np.append(starts, len(runs)))
+        if shift > 1:
+            lowest, highest = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
+            stay = np.repeat((counts > shift) & (lowest < highest), counts)
+        else:
+            stay = np.repeat(counts > shift, counts)
+        fps, runs = fps[stay], runs[stay]
+        if shift == 1:
+            label = np.arange(len(fps))
+        else:
+            # A label is the least row of its component, which leaves or stays with the whole run.
+            label = (np.cumsum(stay) - 1)[label[stay]]
+        if not len(fps):
+            break
+        planes, last = Planes(fps), 2 * shift
+        together = 1 if shift < ALONE else max(1, WORDS * 64 // len(fps))
+        while shift < min(last, len(fps)):
+            pairs = []
+            for d in range(shift, min(shift + together, last, len(fps))):
+                may = (runs[d:] == runs[:-d]) & (label[d:] != label[:-d])
+                if may.any():
+                    pairs.append((d, may))
+            if pairs:
+                found, other = planes.within(pairs, radius)
+                joined = _join(label, found, other)
+                a.append(fps[found[joined]])
+                b.append(fps[other[joined]])
+            shift += together
+        if shift < last:
+            break
+        shift = last
+    none = np.empty(0, dtype=np.uint64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins rows a[i] and b[i] in ``label`` (the least row of each component), and returns the i that joined two components."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
         return x
 
     kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
         p, q = root(x), root(y)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
-
-
-def compare(fps: np.ndarray, keys: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key; rows come in order of key."""
-    n, shift, a, b = len(fps), 1, [], []
-    same = keys[1:] == keys[:-1]
-    run = np.flatnonzero(np.concatenate(([True], ~same)))
-    left = np.repeat(np.append(run[1:], n), np.diff(np.append(run, n))) - np.arange(n) - 1  # rows after this one under its key
-    while shift < n and (may := left >= shift).any():
-        found = _within(fps, shift, may, radius)
-        a.append(fps[found])
-        b.append(fps[found + shift])
-        shift += 1
-    none = np.empty(0, dtype=np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+            kept.append(i)
+    if parent:
+        new = np.arange(len(label))
+        for x in parent:
+            new[x] = root(x)
+        label[:] = new[label]
+    return np.array(kept, dtype=np.int64)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -162,27 +211,26 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         rows = tiles.select("key", "fp", "own", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
-        def out(keys, fps):
-            a, b = compare(fps, keys, radius)
-            pairs = _forest(a, b)
-            x = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+        def out(rows):
+            changes = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+            a, b = compare(rows[3].view(np.uint64), np.concatenate(([0], np.cumsum(changes))), radius)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
         size = 0
         for batch in batches:  # in order of (key, i, j)
-            k, i, j, f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            held.append(((k.astype(np.int64) << 20 | i.astype(np.int64)) << 20 | j.astype(np.int64), f.astype(np.int64).view(np.uint64)))
-            size += len(f)
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            size += batch.num_rows
             if size >= 1 << 17:
-                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-                cutoff = int(np.searchsorted(keys, keys[-1])) if keys[0] != keys[-1] else 0
+                rows = np.concatenate(held, axis=1)
+                same = (rows[:3] == rows[:3, -1:]).all(axis=0)
+                cutoff = size - int(same.sum())  # the last run may go on in the next batch
                 if cutoff:
-                    yield out(keys[:cutoff], fps[:cutoff])
-                held, size = [(keys[cutoff:], fps[cutoff:])], len(keys) - cutoff
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield out(rows[:, :cutoff])
+                held, size = [rows[:, cutoff:]], size - cutoff
+        if size:
+            yield out(np.concatenate(held, axis=1))
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     return dealt.mapInArrow(run, "a long, b long")
