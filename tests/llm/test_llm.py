@@ -324,6 +324,27 @@ def test_links_are_brute_force(spark, tile):
     assert roots == {n: r for n, r in brute_components(signed, linked).items() if n in {x for p in linked for x in p}}
 
 
+def test_compare_is_brute_force_on_long_runs():
+    rng = random.Random(9)
+    for _ in range(40):
+        fps, runs = [], []
+        for run in range(rng.randrange(1, 6)):
+            at, flips, found = rng.getrandbits(64), rng.choice([1, 2, 4, 8]), set()
+            for _ in range(rng.choice([1, 2, 5, 64, 65, 130, 200])):
+                f = at
+                for _ in range(rng.randrange(flips + 1)):
+                    f ^= 1 << rng.randrange(64)
+                found.add(f)
+                at = rng.getrandbits(64) if rng.random() < 0.2 else at
+            fps += sorted(found)
+            runs += [run] * len(found)
+        a, b = simhash.compare(np.array(fps, dtype=np.uint64), np.array(runs))
+        pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert all((x ^ y).bit_count() <= 4 for x, y in pairs)
+        linked = [(fps[i], fps[j]) for i in range(len(fps)) for j in range(i) if runs[i] == runs[j] and (fps[i] ^ fps[j]).bit_count() <= 4]
+        assert brute_components(set(fps), pairs) == brute_components(set(fps), linked)
+
+
 def test_simhash_documents(spark, documents):
     texts = [r.text for r in documents.orderBy("doc_id").select("text").collect()] + [None, "", " \n", "One two", "one TWO", "a b c d e"]
     rows = {r["doc_id"]: r for r in simhash.simhash_dedup(frame(spark, texts)).collect()}
