@@ -3,12 +3,14 @@
 Training takes, for each language, whole texts in hash order of their ids until ``DICTIONARY`` bytes are full, from at
 most ``TEXTS`` texts, and makes them a raw-content Zstandard dictionary. A text goes to the language whose dictionary
 compresses it to the fewest bytes. Letters alone are compared: text is lower-cased and everything else is one space.
+Text is compressed in pieces of ``PIECE`` bytes, each against the dictionary afresh, and sizes are summed over all pieces:
+a dictionary saves a bounded number of bytes in one run, so the saved part of a long text compressed at once goes to zero.
 
 ``score`` is the saved part, (second - first) / second of the two smallest sizes. Where it is narrow, sizes are taken
 again at a finer level. A text is rejected when it has no letter, and when it stays below ``MARGIN``; ties always are.
 
 Defined cases: null text and text without letters give ``und`` with score zero; equal sizes go to the first language
-in code-point order; without any training row every text is ``und``; very long texts are compressed whole.
+in code-point order; without any training row every text is ``und``; all pieces of very long texts are compressed.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import small_batches
 #: Bounds of the training sample, for each language.
 TEXTS, DICTIONARY = 400, 96 << 10
 LEVEL, MARGIN = 6, 0.005
+#: Bytes of a text that are compressed together.
+PIECE = 16 << 10
 #: Where the two smallest sizes are closer than NARROW of the second, the text is compressed again at level FINE.
 NARROW, FINE = 0.04, 12
 _OTHER = regex.compile(r"[^\p{L}]+")
@@ -71,8 +75,9 @@ def predict(text: str | None, model: Model, level: int = LEVEL, margin: float =
     if not plain or not model:
         return UNKNOWN, 0.0, False
     data = f" {plain} ".encode()
+    pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
     for at in (level, FINE):
-        sizes = sorted((len(c.compress(data)), lang) for lang, c in _compressors(model, at))
+        sizes = sorted((sum(len(c.compress(x)) for x in pieces), lang) for lang, c in _compressors(model, at))
         first, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else 2 * sizes[0][0]
         score = (second - first) / second
         if score >= NARROW:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, queries, rolling, secret_scan, simhash, substring_dedup, token_count
 from sparkloom.llm.components import components
@@ -423,6 +424,25 @@ def test_language_id_odd_texts(spark):
     assert language_id.train(df.limit(0)) == ()
 
 
+def test_language_id_margin_does_not_fall_with_length(spark, medium):
+    """Clean text of several million characters, from rows that training never sees, is accepted as its parts are."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    held = language_id.held_out(docs["doc_id"])
+    model = language_id.train(docs.where(~held))
+    rng = random.Random(9)
+    for lang in ("en", "de"):
+        parts = [r["text"] for r in docs.where(held & (docs["lang"] == lang) & (F.length("text") > 200)).orderBy("doc_id").collect()]
+        texts = []
+        while sum(map(len, texts)) < 4_000_000:
+            texts += [" ".join(rng.sample(w, len(w))) for w in map(str.split, parts)]
+        scores = []
+        for n in (50_000, 4_000_000):
+            found, score, accepted = language_id.predict(" ".join(texts)[:n], model)
+            assert (found, accepted) == (lang, True)
+            scores.append(score)
+        assert scores[1] > 0.5 * scores[0]
+
+
 # --- 10: licenses
 
 
