@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, exact_dedup, language_id, mixing, simhash
-from sparkloom.llm.common import keep_rows
+from sparkloom.llm.common import keep_rows, lower_ascii, text_or_empty
 from sparkloom.llm.queries import first_half
 from sparkloom.runtime import cut, ensure_checkpoint_dir, table
 
@@ -23,14 +23,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs, first_half()).where("kept").select("doc_id")
-    return keep_rows(docs, cut(kept), "doc_id")
+    kept = exact_dedup.exact_dedup(docs, first_half()).where("kept").select("doc_id", "text_sha256")
+    return keep_rows(docs, cut(kept), "doc_id", F.sha2(lower_ascii(text_or_empty(docs["text"])), 256))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    kept = simhash.simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return keep_rows(docs, cut(kept), "doc_id")
+    """The document with the smallest id of each SimHash component; of several with that id, the smallest digest."""
+    return keep_rows(docs, cut(simhash.one_each(docs)), "doc_id", F.sha2(text_or_empty(docs["text"]), 256))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,12 @@ def with_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (null matches null), with repeated rows merged."""
-    ids = kept.select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__kept_id"]), "left_semi").dropDuplicates([id_col, "text"])
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """One row of ``docs`` for each (id, text_sha256) of ``kept``; ``digest`` gives a row's own.
+
+    An id alone doesn't name a row where ids are null or repeat: a dropped row would come back with a kept one of its id.
+    Both are fields of one struct, in which null equals null; rows that repeat both are merged.
+    """
+    keys = kept.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col("text_sha256").alias("digest")).alias("__kept"))
+    rows = docs.withColumn("__row", F.struct(docs[id_col].cast("long").alias("id"), digest.alias("digest")))
+    return rows.join(keys, rows["__row"] == keys["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -24,12 +24,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.runtime import cut
 
-from .common import small_batches, with_small
+from .common import small_batches, text_or_empty, with_small
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -60,15 +60,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, fp): one row per input row."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """(doc, fp) and what ``more`` names: one row per input row."""
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         found = [fingerprint(t or b"") for t in texts.cast(pa.large_binary()).to_pylist()]
         return pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
 
-    return small_batches(df).select(df[id_col].cast("long").alias("doc"), of(df[text_col].cast("string")).alias("fp"))
+    return small_batches(df).select(df[id_col].cast("long").alias("doc"), of(df[text_col].cast("string")).alias("fp"), *[c.alias(name) for name, c in more.items()])
 
 
 class Planes:
@@ -236,12 +236,26 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the root of their component."""
+    roots = cut(components(links(nodes)))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per component: id and text_sha256 of the row that stays, which has the smallest id (null last), then digest."""
+    docs = fingerprints(df, id_col, text_col, digest=F.sha2(text_or_empty(df[text_col]), 256))
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")
+    nodes = cut(docs.groupBy("fp").agg(F.min(first).alias("first")))
+    least = _placed(nodes).groupBy("root").agg(F.min("first").alias("first"))
+    return least.select(F.col("first.doc").alias(id_col), F.col("first.digest").alias("text_sha256"))
+
+
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     docs = cut(fingerprints(df, id_col, text_col))
     nodes = cut(docs.groupBy("fp").agg(F.min("doc").alias("least")))
-    roots = cut(components(links(nodes)))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(nodes)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(placed.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return docs.join(named, "fp").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import corpus_pipeline
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -474,3 +475,52 @@ def test_license_scan_loses_no_window(spark, medium):
             slack = int(len(w) * license_scan.SLACK) + 1
             hit = any(len(license_scan.patience(w, doc[max(0, p - slack) : p + len(w) + slack])) >= scanner.needed[name] for p in range(len(doc)))
             assert hit == ((r["doc_id"], name) in found)
+
+
+# --- the pipeline
+
+
+def brute_exact(rows):
+    """(id, text) that exact_stage keeps, texts normalised."""
+    best = {}
+    for d, t in rows:
+        key = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        best[key] = max(best.get(key, -1), -1 if d is None else d)
+    return collections.Counter((None if d < 0 else d, t) for t, d in best.items())
+
+
+def brute_near(rows):
+    """(id, text) that near_stage keeps."""
+    fps = [brute_fingerprint(t) for _, t in rows]
+    linked = {(a, b) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= simhash.RADIUS}
+    named = brute_components(sorted(set(fps)), linked)
+    best = {}
+    for (d, t), fp in zip(rows, fps, strict=True):
+        row = (d is None, d or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "")
+        best[named[fp]] = min(best.get(named[fp], row), row)
+    return collections.Counter((None if none else d, t) for none, d, _, t in best.values())
+
+
+def crowd(rng):
+    """Rows with null and repeated ids: own texts, equal texts in other case, near copies and empty texts."""
+    rows = []
+    for k in range(30):
+        body = prose(rng, 150, 4000)
+        near = body.replace(body.split()[70], "other", 1)
+        ids = [rng.choice([None, rng.randrange(12), 100 + 10 * k + n]) for n in range(4)]
+        rows += [(ids[0], body), (ids[1], body.upper()), (ids[2], near), (ids[3], body)]
+    return rows + [(None, "one text"), (None, "one text"), (None, "another"), (7, "seven"), (7, "also seven"), (9, "Seven"), (7, None), (None, ""), (3, "")]
+
+
+def test_dedup_stages_keep_rows_not_ids(spark):
+    rows = crowd(random.Random(12))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, k, "x", "y", 1) for k, (d, t) in enumerate(rows)], SCHEMA + ", fp long, keep_id string, kept string, root long")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    assert exact.columns == docs.columns
+    assert collections.Counter((r["doc_id"], lower(r["text"])) for r in exact.collect()) == brute_exact(rows)
+    near = corpus_pipeline.near_stage(spark, docs, "")
+    assert near.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"] or "") for r in near.collect()) == brute_near(rows)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        assert stage(spark, docs.limit(0), "").count() == 0
