@@ -524,3 +524,52 @@ def test_dedup_stages_keep_rows_not_ids(spark):
     assert collections.Counter((r["doc_id"], r["text"] or "") for r in near.collect()) == brute_near(rows)
     for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_stages_and_run(spark, tmp_path):
+    """Each stage and run() keep what plain Python keeps; the tables have null and repeated ids and other columns."""
+    rng = random.Random(13)
+    vocabulary = {"en": "the of and to in is that for was with house river green table morning".split(), "fr": "le la les des et dans une est pour avec maison vert table matin fleuve".split()}
+    item = prose(rng, 40, 3000)
+    rows = []
+    for k, (d, t) in enumerate(crowd(rng)):
+        lang = ("en", "fr")[k % 2]
+        own = " ".join(rng.choice(vocabulary[lang]) for _ in range(40))
+        rows.append((d, t and f"{t} {item}" if k % 7 == 3 else t, lang))
+        rows.append((500 + k, own, lang))
+    rows += [(900, "123 456 !!", "en"), (901, None, None)]
+    kind = SCHEMA + ", h long, rank int, found string, fp long, size long, taken long"
+    docs = spark.createDataFrame([(d, t, lang, f"s{zlib.crc32((t or '').lower().encode()) % 2}", 0, k, 1, "x", 2, 3, 4) for k, (d, t, lang) in enumerate(rows)], kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, sf_dir = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "exact_dedup", "simhash_dedup", "decontamination", "mixing"]
+
+    def kept(df):
+        assert df.columns[: len(docs.columns)] == docs.columns
+        return collections.Counter((r["doc_id"], (r["text"] or "").lower()) for r in df.collect())
+
+    model = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])))
+    told = [(d, t) for d, t, _ in rows if language_id.predict(t, model)[2]]
+    assert 0 < len(told) < len(rows) and kept(stages["language_id"](spark, docs, sf_dir)) == collections.Counter((d, t.lower()) for d, t in told)
+    clean = [(d, t) for d, t, _ in rows if item not in (t or "")]
+    assert 0 < len(clean) < len(rows) and kept(stages["decontamination"](spark, docs, sf_dir)) == collections.Counter((d, (t or "").lower()) for d, t in clean)
+    mixed = stages["mixing"](spark, docs, sf_dir)
+    assert sum(kept(mixed).values()) == sum(r["mix_taken"] > 0 for r in mixing.mix(docs, keep=True).collect()) and kept(mixed) <= kept(docs)
+
+    # Of equal texts in other case with one id, either may stay; SimHash and the later stages read lower case alike.
+    exact = list(brute_exact(told).elements())
+    near = list(brute_near(exact).elements())
+    last = collections.Counter((d, t) for d, t in near if item not in t)
+    four = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, four, sf_dir).write.parquet(str(tmp_path / name))
+        four = spark.read.parquet(str(tmp_path / name))
+    assert kept(four) == last
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == mixed.columns and 0 < sum(kept(out).values())
+    assert kept(out) == kept(stages["mixing"](spark, four, sf_dir))
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
