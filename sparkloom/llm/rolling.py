@@ -1,20 +1,26 @@
-"""Vectorised word and window hashes over whole Arrow batches.
+"""Vectorised word identities and window hashes over whole Arrow batches.
 
-A word's hash is a polynomial over its bytes modulo 2**64, and a window's hash a polynomial over the mixed
-hashes of its words; both come from running sums, so that cost does not depend on the window's length.
+A word of up to 15 bytes is its own bytes and length, 16 bytes in all, and a longer one its 120-bit BLAKE2b digest. A keyed
+three-round Feistel network, which is a bijection, spreads these 128 bits over two lanes of 64: different words of up
+to 15 bytes never have the same two lanes, and longer ones only if BLAKE2b collides. A window's hash is a polynomial over one
+lane of its words, from running sums, so that its cost does not depend on the window's length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-#: Bytes that are hashed at once; a longer word makes a longer piece.
-PIECE = 1 << 20
+WORD_BASE, SECOND_BASE = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Round keys of word identities where a caller gives none.
+KEYS = (0x9E3779B97F4A7C15, 0x8F14E45FCEEA167A, 0x1B873593CC9E2D51)
+#: Bytes that a word holds beside its length.
+SHORT = 15
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=8)
@@ -49,19 +55,22 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        power, inverse = powers(BYTE_BASE, hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=total[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = (total[e] - total[s]) * inverse[s]
-        at = to
-    return mix(out)
+def word_lanes(data: bytes, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, int, int] = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """The two lanes of each word of ``data``."""
+    padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(data) + 9,), strides=(1,), writeable=False)
+    size = ends - starts
+    low = eight[starts] & _LOW[np.minimum(size, 8)]
+    high = eight[starts + 8] & _LOW[np.clip(size - 8, 0, SHORT - 8)]
+    high |= np.minimum(size, SHORT + 1).astype(np.uint64) << np.uint64(56)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        d = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=SHORT).digest()
+        low[k], high[k] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | (SHORT + 1) << 56
+    a, b, c = map(np.uint64, keys)
+    low ^= mix(high ^ a)
+    high ^= mix(low ^ b)
+    low ^= mix(high ^ c)
+    return low, high
 
 
 def window_hashes(words: np.ndarray, length: int, base: int = WORD_BASE) -> np.ndarray:
@@ -76,15 +85,15 @@ def window_hashes(words: np.ndarray, length: int, base: int = WORD_BASE) -> np.n
 
 
 class Batch:
-    """The words of several texts: ``hashes`` of all words, and ``first[i]:first[i+1]`` those of text i."""
+    """The words of several texts: ``hashes`` and ``second`` are the lanes of all words, ``first[i]:first[i+1]`` those of text i."""
 
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    def __init__(self, texts: list[bytes], keys: tuple[int, int, int] = KEYS):
+        data = b"\n".join(texts)
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        self.starts, self.ends = word_bounds(self.data)
-        self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        starts, ends = word_bounds(np.frombuffer(data, dtype=np.uint8))
+        self.first = np.searchsorted(starts, offsets)
+        self.hashes, self.second = word_lanes(data, starts, ends, keys)
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def inside(self, length: int) -> np.ndarray:

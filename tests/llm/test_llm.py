@@ -60,43 +60,74 @@ def brute_substring(docs, window=50):
     return out
 
 
-@pytest.mark.parametrize("bits", [20, 9])
-def test_substring_dedup_is_brute_force(spark, bits):
-    """Also with a sketch so small that nearly every cell is shared."""
+def substring(df, **options):
+    return {r[0]: (r[1], r[2], r[3]) for r in substring_dedup.substring_dedup(df, **options).drop("kept_text").collect()}
+
+
+#: Sketch sizes: one block, many blocks sent to all, many joined by block, and cells so few that nearly all names pass.
+SKETCHES = [{}, {"cell_bits": 10, "block_names": 50}, {"cell_bits": 10, "block_names": 50, "sent": 0}, {"cell_bits": 4, "block_names": 500, "sent": 0}]
+
+
+@pytest.mark.parametrize("options", SKETCHES)
+def test_substring_dedup_is_brute_force(spark, options, monkeypatch):
     rng = random.Random(1)
     passage, other = prose(rng, 70), prose(rng, 50)
     docs = [(100 - k, f"{prose(rng, rng.randrange(90))} {passage if k % 3 else other}\n{prose(rng, 30)}") for k in range(40)]
     docs += [(200, docs[3][1]), (201, "x y " * 120), (202, "x y " * 90), (203, None), (204, ""), (205, " \t\n"), (206, passage), (207, "é ü " * 60 + passage)]
+    docs += [(208, f"{'long' * 9} " * 60), (209, f"{'long' * 9} " * 20 + f"{'long' * 8}lonk " + f"{'long' * 9} " * 55)]
     df = frame(spark, [t for _, t in docs], [d for d, _ in docs])
-    found = {r[0]: (r[1], r[2], r[3]) for r in substring_dedup.substring_dedup(df.repartition(7), sketch_bits=bits, block_bits=8).drop("kept_text").collect()}
-    assert found == brute_substring(docs)
-    one = {r[0]: (r[1], r[2], r[3]) for r in substring_dedup.substring_dedup(df.coalesce(1), sketch_bits=bits, block_bits=8).drop("kept_text").collect()}
-    assert one == found
+    monkeypatch.setattr(substring_dedup, "HEAVY", 20)
+    assert substring(df.repartition(7), **options) == brute_substring(docs)
+    monkeypatch.setattr(substring_dedup, "HELD", 30)
+    assert substring(df.coalesce(1), **options) == brute_substring(docs)
 
 
 def test_substring_dedup_of_sample_documents(spark, documents):
     rows = documents.select("doc_id", "text").collect()
-    found = {r[0]: (r[1], r[2], r[3]) for r in substring_dedup.substring_dedup(documents).drop("kept_text").collect()}
-    assert found == brute_substring([(r[0], r[1]) for r in rows])
+    assert substring(documents) == brute_substring([(r[0], r[1]) for r in rows])
+
+
+def test_substring_dedup_tells_like_words_apart(spark):
+    """The two words collide under every polynomial hash modulo 2**64: Thue-Morse and its complement."""
+    bits = [k.bit_count() & 1 for k in range(1024)]
+    one, two = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    around = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*around[:30], w, *around[30:49]]) for w in (one, two, one)]
+    assert [substring(frame(spark, texts))[k][1] for k in range(3)] == [0, 0, 50]
+    words = [b"a" * n + tail for n in range(1, 40) for tail in (b"", b"\0", b"\0\0", b"b")]
+    batch = rolling.Batch([b" ".join(words)])
+    assert len(set(zip(batch.hashes.tolist(), batch.second.tolist(), strict=True))) == len(set(words))
 
 
-def test_substring_dedup_odd_tables(spark):
+@pytest.mark.parametrize("options", SKETCHES)
+def test_substring_dedup_odd_tables(spark, options):
     text = " ".join(f"a{k}" for k in range(60))
-    df = spark.createDataFrame([(None, text, 1, "q"), (1, text, 2, "q"), (1, text, 2, "q"), (1, "short", 3, "q")], "doc_id long, text string, n int, slot string")
-    rows = sorted(substring_dedup.substring_dedup(df, sketch_bits=10, block_bits=8).collect(), key=lambda r: (r[0] is None, r[1]))
-    assert [(r[0], r[1], r[2]) for r in rows] == [(1, 1, 0), (1, 60, 0), (1, 60, 0), (None, 60, 60)]
-    assert substring_dedup.substring_dedup(df.limit(0), sketch_bits=10, block_bits=8).count() == 0
+    df = spark.createDataFrame([(None, text, 1, "q"), (1, text, 2, "q"), (1, text, 2, "q"), (1, "short", 3, "q"), (None, None, 3, "q")], "doc_id long, text string, n int, slot string").selectExpr("*", "1 AS id", "2 AS doc", "'x' AS tag", "'y' AS names", "3 AS runs")
+    rows = sorted(substring_dedup.substring_dedup(df, **options).collect(), key=lambda r: (r[0] is None, r[1]))
+    assert [(r[0], r[1], r[2]) for r in rows] == [(1, 1, 0), (1, 60, 0), (1, 60, 0), (None, 0, 0), (None, 60, 60)]
+    assert substring_dedup.substring_dedup(df.limit(0), **options).count() == 0
+
+
+def test_sketch_passes_few_names_at_any_size(spark):
+    """Names that occur once pass by chance at under 5 % however many there are; names that occur twice all pass."""
+    for count in (3_000, 60_000):
+        df = spark.range(count).selectExpr("xxhash64(id) AS name")
+        df = df.unionByName(df.where("name % 10 = 0"))
+        twice = {r[0] for r in df.groupBy("name").count().where("count > 1").collect()}
+        bits, blocks = 12, -(-df.count() // (1 << 10))
+        passing = substring_dedup.sent_sketch(substring_dedup.sketch(df, blocks, bits), blocks, bits)
+        names = np.array([r[0] for r in df.distinct().collect()])
+        found = set(names[passing(names.view(np.uint64))].tolist())
+        assert twice <= found and len(found - twice) < 0.06 * count
+        few = substring_dedup.sent_sketch(substring_dedup.sketch(df, 1, 8), 1, 8)
+        assert few(names.view(np.uint64)).mean() > 0.9
 
 
 def test_rolling_hashes_do_not_depend_on_place():
     a = rolling.Batch([b"one two three", b"", b"zero one two three four"])
     h = rolling.window_hashes(a.hashes, 3)
     assert h[0] == h[4] and a.first.tolist() == [0, 3, 3, 8]
-    old, rolling.PIECE = rolling.PIECE, 4
-    try:
-        assert (rolling.Batch([b"one two three", b"", b"zero one two three four"]).hashes == a.hashes).all()
-    finally:
-        rolling.PIECE = old
+    assert (rolling.Batch([b"x two", b"three"]).hashes[1:] == a.hashes[1:3]).all()
 
 
 # --- 2: secrets
