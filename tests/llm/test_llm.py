@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -162,21 +163,87 @@ def test_secret_base_is_brute_force(spark, documents):
         assert rows[k] == brute_base(t), t
 
 
-def test_secret_entropy(spark):
+def brute_top(word):
+    return max([-sum(c / 20 * np.log2(c / 20) for c in collections.Counter(word[i : i + 20]).values()) for i in range(len(word) - 19)] or [0.0])
+
+
+def brute_spans(text):
+    """All spans of one text: the base ones, and runs with a window over the bar of their class."""
+    text, found = text or "", []
+    for kind, (pattern, group, least) in enumerate(((f"(?:{ASSIGN})", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16))):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    left = list(text)
+    for s, kind, e in found:
+        if kind == 0:
+            left[s:e] = " " * (e - s)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(left)):
+        w = m[0]
+        if not re.search("[0-9]", w) or not re.search("[A-Za-z]", w) or re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", w):
+            continue
+        if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", w) or re.search("EXAMPLE|example|sample|dummy|placeholder|xxxx|XXXX", w):
+            continue
+        if all(re.fullmatch("[A-Za-z]+[0-9]{0,2}|[0-9]*", x) for x in re.split("[/_=-]", w)):
+            continue
+        bar = 2.8 if re.fullmatch("[0-9A-F]+", w) else 3.5 if re.search("[a-z]", w) and re.search("[A-Z]", w) else 3.4
+        if brute_top(w) >= bar:
+            found.append((m.start(), 3, m.end()))
+    return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KEYS = {"single": "abcdefghijklmnopqrstuvwxyz0123456789", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+
+
+def test_secret_spans_are_brute_force(spark, documents):
     rng = random.Random(5)
-    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(5)]
-    texts = [f"see {k} here" for k in keys] + ["123e4567-e89b-12d3-a456-426614174000 more", "internationalisation0internationalisation", "my/path-to/file_name/number-12345/of/things", "aaaaaaaaaaaaaaaaaaaaaaaa1", f"token={keys[0]}"]
+    key = lambda kind, n: "".join(rng.choice(KEYS[kind]) for _ in range(n))
+    marks = [" ", " ", "-", "_", "/", "+", "=", ".", "\n", "é", "token=", "AKIA", "password: ", "deadbeefdeadbeef", "name", "12", "a1b2"]
+    texts = SECRETS + ["".join(rng.choice([rng.choice(marks), key(rng.choice(list(KEYS)), rng.randrange(1, 40))]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts += [r.text for r in documents.select("text").collect()]
     rows = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
-    assert [rows[k]["spans"] for k in range(5)] == ["entropy:4:36"] * 5
-    assert [rows[k]["n_entropy"] for k in (5, 6, 7, 8, 9)] == [0] * 5 and rows[9]["spans"] == "assign:0:38"
+    assert [rows[k]["spans"] for k in range(len(texts))] == [brute_spans(t) for t in texts]
+    assert all(rows[k]["n_entropy"] == rows[k]["spans"].count("entropy") for k in rows) and sum(r["n_entropy"] for r in rows.values()) > 100
+    allowed = ["123e4567-e89b-12d3-a456-426614174000 more", "internationalisation0internationalisation", "my/path-to/file_name/number-12345/of/things", "GGGGGGGGGGGGGGGGGGGGGGGG1", "2024-01-01/2024-12-31", "x" * 30, ""]
+    assert {r["spans"] for r in secret_scan.scan_secrets(frame(spark, allowed)).collect()} == {""}
+    assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
 
-    def entropy(w):
-        return max(-sum(c / 20 * np.log2(c / 20) for c in collections.Counter(w[i : i + 20]).values()) for i in range(len(w) - 19))
 
-    df = spark.createDataFrame([Row(w=k) for k in [*keys, "abcabcabcabcabcabcabc1abc", "0123456789abcdef0123"]])
-    for r in df.select("w", secret_scan.top_entropy(df["w"]).alias("h")).collect():
-        assert abs(r["h"] - entropy(r["w"])) < 1e-9
-    assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
+def test_secret_keys_of_every_class_are_found(spark):
+    """Random keys of 20 and 24 characters; the bars miss a few in a hundred of the shortest."""
+    rng = random.Random(6)
+    for kind, letters in KEYS.items():
+        for n, least in ((20, 0.95), (24, 0.97)):
+            texts = [f"see {''.join(rng.choice(letters) for _ in range(n))} here" for _ in range(400)]
+            texts = [t for t in texts if re.search("[0-9]", t) and re.search("[A-Za-z]", t[4:-5])]
+            found = secret_scan.scan_secrets(frame(spark, texts)).where("n_entropy = 1 or n_hex + n_access > 0").count()
+            assert found >= least * len(texts), (kind, n)
+
+
+def test_secret_entropy_is_brute_force(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcXYZ019+/_=-") for _ in range(n)) for n in (1, 19, 20, 21, 50, 4095, 4096, 4097, 4114, 4115, 4116, 9000)]
+    for r in spark.createDataFrame([Row(w=w) for w in words]).select("w", secret_scan.top_entropy(F.col("w")).alias("h")).collect():
+        assert abs(r["h"] - brute_top(r["w"])) < 1e-9
+    sums = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 256, 257, 1000)], "v array<int>").select("v", secret_scan.running_sums(F.col("v")).alias("s")).collect()
+    assert all(r["s"] == np.cumsum(r["v"]).tolist() for r in sums)
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    """A million characters of each shape end, and quickly."""
+    rng = random.Random(8)
+    key = "".join(rng.choice(KEYS["mixed"] + "+/") for _ in range(1_000_000))
+    shapes = [
+        (key, (0, 0, 0, 1)), ("a-" * 500_000 + "1", (0, 0, 0, 0)), ("ab12/" * 200_000 + "c1", (0, 0, 0, 0)), ("1" * 1_000_000, (0, 0, 1, 0)), ("G" * 1_000_000 + "1", (0, 0, 0, 0)),
+        ("example" * 150_000 + "1", (0, 0, 0, 0)), ("token=abcdefghijkl " * 100_000, (100_000, 0, 0, 0)), ("0123456789abcdef0 " * 60_000, (0, 0, 60_000, 0)),
+        ("123e4567-e89b-12d3-a456-426614174000 " * 30_000, (0, 0, 0, 0)), (("token" + " " * 1000) * 1000, (0, 0, 0, 0)), ("short words " * 100_000, (0, 0, 0, 0)),
+    ]
+    began = time.monotonic()
+    for text, expected in shapes:
+        r = secret_scan.scan_secrets(frame(spark, [text])).select("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256").first()
+        assert tuple(r)[:4] == expected, text[:40]
+        if len(text) < 2_000_000 and expected[0] + expected[2] > 1:
+            assert r["base_sha256"] == brute_base(text)[3]
+    assert time.monotonic() - began < 240
 
 
 # --- 3: decontamination
