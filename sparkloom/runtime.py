@@ -35,10 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as compressed Parquet under the checkpoint folder; meant for tables that are read more than once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    path = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``cut``, but as compressed Parquet, at ``path`` or in the checkpoint folder; meant for tables that are read more than once."""
+    if path is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
