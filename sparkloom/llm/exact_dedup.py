@@ -2,33 +2,41 @@
 
 Texts are equal when identical after lower-casing A-Z. Of equal texts, the row with the largest id stays.
 
-1. Every row gets the SHA-256 of its normalised text; digests are written once and texts set aside.
-2. Duplicates inside the new batch, and inside the snapshot, are grouped separately, with map-side sums: a text
-   that a third of all rows share is one row per task.
-3. The snapshot's distinct digests are split by hash into buckets of about BUCKET_KEYS, and each bucket gets one static
-   3-wise binary-fuse filter (8-bit fingerprints, about 9 bits a key). Distinct incoming digests meet the filter
-   of their bucket: a negative is new for certain.
-4. Positives join the snapshot's digests exactly.
-5. Byte check: all texts are grouped by (digest, text), again with map-side sums. Should texts of one digest ever
-   differ, their rows are split by text.
+1. A snapshot is frozen once: the SHA-256 of each row's normalised text, a group per distinct digest, and, for each bucket of about
+   ``BUCKET_KEYS`` of them, one static 3-wise binary-fuse filter (8-bit fingerprints, about 9 bits a key). All three
+   are written tables, under a path of the caller's if there is one, and are only read from then on.
+2. Duplicates inside the new batch are grouped separately, with map-side sums: a text that a third of all rows share is one
+   row per task.
+3. Distinct incoming digests meet each snapshot's filters by bucket: a negative is new for certain. Filters are small and go
+   to as many parts of a bucket as its incoming digests need, which stream past them, so that a small or empty
+   snapshot gathers nothing in one task.
+4. Positives join the snapshot's exact groups. Snapshots are taken in turn; what one holds alone is looked up in the next.
+5. Byte check: texts whose digest two rows or more have are grouped by (digest, text), again with map-side sums; a digest of one
+   row needs no check, and its text is not shuffled. Should texts of one digest ever differ, their rows are split by text.
 
 Defined cases: null text counts as empty; a group of null ids only keeps one row with null; rows that repeat both
-id and text count in group_size, and one of them is kept; empty tables give empty results.
+id and text count in group_size, and one of them is kept; empty tables and snapshots give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import cut
+from sparkloom.runtime import cut, stored
 
-from .common import lower_ascii, pick, text_or_empty
+from .common import lower_ascii, text_or_empty
 
-#: Digests that a filter's bucket holds, about.
-BUCKET_KEYS = 2_000
+#: Digests that a filter's bucket holds, and incoming digests that one part of a bucket takes, about.
+BUCKET_KEYS, PART_KEYS = 2_000, 200_000
+#: Repeated digests, eight bytes each, that are sent to all tasks of the byte check; more are joined by shuffling.
+SENT = 1_000_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -97,7 +105,7 @@ class FuseFilter:
         return self.table[places[0]] ^ self.table[places[1]] ^ self.table[places[2]] == prints
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
+def _keys(digests: list[str]) -> np.ndarray:
     return np.array([int(d[16:32], 16) for d in digests], dtype=np.uint64)
 
 
@@ -105,65 +113,123 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
 
 
-def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, seed, segment, segments, cells): one filter for the distinct digests of each bucket of a snapshot."""
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable snapshot: texts (doc, norm), digests (doc, digest), groups (digest, top, n) and filters, one a bucket."""
+
+    texts: DataFrame
+    digests: DataFrame
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def build_filters(groups: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, buckets, seed, segment, segments, cells): one filter for the distinct digests of each bucket of a snapshot."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = FuseFilter.build(_keys(pdf["digest"]))
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "cells": [f.table.tobytes()]})
+        f = FuseFilter.build(_keys(pdf["digest"].tolist()))
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "buckets": [buckets], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "cells": [f.table.tobytes()]})
+
+    return groups.select(_bucket(buckets), "digest").groupBy("bucket").applyInPandas(build, "bucket long, buckets long, seed long, segment long, segments long, cells binary")
+
+
+def screen(incoming: DataFrame, count: int, snapshot: Snapshot) -> DataFrame:
+    """Those of ``count`` distinct incoming digests that the snapshot may hold; it holds none of the others."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:  # in order of (bucket, part), the filter's row first
+            place = list(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            edges = [0, *[k for k in range(1, len(place)) if place[k] != place[k - 1]], len(place)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                if place[lo] != at:
+                    at, held = place[lo], None
+                    r = part.slice(0, 1).to_pylist()[0]
+                    if r["cells"] is not None:
+                        held, part = FuseFilter(r["seed"], r["segment"], r["segments"], np.frombuffer(r["cells"], dtype=np.uint8)), part.slice(1)
+                if held and part.num_rows:
+                    digests = part.column("digest")
+                    yield pa.RecordBatch.from_arrays([digests.filter(pa.array(held.holds(_keys(digests.to_pylist()))))], ["digest"])
+
+    parts = max(1, -(-count // (snapshot.buckets * PART_KEYS)))
+    number = lambda k: F.lit(k).cast("long")
+    rows = incoming.select(_bucket(snapshot.buckets), F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(parts)).alias("part"), "digest", *[number(None).alias(c) for c in ("seed", "segment", "segments")], F.lit(None).cast("binary").alias("cells"))
+    filters = snapshot.filters.select("bucket", F.explode(F.sequence(number(0), number(parts - 1))).alias("part"), F.lit(None).cast("string").alias("digest"), "seed", "segment", "segments", "cells")
+    both = rows.unionByName(filters).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("cells").isNull())
+    return both.mapInArrow(look, "digest string")
 
-    return snapshot.select(_bucket(buckets), "digest").groupBy("bucket").applyInPandas(build, "bucket long, seed long, segment long, segments long, cells binary")
 
+def _groups(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("digest").agg(F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"))
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """Distinct incoming digests with ``maybe``: false if the snapshot can't hold the digest."""
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left.drop(columns="bucket")
-        out["maybe"] = False
-        if len(right) and len(left):
-            r = right.iloc[0]
-            out["maybe"] = FuseFilter(int(r["seed"]), int(r["segment"]), int(r["segments"]), np.frombuffer(r["cells"], dtype=np.uint8)).holds(_keys(left["digest"]))
-        return out
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("long").alias("doc"), lower_ascii(text_or_empty(df[text_col])).alias("norm"))
 
-    rows = incoming.select(_bucket(buckets), "digest", "top", "n")
-    return rows.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string, top long, n long, maybe boolean")
 
+def _freeze(texts: DataFrame, digests: DataFrame, path: str | None) -> Snapshot:
+    groups = stored(_groups(digests), path and f"{path}/groups")
+    buckets = max(1, -(-groups.count() // BUCKET_KEYS))
+    return Snapshot(texts, digests, groups, stored(build_filters(groups, buckets), path and f"{path}/filters"), buckets)
 
-def _groups(digests: DataFrame) -> DataFrame:
-    return digests.groupBy("digest").agg(F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"))
 
+def take_snapshot(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """Freeze a table that no longer changes; with a path, ``open_snapshot`` finds what was built there."""
+    texts = _texts(df, id_col, text_col)
+    return _freeze(texts, stored(texts.select("doc", F.sha2("norm", 256).alias("digest")), path and f"{path}/digests"), path)
 
-def exact_dedup(df: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    ``in_snapshot`` says which rows belong to the snapshot that is held already; the others are the new batch.
-    """
-    rows = df.select(df[id_col].cast("long").alias("doc"), lower_ascii(text_or_empty(df[text_col])).alias("norm"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
-    digests = cut(rows.select("doc", "old", F.sha2("norm", 256).alias("digest")))
-
-    snapshot = cut(_groups(digests.where("old")))
-    buckets = max(1, -(-snapshot.count() // BUCKET_KEYS))
-    incoming = cut(screen(_groups(digests.where("not old")), build_filters(snapshot, buckets), buckets))
-    held = snapshot.select("digest", F.col("top").alias("old_top"), F.col("n").alias("old_n"))
-    met = incoming.where("maybe").join(held, "digest")
-    merged = met.select("digest", F.greatest("top", "old_top").alias("keep_id"), (F.col("n") + F.col("old_n")).alias("group_size"))
-    fresh = incoming.join(met.select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
-    only_old = snapshot.join(met.select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
-    groups = cut(merged.unionByName(fresh).unionByName(only_old))
-
-    # Byte check: equal texts meet map-side first, so each distinct text is shuffled once a task at most.
-    texts = rows.select("doc", "norm", F.sha2("norm", 256).alias("digest"))
-    checked = cut(texts.groupBy("digest", "norm").count().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+
+def open_snapshot(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """The snapshot that was frozen under ``path``; ``df`` is the table it was taken of."""
+    digests, groups, filters = (df.sparkSession.read.parquet(f"{path}/{name}") for name in ("digests", "groups", "filters"))
+    first = filters.first()
+    return Snapshot(_texts(df, id_col, text_col), digests, groups, filters, first["buckets"] if first else 1)
+
+
+def _decide(texts: DataFrame, digests: DataFrame, batch: DataFrame, snapshots: Sequence[Snapshot], id_col: str) -> DataFrame:
+    groups = cut(_groups(batch))
+    for s in snapshots:
+        maybe = screen(groups.select("digest"), groups.count(), s)
+        met = cut(maybe.join(s.groups, "digest").select("digest", F.col("top").alias("old_top"), F.col("n").alias("old_n")))
+        more = groups.join(met, "digest", "left").select("digest", F.greatest("top", "old_top").alias("top"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"))
+        groups = cut(more.unionByName(s.groups.join(met, "digest", "left_anti").select("digest", "top", "n")))
+    groups = groups.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
+
+    # Byte check. The first sixteen digits of a digest are enough to leave out texts that no other row has.
+    short = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    repeated = cut(groups.where("group_size > 1").select(short(F.col("digest")).alias("short")).distinct())
+    sent = repeated.count() <= SENT
+    rows = texts.select("doc", "norm", F.sha2("norm", 256).alias("digest"))
+    rows = rows.join(F.broadcast(repeated) if sent else repeated, short(F.col("digest")) == F.col("short"), "left_semi")
+    checked = cut(rows.groupBy("digest", "norm").count().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
     once = Window.partitionBy("digest", "doc").orderBy(F.lit(0))
     numbered = digests.select("doc", "digest").withColumn("copy", F.row_number().over(once))
-    split = checked.limit(1).count()
-    if split:  # one digest, different bytes
-        normal = groups.join(checked.select("digest"), "digest", "left_anti")
-        own = texts.join(checked.select("digest"), "digest", "left_semi")
+    if checked.limit(1).count():  # one digest, different bytes
+        normal = groups.join(checked, "digest", "left_anti")
+        own = rows.join(checked, "digest", "left_semi")
         parts = own.groupBy("digest", "norm").agg(F.max("doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         apart = own.withColumn("copy", F.row_number().over(Window.partitionBy("digest", "norm", "doc").orderBy(F.lit(0)))).join(parts, ["digest", "norm"]).select("doc", "digest", "copy", "keep_id", "group_size")
         out = numbered.join(normal, "digest").select("doc", "digest", "copy", "keep_id", "group_size").unionByName(apart)
     else:
         out = numbered.join(groups, "digest")
     return out.select(F.col("doc").alias(id_col), "keep_id", "group_size", (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def dedup_batch(df: DataFrame, snapshots: Sequence[Snapshot], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of the new batch ``df`` and of every snapshot: id, keep_id, group_size, kept, text_sha256."""
+    texts = _texts(df, id_col, text_col)
+    batch = stored(texts.select("doc", F.sha2("norm", 256).alias("digest")))
+    every, digests = texts, batch
+    for s in snapshots:
+        every, digests = every.unionByName(s.texts), digests.unionByName(s.digests)
+    return _decide(every, digests, batch, snapshots, id_col)
+
+
+def exact_dedup(df: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup_batch`` where one table holds both: ``in_snapshot`` says which rows are the snapshot's, the others are the new batch."""
+    texts = _texts(df, id_col, text_col)
+    digests = stored(df.select(df[id_col].cast("long").alias("doc"), F.sha2(lower_ascii(text_or_empty(df[text_col])), 256).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old")))
+    held = _freeze(texts, digests.where("old").select("doc", "digest"), None)
+    return _decide(texts, digests, digests.where("not old"), [held], id_col)

@@ -320,6 +320,47 @@ def test_exact_dedup_odd_tables(spark):
     assert exact_dedup.exact_dedup(df.limit(0), df["doc_id"] > 0).count() == 0
 
 
+def brute_groups(rows):
+    """(id, keep_id, group_size) of each row."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[lower(t)].append(d)
+    return sorted((d, max(groups[lower(t)]), len(groups[lower(t)])) for d, t in rows)
+
+
+@pytest.mark.parametrize("sent", [exact_dedup.SENT, 0])
+def test_exact_dedup_against_stored_snapshots(spark, tmp_path, monkeypatch, sent):
+    """Two snapshots that share texts, frozen once and opened again, and one that is empty; few digests to a part and bucket."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 7)
+    monkeypatch.setattr(exact_dedup, "PART_KEYS", 3)
+    monkeypatch.setattr(exact_dedup, "SENT", sent)
+    rng = random.Random(11)
+    tables = [[(1000 * part + k, rng.choice(["Text", "TEXT", "other"]) + f" {rng.randrange(60)}") for k in range(n)] for part, n in enumerate((80, 50, 0, 90))]
+    *old, new = [frame(spark, [t for _, t in rows], [d for d, _ in rows]) for rows in tables]
+    for k, df in enumerate(old):
+        exact_dedup.take_snapshot(df, f"{tmp_path}/s{k}")
+    held = [exact_dedup.open_snapshot(df, f"{tmp_path}/s{k}") for k, df in enumerate(old)]
+    assert [s.buckets > 1 for s in held] == [True, True, False] and held[0].filters.count() > 1
+    for snapshots, rows in ((held, sum(tables, [])), ([held[2]], tables[3]), ([], tables[3])):
+        got = exact_dedup.dedup_batch(new, snapshots).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == brute_groups(rows)
+        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+    maybe = {r[0] for r in exact_dedup.screen(exact_dedup._groups(held[1].digests).select("digest"), 50, held[0]).collect()}
+    both = {r[0] for r in held[0].groups.join(held[1].groups, "digest").select("digest").collect()}
+    assert both <= maybe and len(maybe - both) < 5
+
+
+def test_exact_dedup_splits_texts_of_one_digest(spark, monkeypatch):
+    """With a digest of one digit, unequal texts meet in the byte check and are told apart there."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n, real=F.sha2: F.rpad(F.substring(real(c, n), 1, 1), 64, "0"))
+    rng = random.Random(12)
+    rows = [(k, f"t {rng.randrange(40)}") for k in range(120)]
+    got = exact_dedup.exact_dedup(frame(spark, [t for _, t in rows]), F.col("doc_id") < 50).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == brute_groups(rows)
+    assert sum(r["kept"] for r in got) == len({t for _, t in rows})
+
+
 def test_fuse_filter_has_no_false_negatives():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 10, 100, 5000):
