@@ -520,27 +520,60 @@ def brute_targets(sizes):
     return out
 
 
-def test_mixing_meets_targets(spark, documents):
+def brute_rates(sizes, goal):
+    """The rates of one source's documents, by bisection on the multiplier of min(2, exp(x))."""
+    total = sum(sizes)
+    if goal >= 2 * total * (1 - 1e-12):
+        return [2.0 if s else 0.0 for s in sizes]
+    mean, lo, hi = total / len(sizes), -1e7, 1e7
+    rate = lambda lam, s: min(2.0, np.exp(min(lam * s / mean, 1.0))) if s else 0.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(rate(mid, s) * s for s in sizes) < goal else (lo, mid)
+    return [rate(lo, s) for s in sizes]
+
+
+@pytest.mark.parametrize("bins", [mixing.BIN, 3])
+def test_mixing_is_brute_force(spark, documents, monkeypatch, bins):
+    """Targets and rates by plain Python; whole copies next to the rate, and one document a source that takes what is off."""
+    monkeypatch.setattr(mixing, "BIN", bins)
     rows = [(r.doc_id, r.text, r.source) for r in documents.collect()]
-    rows += [(1000 + k, "w " * (k + 1), None if k % 2 else "tiny") for k in range(20)] + [(2000, None, "empty"), (2001, "", "empty"), (None, "a b", "src0"), (5, "a b", "src0")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS mean")
+    rows += [(1000 + k, "w " * (k + 1), None if k % 2 else "tiny") for k in range(20)] + [(2000, None, "empty"), (2001, "", "empty"), (None, "a b", "src0"), (5, "a b c", "src0"), (None, "c d", "src0")]
+    rows += [(3000 + k, "same size here", "even") for k in range(50)] + [(4000, "long " * 3000, "few"), (4001, "short", "few")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS mean", "3 AS place", "4 AS of", "5 AS low")
     found = mixing.mix(df).collect()
-    assert len(found) == len(rows)
+    key = lambda d, t, s: (str(d), len(words(t)))
+    assert sorted((str(r["doc_id"]), r["size"]) for r in found) == sorted(key(*r) for r in rows)
     sizes = collections.Counter()
     for _, t, s in rows:
         sizes[s] += len(words(t))
     goal = brute_targets(sizes)
-    docs = {(r[0], r[1]): r[2] for r in rows}
-    taken = collections.Counter()
-    for (_, t, s), r in zip(sorted(rows, key=str), sorted(found, key=lambda r: str((r.doc_id, next(t for (d, t) in docs if d == r.doc_id and len(words(t)) == r["size"])))), strict=True):
-        assert r["size"] == len(words(t)) and 0 <= r["taken"] <= 2 * r["size"] and r["copies"] * r["size"] + r["rest"] == r["taken"]
-        assert abs(r["target"] - goal[s]) < 1e-6 * max(1, goal[s]) and r["source_size"] == sizes[s]
-        taken[s] += r["taken"]
-    assert all(abs(taken[s] - goal[s]) <= max(20, 0.005 * goal[s]) for s in goal)
+    by_key = {(str(r["doc_id"]), r["size"]): r for r in found}
+    for source in goal:
+        mine = [(key(d, t, s), len(words(t))) for d, t, s in rows if s == source]
+        rates, off, parts = brute_rates([n for _, n in mine], goal[source]), 0, 0
+        for (k, n), rate in zip(mine, rates, strict=True):
+            r = by_key[k]
+            assert abs(r["target"] - goal[source]) < 1e-6 * max(1, goal[source]) and r["source_size"] == sizes[source]
+            assert 0 <= r["taken"] <= 2 * n and r["copies"] * n + r["rest"] == r["taken"]
+            off += r["taken"]
+            moved = n and (r["rest"] or not np.floor(rate - 1e-6) <= r["copies"] <= np.floor(rate + 1e-6) + 1)
+            parts += bool(moved)
+        assert parts <= 1 and abs(off - goal[source]) <= 1, source
     assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, found))
+
+
+def test_mixing_odd_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string").selectExpr("*", "1 AS mix_size", "2 AS `x.y`")
     assert mixing.mix(df.limit(0)).count() == 0
-    kept = mixing.mix(df, keep=True)
-    assert kept.columns[:5] == df.columns and kept.count() == len(rows)
+    kept = mixing.mix(df.drop("mix_size"), keep=True)
+    assert kept.columns[:4] == ["doc_id", "text", "source", "x.y"] and kept.count() == 1
+    many = spark.createDataFrame([(k, "a b c d", None if k == 7 else f"s{k * 7919 % 997:03}") for k in range(400)], "doc_id long, text string, source string")
+    monkeypatch.setattr("sparkloom.llm.common.BROADCAST_ROWS", 10)
+    goal = brute_targets({r["source"]: 4 for r in many.collect()})
+    for r in many.join(mixing.mix(many).drop("size"), "doc_id").collect():
+        assert abs(r["target"] - goal[r["source"]]) < 1e-6 and abs(r["taken"] - r["target"]) <= 0.5
+    assert {r["taken"] for r in mixing.mix(many.where("false").unionByName(many.limit(1)).withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
 
 
 # --- 9: languages
