@@ -234,7 +234,7 @@ def _combine(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, h1: np.ndarray, h
     text = tag[order[own]]
     lead = np.ones(len(own), dtype=bool)
     lead[1:] = (group[own][1:] != group[own][:-1]) | (text[1:] != text[:-1])
-    lead = order[own[lead]]
+    lead = np.sort(order[own[lead]])  # rows of one text stay together, which packs them better
     known = np.sort(order[d != least[group]])
     start = np.ones(len(known), dtype=bool)
     start[1:] = (at[known][1:] != at[known][:-1] + 1) | (doc[known][1:] != doc[known][:-1]) | (tag[known][1:] != tag[known][:-1])
