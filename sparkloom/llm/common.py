@@ -12,6 +12,9 @@ WORD = r"[^ \x09-\x0D]+"
 #: A table with at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
+#: A key with more rows than this is not shuffled by.
+HOT_ROWS = 1_000
+
 #: Texts that go to a Python worker together; Spark's own 10,000 hold hundreds of MB a task where texts are long.
 BATCH_ROWS = 1_000
 
@@ -45,6 +48,21 @@ def with_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def join_counted(df: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """``df`` joined with one row a key of ``named`` (a written table), whose column ``count`` says how many rows of ``df`` have the key.
+
+    Keys of more than HOT_ROWS rows, at most BROADCAST_ROWS of them, are sent to all tasks, so that their rows stay where they are.
+    """
+    bar = HOT_ROWS
+    while (hot := named.where(F.col(count) > bar).count()) > BROADCAST_ROWS:
+        bar *= 10
+    if not hot:
+        return df.join(named.drop(count), key)
+    large = F.broadcast(named.where(F.col(count) > bar).drop(count))
+    rest = df.join(F.broadcast(large.select(key)), key, "left_anti").join(named.where(F.col(count) <= bar).drop(count), key)
+    return df.join(large, key).unionByName(rest)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest: Column) -> DataFrame:
     """One row of ``docs`` for each (id, text_sha256) of ``kept``; ``digest`` gives a row's own.
 

@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a map-side summed minimum per node and one join; the edges are written to the shared checkpoint
+Each step is a map-side summed minimum per node and one join, in which hubs are not shuffled by; the edges are written to the shared checkpoint
 folder after each, so no step depends on an executor, and nothing but whether all is settled reaches the driver.
 """
 
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.runtime import cut
 
+from .common import join_counted
+
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v): links each v to the least node m among u and its neighbours."""
-    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-    joined = pairs.join(least, "u")
+    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    joined = join_counted(pairs, least, "u", "n")
     if large:
         return joined.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     rest = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))

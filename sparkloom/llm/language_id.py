@@ -27,6 +27,8 @@ from .common import small_batches
 
 #: Bounds of the training sample, for each language.
 TEXTS, DICTIONARY = 400, 96 << 10
+#: Rows beyond twice TEXTS that are looked at, so that chance leaves none wanted.
+SPARE = 200
 LEVEL, MARGIN = 6, 0.005
 #: Bytes of a text that are compressed together.
 PIECE = 16 << 10
@@ -45,9 +47,13 @@ def letters(text: str | None) -> str:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TEXTS, size: int = DICTIONARY) -> Model:
     """Per-language dictionaries; the driver gets at most ``texts`` texts a language, cut to ``size`` characters together."""
     rows = small_batches(df).where(df[lang_col].isNotNull() & (F.length(df[text_col]) > 0)).select(df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), F.xxhash64(df[id_col].cast("string")).alias("h"))
-    # Narrow rows find each language's last hash; only the texts up to it are then read out.
+    # The hashes of a language are even, so those up to about twice as many as are wanted are known from its count; these narrow
+    # rows find the language's last hash, and only the texts up to it are then read out.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bars = counts.select("lang", (F.least(F.lit(1.0), (2.0 * texts + SPARE) / F.col("n")) * (2.0**64) - 2.0**63).alias("bar"))
+    near = rows.join(F.broadcast(bars), "lang").where(F.col("h").cast("double") <= F.col("bar"))  # a row per language
     order = Window.partitionBy("lang").orderBy("h")
-    first = rows.select("lang", "h", F.length("text").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+    first = near.select("lang", "h", F.length("text").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = first.withColumn("before", before).where(F.col("before") < size).groupBy("lang").agg(F.max("h").alias("last")).collect()
     if not last:

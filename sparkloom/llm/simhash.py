@@ -8,8 +8,8 @@ Equal fingerprints are merged first, with map-side minima. The 64 bits are cut i
 four bits agree on two whole parts at least, so each goes under its 15 pairs of parts. Rows under one key are
 compared bit-sliced: bit planes are packed 64 rows to a machine word, ``plane ^ (plane shifted by d)`` says for 64
 pairs at once whether they differ in that bit, a carry-save counter of bit planes adds it up, and words in which
-every pair is over the radius are abandoned. Pairs that earlier links under the key have joined are not compared again. A key with more than ``TILE`` rows is split into tiles whose
-pairs are compared by different tasks. What leaves a task is a spanning forest of the links that it found, never
+every pair is over the radius are abandoned. Pairs that earlier links under the key have joined are not compared again. A key
+with more than ``TILE`` rows is split into tiles whose pairs are compared by different tasks. What leaves a task is a spanning forest of the links that it found, never
 all pairs; components then come from a distributed star contraction.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.runtime import cut
 
-from .common import small_batches, text_or_empty, with_small
+from .common import join_counted, small_batches, text_or_empty, with_small
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -254,8 +254,9 @@ def one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     docs = cut(fingerprints(df, id_col, text_col))
-    nodes = cut(docs.groupBy("fp").agg(F.min("doc").alias("least")))
-    placed = _placed(nodes)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(placed.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return docs.join(named, "fp").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = cut(docs.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies")))
+    placed = cut(_placed(nodes))
+    least = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = join_counted(placed.select("fp", "root", "copies"), least, "root", "n")
+    named = cut(named.select("fp", "component_id", "copies"))
+    return join_counted(docs, named, "fp", "copies").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,7 +14,7 @@ import corpus_pipeline
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, queries, rolling, secret_scan, simhash, substring_dedup, token_count
+from sparkloom.llm import common, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, queries, rolling, secret_scan, simhash, substring_dedup, token_count
 from sparkloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -486,7 +486,9 @@ def test_compare_is_brute_force_on_long_runs():
         assert brute_components(set(fps), pairs) == brute_components(set(fps), linked)
 
 
-def test_simhash_documents(spark, documents):
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 1])
+def test_simhash_documents(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     texts = [r.text for r in documents.orderBy("doc_id").select("text").collect()] + [None, "", " \n", "One two", "one TWO", "a b c d e"]
     rows = {r["doc_id"]: r for r in simhash.simhash_dedup(frame(spark, texts)).collect()}
     fps = [brute_fingerprint(t) for t in texts]
@@ -496,7 +498,8 @@ def test_simhash_documents(spark, documents):
 
 
 def test_simhash_odd_tables(spark):
-    rows = simhash.simhash_dedup(frame(spark, ["a b", "a b", "q", None], [None, 4, None, 9])).collect()
+    df = frame(spark, ["a b", "a b", "q", None], [None, 4, None, 9]).selectExpr("*", "1 AS fp", "2 AS doc", "3 AS root", "4 AS n", "5 AS copies")
+    rows = simhash.simhash_dedup(df).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in rows), key=str) == sorted([(None, 4), (4, 4), (None, None), (9, 9)], key=str)
     assert simhash.simhash_dedup(frame(spark, [])).count() == 0
 
@@ -589,6 +592,18 @@ def test_language_id_on_held_out_documents(spark, medium):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_training_is_the_hash_order(spark, monkeypatch):
+    """The first texts of each language by hash, whatever the bound on the rows that are ranked."""
+    monkeypatch.setattr(language_id, "SPARE", 20)
+    rows = [(k, f"text number {'abcdefghij'[k % 10] * (k % 7 + 1)}", ("en", "de", None)[k % 3]) for k in range(900)] + [(None, "no id", "en"), (901, "", "fr"), (902, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS h", "2 AS n", "3 AS last", "4 AS bar")
+    hashed = [(r["h"], r["lang"], r["text"]) for r in df.selectExpr("xxhash64(cast(doc_id AS string)) AS h", "lang", "text").collect()]
+    model = dict(language_id.train(df, texts=40))
+    assert set(model) == {"en", "de"}
+    for lang, content in model.items():
+        assert content.decode() == " ".join(language_id.letters(t) for _, x, t in sorted(h for h in hashed if h[1] == lang)[:40])
+
+
 def test_language_id_odd_texts(spark):
     model = (("en", b"the cat and the dog and the house"), ("fr", b"le chat et le chien et la maison"))
     df = frame(spark, [None, "", "123 !!", "the dog", "la maison et le chien", "the house " * 20000])
