@@ -7,7 +7,7 @@ document with a smaller id. Windows are judged on the input.
    neighbours mostly share one: about a name for fourteen words. Each document's distinct names are written once, narrow.
    Tasks sketch their names, and the sketches are merged into one count-min sketch: a document with a window of some name
    adds one to the name's cell in both rows of the name's block, so no window is ever counted too low. The number of blocks follows the
-   number of names, ``NAMES`` to a block at most on average: a name that occurs once passes by chance at under 5 %, at any size.
+   number of names, ``NAMES`` to a block at most on average: a name that occurs once passes by chance at under 2 %, at any size.
    A sketch of up to ``SENT`` blocks (128 KB each) goes to all tasks. A larger one stays where it was merged: the
    names meet their block there, and those that pass come back to their documents by key.
 2. *Exact pass.* Windows whose name is estimated at two documents or more are grouped by 128 bits, two independent keyed
@@ -38,10 +38,10 @@ from .common import pick, small_batches, with_small
 from .rolling import SECOND_BASE, Batch, mix, slices, window_hashes
 
 WINDOW, NGRAM = 50, 25
-#: Cells of a sketch block's row, as a power of two; rows; and names that a block takes, which is a quarter of a row's cells.
-CELL_BITS, ROWS, NAMES = 19, 2, 1 << 17
-#: Blocks that are sent to all tasks, 32 MB together; larger sketches are joined by block.
-SENT = 256
+#: Cells of a sketch block's row, as a power of two; rows; and names that a block takes, which is an eighth of a row's cells.
+CELL_BITS, ROWS, NAMES = 19, 2, 1 << 16
+#: Blocks that are sent to all tasks, 64 MB together; larger sketches are joined by block.
+SENT = 512
 #: Rows of a block that one task takes in that join.
 HEAVY = 2_000_000
 _SALTS = (0x8F14E45FCEEA167A, 0x1B873593CC9E2D51)
