@@ -7,25 +7,29 @@
    local alignment over words (match 2, other word -1, gap -1) scores it, all candidates of a batch together. A document
    is contaminated by an item if the score is ``MIN_SCORE`` of a full match's or more.
 
-The benchmark is the small side: its index is sent to all tasks in shards of at most ``SHARD_WORDS`` words, and a
-larger benchmark means more shards, not a larger one. Documents are never shuffled.
+The benchmark is the small side: its index is sent to all tasks in shards of at most ``SHARD_WORDS`` words. A larger
+benchmark means more shards, searched one after the other, so that a task holds one at a time; words are counted for ``TOGETHER``
+shards in one pass. Documents are not shuffled by the search.
 
 Words are runs of other than white space and ASCII punctuation, with A-Z lower-cased. Defined cases: null or empty
 texts and items never match; items of under ``NGRAM`` words use shorter seeds; an item that occurs twice in a text
-gives its best passage; ties go to the first passage.
+gives its best passage; ties go to the first passage; repeated rows are searched one by one; empty tables give no row.
 """
 
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from sparkloom.runtime import stored
+
+from .common import BROADCAST_ROWS, small_batches, text_or_empty
 from .rolling import Batch, slices, window_hashes
 
-NGRAM, CHANCE, MIN_SCORE, SHARD_WORDS = 3, 1e-4, 0.6, 1_000_000
+NGRAM, CHANCE, MIN_SCORE, SHARD_WORDS, TOGETHER = 3, 1e-4, 0.6, 1_000_000, 4
 MATCH, OTHER, GAP = 2, -1, -1
 _PUNCTUATION = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(b for b in range(33, 127) if not chr(b).isalnum()), b"abcdefghijklmnopqrstuvwxyz" + b" " * sum(not chr(b).isalnum() for b in range(33, 127)))
 #: Hash bits of the table that screens n-grams before the exact lookup.
@@ -220,24 +224,49 @@ def _search(shared):
     return F.arrow_udf(find, _FOUND)
 
 
-def finder(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, chance: float = CHANCE, min_score: float = MIN_SCORE, shard_words: int = SHARD_WORDS):
-    """A column function: text -> array of (item_id, score, start, end), words from start to before end."""
-    texts, columns = small_batches(docs).select(docs[text_col].cast("string").alias("text")), []
-    for items in _shards(benchmark, item_col, item_text_col, shard_words):
-        counts, total, n = _word_counts(texts, items.vocabulary)
-        shared = docs.sparkSession.sparkContext.broadcast((items, items.index(counts, total, ngram, chance, n), min_score))
-
-        columns.append(_search(shared))
-
-    def column(text):
-        if not columns:
-            return F.array().cast(_FOUND)
-        return F.concat(*[f(text.cast("string")) for f in columns])
-
-    return column
+def _searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, ngram: int, chance: float, min_score: float, shard_words: int):
+    """One shard's column function after the other: text -> array of (item_id, score, start, end), words from start to before end."""
+    texts, sc = small_batches(docs).select(docs[text_col].cast("string").alias("text")), docs.sparkSession.sparkContext
+    for shards in batched(_shards(benchmark, item_col, item_text_col, shard_words), TOGETHER):
+        vocabulary = np.unique(np.concatenate([items.vocabulary for items in shards]))
+        counts, total, n = _word_counts(texts, vocabulary)
+        for items in shards:
+            own = counts[np.searchsorted(vocabulary, items.vocabulary)]
+            yield _search(sc.broadcast((items, items.index(own, total, ngram, chance, n), min_score)))
+
+
+def _each(docs: DataFrame, searches, row) -> DataFrame:
+    """The rows that ``row`` makes of each search. One shard's stay lazy; of several, each shard's are written before the next is built."""
+    first = next(searches, None)
+    if first is None:
+        return row(lambda text: F.array().cast(_FOUND))
+    second = next(searches, None)
+    if second is None:
+        return row(first)
+    out = stored(row(first)).unionByName(stored(row(second)))
+    for search in searches:
+        out = out.unionByName(stored(row(search)))
+    return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, chance: float = CHANCE, min_score: float = MIN_SCORE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per contaminated document and item: id, item_id, score, start, end."""
-    found = finder(docs, benchmark, text_col, **options)
-    return docs.select(docs[id_col], F.explode(found(docs[text_col])).alias("x")).select(id_col, "x.*")
+    searches = _searches(docs, benchmark, text_col, item_col, item_text_col, ngram, chance, min_score, shard_words)
+    return _each(docs, searches, lambda search: docs.select(docs[id_col].alias("__id"), F.explode(search(docs[text_col].cast("string"))).alias("x")).select(F.col("__id").alias(id_col), "x.*"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, chance: float = CHANCE, min_score: float = MIN_SCORE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a passage of any item, all columns."""
+    searches = _searches(docs, benchmark, text_col, item_col, item_text_col, ngram, chance, min_score, shard_words)
+    text = docs[text_col].cast("string")
+    first = next(searches, None)
+    if first is None:
+        return docs
+    second = next(searches, None)
+    if second is None:
+        return docs.where(F.size(first(text)) == 0)
+    digest = F.sha2(text_or_empty(docs[text_col]), 256)
+    hit = lambda search: docs.where(F.size(search(text)) > 0).select(digest.alias("__digest"))
+    found = _each(docs, chain((first, second), searches), hit).distinct()
+    small = found.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if small else found, digest == F.col("__digest"), "left_anti")

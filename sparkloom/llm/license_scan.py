@@ -9,14 +9,17 @@ most ``n - needed`` words, so of any larger set of its words one is there; the l
 place of one of them gives a passage of the template's length and ``SLACK`` of it on both sides.
 
 Words are runs of letters and digits, lower-cased. Templates are parameters; the built-in ones are common notices
-and permission texts. Defined cases: null and empty text give no row; every passage that matches gives a row;
-where passages of one license overlap, the best is kept, then the first; very long texts are scanned whole.
+and permission texts. Words that tell a license from its relatives (``DECIDING``) must be covered, however much else is. Where
+passages overlap, of one license or several, the one with more covered words is kept, then the better covered, then the first.
+
+Defined cases: null and empty text give no row; every passage that matches gives a row; repeated rows are scanned one by
+one; very long texts are scanned whole; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
@@ -48,6 +53,34 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
         "or (at your option) any later version."
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. "
+        "This software is distributed without any warranty."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
+        "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
         "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
@@ -56,6 +89,12 @@ TEMPLATES = {
     ),
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
+#: Words of a template that a passage must have.
+DECIDING = {
+    "MIT-notice": "mit", "Apache-2.0-notice": "apache 2", "GPL-3.0-notice": "general 3", "GPL-2.0-notice": "general 2", "CC-BY-NC-4.0-notice": "nc 4", "CC-BY-4.0-short": "cc by 4", "CC-BY-4.0-notice": "attribution 4",
+    "CC-BY-SA-4.0-notice": "attribution sharealike 4", "Apache-2.0": "apache", "GPL-3.0-or-later": "general 3 later", "GPL-2.0-or-later": "general 2 later", "LGPL-2.1-or-later": "lesser 2 1 later",
+    "AGPL-3.0-or-later": "affero 3 later", "MPL-2.0": "mozilla", "BSD-3-Clause": "neither endorse", "ISC": "permission fee",
+}
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -111,10 +150,10 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
+    def __init__(self, templates: dict[str, str], coverage: float, deciding: dict[str, str] = DECIDING):
         self.templates = {name: w for name, t in templates.items() if (w := words_of(t))}
         self.needed = {name: max(1, -int(-coverage * len(w) // 1)) for name, w in self.templates.items()}
+        self.deciding = {name: set(words_of(deciding.get(name, ""))) for name in self.templates}
         self.seeds: dict[str, list[tuple[str, int]]] = {}
         for name, w in self.templates.items():
             order = sorted(range(len(w)), key=lambda k: (-len(w[k]), k))
@@ -131,21 +170,23 @@ class Scanner:
         for p, w in enumerate(doc):
             for name, k in self.seeds.get(w, ()):
                 spots.setdefault(name, set()).add(p - k)
-        out = []
-        for name, starts in spots.items():
-            template = self.templates[name]
-            slack, found = int(len(template) * SLACK) + 1, []
-            for s in sorted(starts):
-                lo, hi = max(0, s - slack), min(len(doc), s + len(template) + slack)
-                pairs = patience(template, doc[lo:hi])
-                if len(pairs) >= self.needed[name]:
-                    found.append((len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
-            taken: list[tuple[int, int, int]] = []
-            for n, a, b in sorted(set(found), key=lambda x: (-x[0], x[1], x[2])):
-                if all(b <= x or a >= y for _, x, y in taken):
-                    taken.append((n, a, b))
-            out += [(name, n / len(template), a, b) for n, a, b in taken]
-        return sorted(out, key=lambda x: (x[2], x[0]))
+        found = {(len(pairs), name, lo + pairs[0][1], lo + pairs[-1][1] + 1) for name, starts in spots.items() for lo, pairs in self._passages(name, sorted(starts), doc)}
+        kept: list[tuple[int, int, str, float]] = []  # in order of place; none overlap
+        for n, name, a, b in sorted(found, key=lambda x: (-x[0], -x[0] / len(self.templates[x[1]]), x[2], x[1], x[3])):
+            k = bisect_left(kept, (a,))
+            if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+                insort(kept, (a, b, name, n / len(self.templates[name])))
+        return [(name, share, a, b) for a, b, name, share in kept]
+
+    def _passages(self, name: str, starts: list[int], doc: list[str]):
+        """(first word, alignment) of each place where the template is covered."""
+        template, deciding = self.templates[name], self.deciding[name]
+        slack = int(len(template) * SLACK) + 1
+        for s in starts:
+            lo, hi = max(0, s - slack), min(len(doc), s + len(template) + slack)
+            pairs = patience(template, doc[lo:hi])
+            if len(pairs) >= self.needed[name] and deciding <= {template[i] for i, _ in pairs}:
+                yield lo, pairs
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -157,4 +198,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def scan(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("license", "coverage", "start", "end"), r, strict=True)) for r in scanner.scan(t)] for t in texts.to_pylist()], kind)
 
-    return small_batches(df).select(df[id_col], F.explode(scan(df[text_col].cast("string"))).alias("x")).select(id_col, "x.*")
+    return small_batches(df).select(df[id_col].alias("__id"), F.explode(scan(df[text_col].cast("string"))).alias("x")).select(F.col("__id").alias(id_col), "x.*")
