@@ -34,12 +34,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontaminate.finder(docs, table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(found(docs["text"])) == 0)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with their size, target, words taken, whole copies and rest."""
+    """Documents that the mix takes, with their size, target, words taken, whole copies and the rest of a part."""
     return mixing.mix(docs, keep=True).where("mix_taken > 0")
 
 
