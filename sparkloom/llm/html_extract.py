@@ -2,19 +2,23 @@
 
 The page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, comments by readers, scripts and
 the like are cut by element, role or class. Each paragraph then gives points for its length and commas to its
-ancestors (all to its parent, half to the next, a third of the rest on), each container's points are discounted by the
-share of its text that lies in links, and the best container is kept with those siblings that score well beside it.
-The kept blocks are the text, in page order.
+``LEVELS`` nearest ancestors (all to its parent, half to the next, a third of that and less to the others), each container's points
+are discounted by the share of its text that lies in links, and the best container is kept with those siblings that score well
+or read like text beside it. Where the best container lies in an article or main element, that is kept instead, whole.
+The kept blocks are the text, in page order. If all text was cut, wrappers with a noise word in their class that hold most of the page's text
+are let back in. Every step is linear in the page.
 
 White space inside a block becomes one space, blocks are joined by an empty line, and character references are decoded.
 
-Defined cases: null or empty html, and pages without text outside of cut parts, give empty text.
+Defined cases: null or empty html, and pages without text outside of cut parts, give empty text; repeated rows and null ids
+give a row each; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,15 +42,22 @@ _NOISE = re.compile(
     re.I,
 )
 _SPACE = re.compile(r"\s+")
-#: A sibling stays if it scores this part of the best container, which counts as ten at least.
-SIBLING, FLOOR = 0.2, 10.0
+#: A sibling stays if it scores this part of the best container, which counts as ten at least, or if it reads like text: links are under
+#: LINKED of it, and none of one of SHORT characters or less.
+SIBLING, FLOOR, LINKED, SHORT = 0.2, 10.0, 0.25, 80
+#: Ancestors that a paragraph's points reach.
+LEVELS = 5
+#: A wrapper that holds this part of the page's text is no noise.
+MOST = 0.5
+_READS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "ul", "ol", "dl", "table", "figure"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "score", "inside")
+    __slots__ = ("tag", "parent", "children", "cut", "named", "score", "inside", "total", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named  # named: cut for its class or id only
+        self.total = self.linked = 0
         self.children: list[Node | str] = []
         self.score = 0.0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
@@ -54,15 +65,17 @@ class Node:
             parent.children.append(self)
 
 
-def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
+def _cuts(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is cut, and whether only its class or id says so."""
     if tag in _CUT or tag == "header" and not (parent.inside or parent.tag in ("article", "main")):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     found = {m[1].lower(): next((html.unescape(x) for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    return found.get("role", "").lower() in _ROLES or bool(_NOISE.search(found.get("class", ""))) or bool(_NOISE.search(found.get("id", "")))
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in _ROLES:
+        return True, False
+    named = bool(_NOISE.search(found.get("class", ""))) or bool(_NOISE.search(found.get("id", "")))
+    return named, named
 
 
 def parse(page: str) -> Node:
@@ -104,7 +117,7 @@ def parse(page: str) -> Node:
             if tag in ("br", "hr"):
                 node.children.append(Node(tag, None) if tag == "hr" else " ")
             continue
-        child = Node(tag, node, _is_cut(tag, m[3], node))
+        child = Node(tag, node, *_cuts(tag, m[3], node))
         if tag in _RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in _CUT:
@@ -115,7 +128,7 @@ def parse(page: str) -> Node:
     return root
 
 
-def _walk(node: Node):
+def _walk(node: Node) -> Iterator[Node]:
     """Nodes that are not cut, parents first."""
     stack = [node]
     while stack:
@@ -126,28 +139,31 @@ def _walk(node: Node):
         stack += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
-def _text(node: Node, links: bool = False) -> tuple[int, int]:
-    """Characters below a node, and those in links."""
-    total = linked = 0
-    stack = [(node, False)]
+def _every(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [c for c in x.children if isinstance(c, Node)]
+
+
+def _measure(root: Node) -> None:
+    """Characters below every node, and those in links, from the leaves up."""
+    nodes, stack = [], [(root, False)]
     while stack:
         x, link = stack.pop()
-        if x.cut:
-            continue
         link = link or x.tag == "a"
-        for c in x.children:
-            if isinstance(c, Node):
-                stack.append((c, link))
-            else:
-                n = len(c.strip())
-                total += n
-                linked += n * link
-    return total, linked
+        nodes.append((x, link))
+        stack += [(c, link) for c in x.children if isinstance(c, Node)]
+    for x, link in reversed(nodes):
+        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        inner = [c for c in x.children if isinstance(c, Node) and not c.cut]
+        x.total = own + sum(c.total for c in inner)
+        x.linked = own * link + sum(c.linked for c in inner)
 
 
 def _density(node: Node) -> float:
-    total, linked = _text(node)
-    return linked / total if total else 0.0
+    return node.linked / node.total if node.total else 0.0
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -196,19 +212,18 @@ def _paragraphs(root: Node) -> list[tuple[Node, str]]:
     return found
 
 
-def extract(page: str | None) -> str:
-    if not page:
-        return ""
-    root = parse(page)
-    paragraphs = _paragraphs(root)
+def _best(root: Node) -> Node | None:
+    """The container with most points."""
     scored: dict[int, Node] = {}
-    for node, text in paragraphs:
+    for node, text in _paragraphs(root):
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        level, up = 0, node if node.tag not in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else node.parent
-        while up is not None:
+        up = node if node.tag not in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else node.parent
+        for level in range(LEVELS):
+            if up is None:
+                break
             up.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
             scored[id(up)] = up
-            up, level = up.parent, level + 1
+            up = up.parent
     best, most = None, -1.0
     for node in _walk(root):
         if id(node) in scored:
@@ -217,21 +232,48 @@ def extract(page: str | None) -> str:
                 node.score *= 1.5
             if node.score > most:
                 best, most = node, node.score
-    if best is None:
-        return ""
-    kept = [best]
-    if best.parent is not None:
-        bar, kept = max(FLOOR, most * SIBLING), []
-        for s in best.parent.children:
-            if s is best:
+    return best
+
+
+def _kept(best: Node) -> list[Node]:
+    """The best container, or the article that it lies in, with the siblings that belong to it."""
+    for kind in ("article", "main"):
+        up = best
+        while up is not None and up.tag != kind:
+            up = up.parent
+        if up is not None:
+            best = up
+            break
+    if best.parent is None:
+        return [best]
+    bar, kept = max(FLOOR, best.score * SIBLING), []
+    for s in best.parent.children:
+        if s is best:
+            kept.append(s)
+        elif isinstance(s, Node) and not s.cut:
+            reads = s.tag in _READS and s.total and (_density(s) < LINKED if s.total > SHORT else s.linked == 0)
+            if s.score >= bar or reads or s.tag == best.tag == "article":
                 kept.append(s)
-            elif isinstance(s, Node) and not s.cut:
-                total, _ = _text(s)
-                density = _density(s)
-                text_like = s.tag in ("p", "blockquote", "pre", "h1", "h2", "h3") and total and (density < 0.25 if total > 80 else density == 0)
-                if s.score >= bar or text_like or s.tag == best.tag == "article":
-                    kept.append(s)
-    return "\n\n".join(blocks(kept))
+    return kept
+
+
+def extract(page: str | None) -> str:
+    if not page:
+        return ""
+    root = parse(page)
+    _measure(root)
+    best = _best(root)
+    if best is None:
+        # Nothing is left: let wrappers back in that hold most of what is not cut for other reasons.
+        named = [n for n in _every(root) if n.named]
+        for n in named:
+            n.cut = False
+        _measure(root)
+        for n in named:
+            n.cut = n.total < MOST * root.total
+        _measure(root)
+        best = _best(root)
+    return "\n\n".join(blocks(_kept(best))) if best else ""
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

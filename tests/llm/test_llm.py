@@ -393,6 +393,14 @@ def test_token_counts_are_the_librarys(spark, documents):
     assert all(rows[k]["over_limit"] == (n > 512) for k, n in enumerate(expected))
 
 
+def test_token_counts_odd_tables(spark):
+    path = str(queries.vocabulary_path())
+    df = frame(spark, ["one two", "one two", None, "x " * 2000], [1, 1, None, 4]).selectExpr("*", "1 AS n_bytes", "2 AS n_tokens", "3 AS over_limit")
+    rows = sorted(map(tuple, token_count.token_counts(df, path).collect()), key=str)
+    assert [r[:2] for r in rows] == [(1, 7), (1, 7), (4, 4000), (None, 0)] and [r[3] for r in rows] == [False, False, True, False] and rows[0] == rows[1]
+    assert token_count.token_counts(df.limit(0), path).count() == 0
+
+
 # --- 6: HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page">
@@ -415,6 +423,37 @@ def test_html_extraction(spark):
     assert rows[4]["n_chars"] == 4
 
 
+def test_html_keeps_all_of_a_nested_article():
+    """No part of an article is lost to a section that scores higher, nor a wrapper to a noise word in its class."""
+    body = [f"A paragraph, with commas, and enough words to count as text in this page, number {k}." for k in range(10)]
+    inner, end = "".join(f"<p>{b}" for b in body), "Short end."
+    expected = "\n\n".join([*body, end])
+    for page in (
+        f"<article><section>{inner}</section><section><p>{end}</section></article>",
+        f"<main><article><div><div>{inner}</div></div><div>{end}</div></article><div class=related><p>{body[0]}</div></main>",
+        f"<body><div id=x><div class=a>{inner}</div><div class=b><p>{end}</p></div></div><div class=menu>a, b</div>",
+        f"<body><div class='content has-sidebar'>{inner}<p>{end}</div><div class=sidebar>some, links, here</div>",
+    ):
+        assert html_extract.extract(page) == expected, page
+
+
+def test_html_extraction_is_linear():
+    took = []
+    for n in (1_000, 8_000):
+        began = time.process_time()
+        assert html_extract.extract("<div>" * n + "<p>x, y" * n + "</div>" * n).count("x, y") == n
+        assert html_extract.extract("".join(f"<div><p>para, {k}</p></div>" for k in range(n))).count("para") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1
+
+
+def test_html_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>one"), (1, "u", "<p>one"), (None, None, "<p>two"), (3, "v", None)], "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
+    rows = html_extract.extract_pages(pages).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, "u", "one", 3), (1, "u", "one", 3), (None, None, "two", 3), (3, "v", "", 0)], key=str)
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_html_of_sample_pages(spark, small):
     import html
 
