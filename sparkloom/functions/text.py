@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +19,33 @@ UNMARKED = (
     "a an the is are was were be been being have has had do does did will would could should may might shall can need dare used ought in on at to for of and or but not with this that it its as by from what how"
 ).split()
 
-#: Everything but letters, digits, white space and the marks that carry meaning in units, decimals and compounds.
+#: Everything but letters, digits, white space and the marks that carry meaning in units, decimals and compounds.
 MARKS = r"[^\p{L}\p{N}_\s.\-°/%]"
+#: Fixed value: how a list item starts.
 BULLET = r"^(\s*[•·‣▸▶◦▪▫●○◆◇►]\s+|\s*[-*+]\s+|\s*\d{1,2}[.)]\s+|\s*[a-zA-Z][.)]\s+)"
 
 
 def tokens(text: Column) -> Column:
     """Index tokens: lower case, marks to spaces, two characters or more, no stopwords."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), MARKS, " "), r"\s+", " "))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(plain, " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(plain, " "), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counted(words: Column) -> Column:
+    """array<struct<tok, tf>> of an array of words: runs of the sorted array, so no row leaves its task."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, F.greatest(i - 1, F.lit(1))) != F.element_at(w, i)))
+        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(w) + 1))
+        return let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(F.element_at(w, a).alias("tok"), (b - a).alias("tf"))))
+
+    none = F.array().cast("array<struct<tok: string, tf: int>>")
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(none)
 
 
 def content_hash(source: Column, page: Column, content: Column) -> Column:
@@ -79,10 +98,14 @@ def relevance_band(score: Column) -> Column:
 
 
 def context_block(source: Column, page: Column, section_path: Column, heading: Column, content: Column) -> Column:
-    """A chunk as the model reads it: a header line, then the text."""
+    """A chunk as the model reads it: a header line, then the text without white space around it."""
     section = or_else(section_path, heading)
     header = F.concat_ws(" | ", F.concat(F.lit("Source: "), source), F.concat(F.lit("Page: "), page.cast("string")), F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("Section: "), section)))
-    return F.concat(F.lit("["), header, F.lit("]\n"), content)
+    return F.concat(F.lit("["), header, F.lit("]\n"), stripped(content))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def filename_of(url: Column) -> Column:
@@ -91,3 +114,62 @@ def filename_of(url: Column) -> Column:
 
 def breadcrumb(path: Column) -> Column:
     return F.filter(F.split(path, r"\s*[>/]\s*"), lambda x: x != "")
+
+
+#: Fixed value: what queries, and only they, are given in front for encoders of the asymmetric kind.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def query_text(question: Column, prefix: str = QUERY_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), stripped(question))
+
+
+def bbox_json(bbox: Column) -> Column:
+    """A box as JSON text, empty for none."""
+    return F.when(bbox.isNull(), "").otherwise(F.to_json(bbox))
+
+
+def bbox_of(text: Column) -> Column:
+    """The box in a JSON text; null where it is empty or not one."""
+    return F.try_element_at(F.array(F.from_json(F.concat(F.lit('{"b":'), F.when(text != "", text), F.lit("}")), "b array<double>")), F.lit(1))["b"]
+
+
+def canvas_box(bbox: Column, page_height: Column, scale: Column) -> Column:
+    """struct(x, y, width, height) on a canvas, whose y axis points down, of a box in points."""
+    x0, y0, x1, y1 = (bbox[k] for k in range(4))
+    return F.struct((x0 * scale).alias("x"), ((page_height - y1) * scale).alias("y"), ((x1 - x0) * scale).alias("width"), ((y1 - y0) * scale).alias("height"))
+
+
+def page_sample(page_text: Column) -> Column:
+    """The start of a page, on one line, as an image's label quotes it."""
+    return stripped(F.replace(F.substring(stripped(page_text), 1, 300), F.lit("\n"), F.lit(" ")))
+
+
+def image_label(page: Column, figure: Column, page_text: Column, source: Column) -> Column:
+    """The text that stands for an image: its page and figure number, and the start of the page's text or the file's name."""
+    head = F.concat(F.lit("[IMAGE — Page "), page.cast("string"), F.lit(", Figure "), figure.cast("string"), F.lit("] "))
+    near = page_sample(F.coalesce(page_text, F.lit("")))
+    return F.concat(head, F.when(near != "", F.concat(F.lit("Figure on this page. Page context: "), near)).otherwise(F.concat(F.lit("Visual figure or diagram from "), source)))
+
+
+def image_url(path: Column) -> Column:
+    return F.concat(F.lit("/images/"), F.element_at(F.split(path, "/"), -1))
+
+
+def public_url(base: str, bucket: str, filename: Column) -> Column:
+    return F.concat(F.lit(f"{base}/storage/v1/object/public/{bucket}/"), filename)
+
+
+def file_icon(filename: Column) -> Column:
+    """The mark of each file type."""
+    name = F.lower(filename)
+    return F.when(name.endswith(".pdf"), "📄").when(name.endswith(".csv"), "📊").when(name.endswith(".xlsx"), "📗").otherwise("📝")
+
+
+def chunk_icon(kind: Column) -> Column:
+    """The mark of each chunk type."""
+    return F.when(kind == "image", "🖼").when(kind == "table", "⊞").otherwise("◈")
+
+
+def short_section(section: Column) -> Column:
+    return F.when(F.length(section) > 22, F.concat(F.substring(section, 1, 22), F.lit("…"))).otherwise(section)

@@ -89,8 +89,8 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
 
 
 def splitter(strategy: str, size: int, overlap: int):
-    """A column function: text -> array of chunks, by ``fixed`` or ``recursive``."""
-    cut = {"fixed": split_fixed, "recursive": split_recursive}[strategy]
+    """A column function: text -> array of chunks, by ``fixed_size`` or ``recursive``."""
+    cut = {"fixed_size": split_fixed, "recursive": split_recursive}[strategy]
 
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
@@ -99,7 +99,7 @@ def splitter(strategy: str, size: int, overlap: int):
     return split
 
 
-def chunk_documents(docs: DataFrame, strategy: str = "fixed", settings: Settings = Settings()) -> DataFrame:
+def chunk_documents(docs: DataFrame, strategy: str = "fixed_size", settings: Settings = Settings()) -> DataFrame:
     """One row per chunk of (doc_id, content, type): index, total, strategy; tables and images stay whole."""
     atomic = F.col("type").isin(*ATOMIC)
     parts = F.when(atomic, F.array("content")).otherwise(splitter(strategy, settings.chunk_size, settings.chunk_overlap)(F.col("content")))

@@ -3,49 +3,90 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import or_else, tokens
+from sparkloom.functions.text import counted, or_else, stripped, tokens
+from sparkloom.runtime import cut, stored
 from sparkloom.schema import Settings
 
-#: Query vectors that are sent to the tasks together.
-QUERY_BLOCK = 4096
+#: Query vectors that are sent to the tasks together, and rows that meet them at once.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Weighted query terms that are sent to the postings; more meet them by a shuffled join.
+BROADCAST_TERMS = 200_000
+
+
+@dataclass(frozen=True)
+class SparseIndex:
+    """What BM25 needs of a chunk table: rows (doc, dl, terms), their vocabulary (tok, df), and three numbers."""
+
+    rows: DataFrame
+    vocabulary: DataFrame
+    n: int
+    average: float
+    mean: float  # of the vocabulary's raw weights
+
+
+def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", *more: str) -> DataFrame:
+    """(doc, dl, terms): the counted tokens of each document with content, inside its row."""
+    words = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").select(F.col(id_col).alias("doc"), *more, tokens(F.col(text_col)).alias("w"))
+    return words.select("doc", *more, F.size("w").alias("dl"), counted(F.col("w")).alias("terms"))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """(doc, tok, tf)"""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("tok")).groupBy("doc", "tok").agg(F.count(F.lit(1)).alias("tf"))
+    return document_terms(docs, id_col, text_col).select("doc", F.explode("terms").alias("t")).select("doc", "t.tok", F.col("t.tf").cast("long").alias("tf"))
 
 
-def idf(post: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
-    """(tok, idf): Okapi weights; negative ones become epsilon times the vocabulary's mean weight before that."""
-    df = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.select("tok", (F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("w"))
-    mean = raw.agg(F.avg("w").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("tok", F.when(F.col("w") < 0, epsilon * F.col("mean")).otherwise(F.col("w")).alias("idf"))  # mean: one row
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(tok, df) of (doc, dl, terms) rows; counts are summed in each task before they meet."""
+    return rows.select(F.explode("terms").alias("t")).groupBy("t.tok").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """(query, doc, score, rank): top k of each query; scores at or under zero are dropped after the cut."""
-    sized = docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).alias("dl"))
-    n, average = sized.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    if not n or not average:
-        return docs.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
-    terms = queries.select("query", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("query", "tok").agg(F.count(F.lit(1)).alias("qf"))
-    post = postings(docs, id_col, text_col)
+def raw_weight(df: Column, n: int) -> Column:
+    return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
+
+
+def indexed(rows: DataFrame, words: DataFrame) -> SparseIndex:
+    """An index over written tables."""
+    n, average = rows.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    mean = words.agg(F.avg(raw_weight(F.col("df"), n))).first()[0] if n else 0.0
+    return SparseIndex(rows, words, n, average or 0.0, mean or 0.0)
+
+
+def sparse_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> SparseIndex:
+    """The index of a chunk table, written once to the checkpoint folder."""
+    rows = stored(document_terms(docs, id_col, text_col))
+    return indexed(rows, stored(vocabulary(rows)))
+
+
+def search(index: SparseIndex, queries: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
+    """(query, doc, score, rank): top k of each query; scores at or under zero are dropped after the cut.
+
+    Okapi weights; negative ones become epsilon times the vocabulary's mean weight. The queries' weighted terms go to the postings where they are
+    few, by their counted number; a document's hits then never leave its task, and scores are summed there.
+    """
     s = settings
-    weights = idf(post, n, s.bm25_epsilon).join(terms.select("tok").distinct(), "tok", "left_semi")
-    hits = post.join(weights, "tok").join(terms, "tok").join(sized, "doc")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / average))
+    terms = queries.select("query", F.explode(counted(tokens(F.col("text")))).alias("t")).select("query", "t.tok", F.col("t.tf").alias("qf"))
+    w = raw_weight(F.col("df"), index.n)
+    weighted = cut(terms.join(index.vocabulary, "tok").select("query", "tok", (F.col("qf") * F.when(w < 0, s.bm25_epsilon * index.mean).otherwise(w)).alias("weight")))
+    few = weighted.count() <= BROADCAST_TERMS
+    hits = index.rows.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.tok", "t.tf").join(F.broadcast(weighted) if few else weighted, "tok")
+    part = F.col("weight") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.lit(index.average)))
     scores = hits.groupBy("query", "doc").agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "doc")
     return scores.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """``search`` over a chunk table that has no index yet."""
+    return search(sparse_index(docs, id_col, text_col), queries, k, settings)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, keep_self: bool = True, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
     """(query, doc, score, rank): exact cosine top k.
 
@@ -60,9 +101,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(at, ROW_BLOCK) for b in batches for at in range(0, b.num_rows, ROW_BLOCK)):
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
                 m = np.vstack(batch.column(1).to_numpy(zero_copy_only=False))
                 size = np.linalg.norm(m, axis=1)
@@ -152,16 +191,17 @@ def diversify(ranked: DataFrame, k: int, threshold: float = Settings.diversity)
     return lists.select("query", F.posexplode(picked).alias("pos", "doc")).select("query", "doc", (F.col("pos") + 1).alias("rank"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_sparse: bool = False, deduplicate: bool = True) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_sparse: bool = False, deduplicate: bool = True, index: SparseIndex | None = None) -> DataFrame:
     """Dense and sparse top lists, fused, thresholded, deduplicated and diversified.
 
     chunks: doc_id, content, vector; queries: query, text, vector. ``pin`` filters the dense list before its cut, and the
-    sparse one only with ``pin_sparse``. (query, doc, rrf_score, rank)
+    sparse one only with ``pin_sparse``. ``index`` is that of all chunks, if there is one. (query, doc, rrf_score, rank)
     """
     content = chunks.select(F.col("doc_id").alias("doc"), "content", "vector")
     dense = knn(chunks, queries, settings.fetch_k, pin).join(content.select("doc", "content"), "doc")
-    lexical = chunks.where(pin) if pin is not None and pin_sparse else chunks
-    sparse = bm25(lexical, queries, settings.fetch_k, settings).join(content.select("doc", "content"), "doc")
+    if pin is not None and pin_sparse:
+        index = sparse_index(chunks.where(pin))
+    sparse = search(index or sparse_index(chunks), queries, settings.fetch_k, settings).join(content.select("doc", "content"), "doc")
     fused = rrf(dense, sparse, settings)
     if not deduplicate:
         return fused.where(F.col("rank") <= settings.top_k).select("query", "doc", "rrf_score", "rank")
@@ -186,11 +226,11 @@ def rerank(rows: DataFrame, k: int, scorer: Callable[[Column, Column], Column] =
 
 
 def expand_parents(rows: DataFrame) -> DataFrame:
-    """The first child of each parent stands for it and takes its text; rows without a parent all stay."""
-    has = F.coalesce(F.col("parent_id"), F.lit("")) != ""
-    key = F.when(has, F.col("parent_id")).otherwise(F.concat(F.lit("row:"), F.col("rank").cast("string")))
-    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("query", key).orderBy("rank"))).where("copy = 1").drop("copy")
-    out = first.withColumn("content", or_else(F.col("parent_content"), F.col("content")))
+    """The first child of each parent stands for it and takes its text; rows without a parent's id and text all stay as they are."""
+    has = (F.coalesce(F.col("parent_id"), F.lit("")) != "") & (F.coalesce(F.col("parent_content"), F.lit("")) != "")
+    key = F.when(has, F.col("parent_id")).otherwise(F.col("rank").cast("string"))
+    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("query", has, key).orderBy("rank"))).where("copy = 1").drop("copy")
+    out = first.withColumn("content", F.when(has, F.col("parent_content")).otherwise(F.col("content")))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 
 
@@ -199,7 +239,14 @@ def online(rows: DataFrame, settings: Settings = Settings(), scorer: Callable[[C
     return rerank(expand_parents(rerank(rows, settings.rerank_top_k, scorer)), settings.rerank_top_k, scorer)
 
 
+def offline(rows: DataFrame, settings: Settings = Settings(), reranked: bool = False, k: int = 5, scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:
+    """Without a model: the first k hits as they are, or the whole path of ``online`` where reranking is switched on."""
+    return online(rows, settings, scorer) if reranked else rows.where(F.col("rank") <= k)
+
+
 def gate(rows: DataFrame, least: float = Settings.min_rerank_score) -> DataFrame:
-    """All of a query's rows, or none if its best score is under ``least``."""
-    best = F.first("score").over(Window.partitionBy("query").orderBy("rank"))
-    return rows.withColumn("best_score", best).where((F.col("best_score") >= least) & (F.trim("content") != ""))
+    """All of a query's rows, or none if its best score is under ``least`` or all of its context is blank."""
+    every = Window.partitionBy("query")
+    best = F.first("score").over(every.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    some = F.max(stripped(F.col("content")) != "").over(every)
+    return rows.withColumn("best_score", best).withColumn("__some", some).where((F.col("best_score") >= least) & F.col("__some")).drop("__some")

@@ -1,13 +1,18 @@
-"""A chunk store over a Parquet table: append, upsert, deletes, listing, fingerprints."""
+"""A chunk store and a sparse index over Parquet tables: append, upsert, deletes, listing, fingerprints."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkloom.operators.retrieval import SparseIndex, document_terms, indexed, vocabulary
+from sparkloom.runtime import claim, names_in, stored, text_of
+
 
 def upsert(target: DataFrame, rows: DataFrame, key: str = "point_id") -> DataFrame:
     """Rows replace those of the same key."""
@@ -35,7 +40,7 @@ def type_histogram(chunks: DataFrame) -> DataFrame:
 
 
 def etag(chunks: DataFrame, key: str = "point_id") -> DataFrame:
-    """The version of a store: digest of its sorted ids. Ids are hashed in place; only digests meet in one row."""
+    """The version of a store: digest of its sorted ids, which meet in one row, as the definition asks."""
     ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
     return chunks.agg(F.md5(F.array_join(ids, ",").cast("binary")).alias("etag"), F.count(F.lit(1)).alias("n"))
 
@@ -53,56 +58,142 @@ def batch_files(files: DataFrame) -> DataFrame:
     return hashed.join(firsts, "sha256").select("seq", "sha256", "first_seq", (F.col("seq") != F.col("first_seq")).alias("duplicate"))
 
 
+def has_source(chunks: DataFrame, source: str) -> bool:
+    """Whether a source is there to be pinned or deleted."""
+    return bool(chunks.where(F.col("source") == source).limit(1).count())
+
+
 class ChunkStore:
-    """Versions of one table under ``path``; a change writes a new version and then points at it.
+    """Versions of one table under ``path``, dealt over ``buckets`` by a hash of the key.
 
-    A reader keeps the version it has opened, and a failed change leaves the last version in place.
+    A change writes the buckets that it touches anew and then a version file, which lists the folder of each bucket; the others stay where
+    they are. Version numbers are claimed exclusively: of two writers at once one gets an error and may try again, and
+    neither's rows are lost. A reader keeps the version it has opened, and a failed change leaves the last one in place.
+    Of rows with one key, a change keeps the last by ``order`` if it names a column, else the greatest row.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "point_id"):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "point_id", buckets: int = 64, order: str | None = None):
+        self.spark, self.path, self.schema, self.key, self.buckets, self.order = spark, path.rstrip("/"), schema, key, buckets, order
 
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("version string, at timestamp").json(f"{self.path}/versions")
+    def versions(self) -> list[str]:
+        return [n for n in names_in(self.spark, f"{self.path}/versions") if n.endswith(".json")]
 
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _folders(self) -> dict[str, str]:
+        found = self.versions()
+        return json.loads(text_of(self.spark, f"{self.path}/versions/{found[-1]}")) if found else {}
 
-    def read(self) -> DataFrame:
-        last = self._pointer().orderBy(F.col("at").desc(), "version").first() if self._exists() else None
-        if last is None:
+    def _open(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{last['version']}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f}" for f in folders])
 
-    def _commit(self, rows: DataFrame) -> None:
+    def read(self) -> DataFrame:
+        return self._open(sorted(set(self._folders().values())))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets))
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        names = self.schema.fieldNames()
+        by = F.struct(*([self.order] if self.order else []), F.xxhash64(*names), *[F.col(c).cast("string") for c in names])
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*names), by).alias("r")).select("r.*")
+
+    def _change(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], all_of_them: bool = False) -> None:
+        """Put ``change`` of the touched buckets' rows in their place; ``touched`` has the rows whose keys say which these are."""
+        number, folders = len(self.versions()), self._folders()
+        places = [str(b) for b in range(self.buckets)] if all_of_them else sorted(str(r[0]) for r in touched.select(self._bucket()).distinct().collect())  # at most ``buckets``
+        old = self._open([folders[b] for b in places if b in folders])
         version = uuid.uuid4().hex
-        rows.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/data/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        change(old).select(*self.schema.fieldNames()).withColumn("__bucket", self._bucket()).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/data/{version}")
+        written = {n.split("=")[1] for n in names_in(self.spark, f"{self.path}/data/{version}") if n.startswith("__bucket=")}
+        now = {b: f for b, f in folders.items() if b not in places} | {b: f"{version}/__bucket={b}" for b in written}
+        if not claim(self.spark, f"{self.path}/versions/{number:010d}.json", json.dumps(now)):
+            raise RuntimeError("another writer has changed the store; try again")
 
     def append(self, rows: DataFrame) -> None:
-        self._commit(self.read().unionByName(rows.select(*self.schema.fieldNames())))
+        self._change(rows, lambda old: old.unionByName(rows.select(*self.schema.fieldNames())))
 
     def upsert(self, rows: DataFrame) -> None:
-        self._commit(upsert(self.read(), rows.select(*self.schema.fieldNames()), self.key))
+        last = self._last(rows)
+        self._change(last, lambda old: upsert(old, last, self.key))
 
     def delete_by_source(self, source: str) -> int:
-        before = self.read()
-        gone = before.where(F.col("source").eqNullSafe(F.lit(source))).count()
-        if gone:
-            self._commit(without_source(before, source))
-        return gone
+        gone = self.read().where(F.col("source").eqNullSafe(F.lit(source)))
+        count = gone.count()
+        if count:
+            self._change(gone, lambda old: without_source(old, source))
+        return count
 
     def delete_by_ids(self, ids: DataFrame) -> int:
-        before = self.read()
-        gone = before.join(ids.select(self.key).distinct(), self.key, "left_semi").count()
-        if gone:
-            self._commit(without_ids(before, ids, self.key))
-        return gone
+        gone = self.read().join(ids.select(self.key).distinct(), self.key, "left_semi")
+        count = gone.count()
+        if count:
+            self._change(gone, lambda old: without_ids(old, ids, self.key))
+        return count
 
     def reset(self) -> None:
-        self._commit(self.spark.createDataFrame([], self.schema))
+        self._change(self.spark.createDataFrame([], self.schema), lambda old: old.limit(0), all_of_them=True)
 
     def count(self) -> int:
         return self.read().count()
+
+
+class SparseStore:
+    """A kept sparse index under ``path``: postings, and the vocabulary as counts that add up.
+
+    ``add`` and ``delete_by_source`` write a part each and rewrite nothing: a deletion is the source's name, which hides older postings, and
+    its counts with a minus. A part counts once its number is claimed, so readers see whole changes only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "point_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _parts(self) -> list[tuple[int, str]]:
+        names = [n for n in names_in(self.spark, f"{self.path}/parts") if n.endswith(".json")]
+        return [(int(n.split(".")[0]), json.loads(text_of(self.spark, f"{self.path}/parts/{n}"))["folder"]) for n in names]
+
+    def _since_reset(self) -> list[tuple[int, str]]:
+        parts = self._parts()
+        last = max([k for k, (_, folder) in enumerate(parts) if not folder], default=-1)
+        return parts[last + 1 :]
+
+    def _commit(self, folder: str) -> None:
+        if not claim(self.spark, f"{self.path}/parts/{len(self._parts()):010d}.json", json.dumps({"folder": folder})):
+            raise RuntimeError("another writer has changed the index; try again")
+
+    def _write(self, rows: DataFrame, words: DataFrame, gone: str | None) -> None:
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}/rows")
+        words.write.parquet(f"{self.path}/data/{folder}/words")
+        self.spark.createDataFrame([(gone,)] if gone is not None else [], "source string").coalesce(1).write.parquet(f"{self.path}/data/{folder}/gone")
+        self._commit(folder)
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        out = self.spark.createDataFrame([], f"{schema}, part long")
+        for number, folder in self._since_reset():
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/data/{folder}/{kind}").withColumn("part", F.lit(number).cast("long")))
+        return out
+
+    def rows(self) -> DataFrame:
+        """(doc, source, dl, terms) of what is in the index."""
+        rows = self._read("rows", "doc string, source string, dl int, terms array<struct<tok: string, tf: int>>")
+        gone = self._read("gone", "source string").groupBy("source").agg(F.max("part").alias("hidden_to")).withColumnRenamed("source", "gone")
+        return rows.join(gone, (F.col("source") == F.col("gone")) & (F.col("part") < F.col("hidden_to")), "left_anti").drop("part")
+
+    def add(self, chunks: DataFrame) -> None:
+        rows = stored(document_terms(chunks.withColumn(self.key, F.col(self.key).cast("string")).withColumn("source", F.coalesce("source", F.lit(""))), self.key, "content", "source"))
+        self._write(rows, vocabulary(rows), None)
+
+    def delete_by_source(self, source: str) -> int:
+        gone = stored(self.rows().where(F.col("source") == source))
+        count = gone.count()
+        if count:
+            self._write(gone.limit(0), vocabulary(gone).withColumn("df", -F.col("df")), source)
+        return count
+
+    def reset(self) -> None:
+        self._commit("")
+
+    def index(self) -> SparseIndex:
+        words = self._read("words", "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df")).where("df > 0")
+        return indexed(self.rows(), words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import content_hash, filename_of, or_else
+from sparkloom.functions.text import content_hash, filename_of, or_else, stripped
 
 
 def plan(cloud: DataFrame, local: DataFrame, key: str = "point_id") -> DataFrame:
@@ -25,9 +25,10 @@ def pending(cloud: DataFrame, local: DataFrame, key: str = "point_id") -> DataFr
 
 
 def url_filenames(chunks: DataFrame) -> DataFrame:
-    """(url, filename): the first source of each non-blank url, else the url's last part."""
-    rows = chunks.where(F.trim("source_url") != "").withColumn("name", or_else(F.col("source"), filename_of(F.col("source_url"))))
-    return rows.groupBy(F.col("source_url").alias("url")).agg(F.min_by("name", "ord").alias("filename"))
+    """(url, filename): the first source of each non-blank url, else the url's last part; both without white space around."""
+    url = stripped(F.col("source_url"))
+    rows = chunks.where(url != "").select("ord", url.alias("url"), or_else(stripped(F.col("source")), filename_of(url)).alias("name"))
+    return rows.where("name <> ''").groupBy("url").agg(F.min_by("name", "ord").alias("filename"))
 
 
 def missing_files(sources: DataFrame, manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
@@ -48,19 +49,49 @@ def client_diff(client: DataFrame, server: DataFrame) -> DataFrame:
 
 
 def export_page(chunks: DataFrame, vectors: DataFrame, offset: int = 0, limit: int = 2000, source: str | None = None, order: str = "ord") -> DataFrame:
-    """A page of chunks with their vectors; equal content keys inside the page keep the first.
+    """A page of chunks in the thirteen columns of an export; equal content keys inside the page keep the first.
 
-    chunks: ord, source, page, content, parent_content, ...; vectors: content_hash, vector.
+    chunks: the order column and any canonical ones; vectors: content_hash, embedding. A chunk without a vector has null.
     """
     if not 1 <= limit <= 3000 or offset < 0:
         raise ValueError("limit must be 1 to 3000 and offset not negative")
     rows = chunks if source is None else chunks.where(F.col("source") == source)
     page = rows.orderBy(order).offset(offset).limit(limit).withColumn("content_hash", content_hash(F.col("source"), F.col("page"), F.col("content")))
     first = page.withColumn("copy", F.row_number().over(Window.partitionBy("content_hash").orderBy(order))).where("copy = 1").drop("copy")
-    return first.join(vectors, "content_hash", "left").withColumn("content", or_else(F.col("parent_content"), F.col("content")))
+    out = first.select(
+        order, F.col("content_hash").alias("id"), "source", "content", or_else(F.col("parent_content"), F.col("content")).alias("parent_content"), "parent_id", "page", F.col("type").alias("chunk_type"),
+        "section_path", "heading", "bbox", "page_width", "page_height",
+    )
+    return out.join(vectors.select(F.col("content_hash").alias("id"), "embedding"), "id", "left")
 
 
-def transitions(samples: DataFrame, key: str, at: str, status: str) -> DataFrame:
-    """Rows whose status differs from the one before, by key, with both."""
-    w = Window.partitionBy(key).orderBy(at, "event_id")
+def export_vectors(chunks: DataFrame, vector: str = "vector", key: str = "point_id") -> DataFrame:
+    """(content_hash, embedding) of a store; of chunks with one content key, the last by key gives the vector."""
+    rows = chunks.select(content_hash(F.col("source"), F.col("page"), F.col("content")).alias("content_hash"), key, vector)
+    return rows.groupBy("content_hash").agg(F.max_by(vector, key).alias("embedding"))
+
+
+def matched(page: DataFrame) -> DataFrame:
+    """(chunks, matched): how many chunks of an export page have a vector."""
+    return page.agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("matched"))
+
+
+def key_overlap(chunks: DataFrame, vectors: DataFrame, first: int | None = None, order: str = "ord") -> DataFrame:
+    """(chunks, vectors, overlap): distinct content keys that both sides have; ``first`` looks at so many chunks only, as a diagnostic."""
+    rows = chunks if first is None else chunks.orderBy(order).limit(first)
+    keys, held = rows.select(content_hash(F.col("source"), F.col("page"), F.col("content")).alias("k")), vectors.select(F.col("content_hash").alias("k"))
+    both = keys.intersect(held).agg(F.count(F.lit(1)).alias("overlap"))
+    counts = chunks.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(vectors.agg(F.countDistinct("content_hash").alias("vectors")))  # one row each
+    return counts.crossJoin(both)
+
+
+def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children with the text of their parent by id, their own fields first: (parent_id, content) of ``parents`` are looked up."""
+    p = parents.groupBy("parent_id").agg(F.first("content").alias("__parent"))
+    return children.join(p, "parent_id", "left").withColumn("parent_content", or_else(F.col("parent_content"), F.col("__parent"))).drop("__parent")
+
+
+def transitions(samples: DataFrame, key: str, at: str, status: str, tie: str | None = None) -> DataFrame:
+    """Rows whose status differs from the one before, by key, with both; ``tie`` orders rows of one time."""
+    w = Window.partitionBy(key).orderBy(at, *([tie] if tie else []))
     return samples.withColumn("before", F.lag(status).over(w)).where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))

@@ -53,7 +53,8 @@ def _sql_tokens(column: str) -> str:
 
 
 _HASH = "md5(source || '|' || 'None' || '|' || content[1:80])"
-_CHUNKS = "chunks AS (SELECT doc_id, source, text AS content FROM documents)"
+_CHUNKS = "chunks AS (SELECT doc_id, source, text AS content FROM documents WHERE text <> '')"
+_INDEXES: dict[tuple[str, str, bool], retrieval.SparseIndex] = {}
 _LINES = r"""lines AS (
   SELECT doc_id::VARCHAR AS source, i - 1 AS block_seq, l[i] AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[i]) <> ''
 ), typed AS (
@@ -80,6 +81,14 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
+def _index(spark: SparkSession, sf_dir: str, paired: bool = False) -> retrieval.SparseIndex:
+    """The sparse index of the chunks, built at the first query of an application and kept in its checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, paired)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.sparse_index((_paired if paired else _chunks)(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.line_blocks(table(spark, sf_dir, "documents"))
 
@@ -128,9 +137,9 @@ def url_filenames(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", T.filename_of(F.col("url")).alias("filename"))
 
 
-@query("SELECT source, md5(text) AS content, 'text' AS type, '' AS heading, round(n_chars / 7.0::DOUBLE, 4) AS score, NULL::INTEGER AS page FROM documents")
+@query("SELECT 'unknown' AS source, md5(text) AS content, 'text' AS type, '' AS heading, round(n_chars / 7.0::DOUBLE, 4) AS score, NULL::INTEGER AS page FROM documents")
 def canonical_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 7.0).withColumnRenamed("text", "content")
+    d = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 7.0).withColumnRenamed("text", "content").drop("source")
     return canonical(d).select("source", F.md5(F.col("content").cast("binary")).alias("content"), "type", "heading", "score", "page")
 
 
@@ -154,7 +163,17 @@ _BM25 = f"""tokens AS (SELECT doc_id, unnest({_sql_tokens("content")}) AS tok FR
 @query(f"WITH {_CHUNKS}, questions AS (SELECT item_id AS query, text FROM benchmark), {_BM25.replace("{k}", "20")} SELECT query, doc_id AS doc, round(score, 4) AS score, rank::INTEGER AS rank FROM sparse")
 def bm25_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return retrieval.bm25(_chunks(spark, sf_dir), q, 20).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+    return retrieval.search(_index(spark, sf_dir), q, 20).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"""WITH {_CHUNKS}, tokens AS (SELECT doc_id, unnest({_sql_tokens("content")}) AS tok FROM chunks), df AS (SELECT tok, count(DISTINCT doc_id) AS df FROM tokens GROUP BY tok
+), dl AS (SELECT doc_id, len({_sql_tokens("content")}) AS dl FROM chunks), stats AS (SELECT count(*) AS n, avg(dl) AS average FROM dl)
+SELECT (SELECT n FROM stats) AS n, (SELECT round(average, 6) FROM stats) AS average, count(*)::BIGINT AS words, sum(df)::BIGINT AS postings, round(avg(ln((SELECT n FROM stats) - df + 0.5) - ln(df + 0.5)), 6) AS mean FROM df""")
+def sparse_index(spark, sf_dir):
+    """The index built anew: documents, average length, words, postings, and the words' mean raw weight."""
+    i = retrieval.sparse_index(_chunks(spark, sf_dir))
+    numbers = [F.lit(i.n).cast("long").alias("n"), F.round(F.lit(i.average), 6).alias("average")]
+    return i.vocabulary.agg(F.count(F.lit(1)).alias("words"), F.sum("df").alias("postings")).select(*numbers, "words", "postings", F.round(F.lit(i.mean), 6).alias("mean"))
 
 
 _KNN = """SELECT query, doc, round(score, 4) AS score, rank::INTEGER AS rank FROM (
@@ -176,7 +195,7 @@ def dense_topk_filtered(spark, sf_dir):
     return retrieval.knn(_embedded(spark, sf_dir), _vector_queries(spark, sf_dir), 20, F.col("label") == 1).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
-_FUSED = f"""WITH chunks AS (SELECT doc_id, source, text AS content, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id
+_FUSED = f"""WITH RECURSIVE chunks AS (SELECT doc_id, source, text AS content, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id
 ), questions AS (SELECT item_id AS query, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id
 ), {_BM25.replace("{k}", "60")}, dense AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
@@ -194,7 +213,7 @@ def _fused(spark, sf_dir, pin=None):
     chunks, q = _paired(spark, sf_dir), _questions(spark, sf_dir)
     text = chunks.select(F.col("doc_id").alias("doc"), "content")
     s = Settings()
-    return retrieval.rrf(retrieval.knn(chunks, q, s.fetch_k, pin).join(text, "doc"), retrieval.bm25(chunks, q, s.fetch_k).join(text, "doc"))
+    return retrieval.rrf(retrieval.knn(chunks, q, s.fetch_k, pin).join(text, "doc"), retrieval.search(_index(spark, sf_dir, True), q, s.fetch_k).join(text, "doc"))
 
 
 @query(_FUSED.replace("{pin}", "true"))
@@ -207,12 +226,41 @@ def rrf_pinned(spark, sf_dir):
     return _fused(spark, sf_dir, F.col("source") == "src1").select("query", "doc", "rrf_score", "rank")
 
 
-@query()
+def _greedy(rows: str, k: int, bar: float) -> str:
+    """SQL of the diversity rule over ``rows`` (query, doc, v, rank): one step a row, the list of taken rows as state."""
+    return f"""walk AS (
+  SELECT DISTINCT query, 0::BIGINT AS n, []::STRUCT(d BIGINT, v DOUBLE[])[] AS taken FROM {rows}
+  UNION ALL
+  SELECT w.query, w.n + 1, CASE WHEN len(taken) < {k} AND len(list_filter(taken, lambda t: list_cosine_similarity(t.v, r.v) >= {bar})) = 0 THEN list_append(taken, struct_pack(d := r.doc, v := r.v)) ELSE taken END
+  FROM walk w JOIN {rows} r ON r.query = w.query AND r.rank = w.n + 1
+), ends AS (SELECT query, arg_max(taken, n) AS taken FROM walk GROUP BY query
+), every AS (SELECT query, list(doc ORDER BY rank) AS docs FROM {rows} GROUP BY query
+), picked AS (
+  SELECT query, CASE WHEN len(docs) <= {k} THEN docs ELSE list_concat(list_transform(taken, lambda t: t.d), list_filter(docs, lambda d: NOT list_contains(list_transform(taken, lambda t: t.d), d)))[1:{k}] END AS docs
+  FROM ends JOIN every USING (query)
+), chosen AS (SELECT query, docs[i] AS doc, i::INTEGER AS rank FROM (SELECT query, docs, unnest(range(1, len(docs) + 1)) AS i FROM picked))"""
+
+
+_HYBRID = (
+    _FUSED.replace("{pin}", "true").rsplit("\nSELECT query, doc, rrf_score", 1)[0]
+    + """, listed AS (SELECT query, doc, rrf_score, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, dr NULLS LAST, sr NULLS LAST) AS rank FROM fused
+), candidates AS (SELECT query, doc, rank, embedding::DOUBLE[] AS v FROM listed JOIN embeddings ON doc = vec_id
+), """
+    + _greedy("candidates", 20, 0.7)
+    + " SELECT c.query, c.doc, l.rrf_score, c.rank FROM chosen c JOIN listed l ON c.query = l.query AND c.doc = l.doc"
+)
+
+
+@query(_HYBRID)
 def hybrid_retrieve(spark, sf_dir):
-    return retrieval.hybrid(_paired(spark, sf_dir), _questions(spark, sf_dir))
+    return retrieval.hybrid(_paired(spark, sf_dir), _questions(spark, sf_dir), index=_index(spark, sf_dir, True))
 
 
-@query()
+@query(
+    "WITH RECURSIVE candidates AS (SELECT query, doc, rank, embedding::DOUBLE[] AS v FROM (" + _KNN.replace("{where}", "true").replace("rank <= 20", "rank <= 60") + ") JOIN embeddings ON doc = vec_id), "
+    + _greedy("candidates", 20, 0.2)
+    + " SELECT query, doc, rank FROM chosen"
+)
 def mmr_select(spark, sf_dir):
     e = _embedded(spark, sf_dir)
     near = retrieval.knn(e, _vector_queries(spark, sf_dir), 60).join(e.select(F.col("doc_id").alias("doc"), "vector"), "doc")
@@ -220,16 +268,17 @@ def mmr_select(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    """BM25 hits as result rows; documents of the same source and language share a parent."""
+    """BM25 hits as result rows; documents of the same source and language share a parent, whose text every fourth lacks."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"), "text")
-    found = retrieval.bm25(_chunks(spark, sf_dir), q.select("query", "text"), 20)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", F.col("text").alias("content"), F.concat_ws("-", "source", "lang").alias("parent_id"), F.concat(F.lit("parent of "), "source", F.lit(": "), "text").alias("parent_content"))
+    found = retrieval.search(_index(spark, sf_dir), q.select("query", "text"), 20)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", F.col("text").alias("content"), F.concat_ws("-", "source", "lang").alias("parent_id"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("parent of "), "source", F.lit(": "), "text")).alias("parent_content"))
     more = {"page": (F.col("doc") % 5).cast("int"), "section_path": F.lit(""), "heading": F.col("parent_id"), "type": F.lit("text")}
     return found.join(d, "doc").join(q.select("query", "query_text"), "query").withColumns(more)
 
 
 _HITS = f"""WITH {_CHUNKS}, questions AS (SELECT item_id AS query, text FROM benchmark), {_BM25.replace("{k}", "20")}, hits AS (
-  SELECT query, q.text AS query_text, s.doc_id AS doc, score, rank, d.source, d.text AS content, d.source || '-' || d.lang AS parent_id, 'parent of ' || d.source || ': ' || d.text AS parent_content, d.doc_id % 5 AS page
+  SELECT query, q.text AS query_text, s.doc_id AS doc, score, rank, d.source, d.text AS content, d.source || '-' || d.lang AS parent_id, CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE 'parent of ' || d.source || ': ' || d.text END AS parent_content,
+    CASE WHEN d.doc_id % 4 = 0 THEN d.text ELSE 'parent of ' || d.source || ': ' || d.text END AS best, d.doc_id % 5 AS page
   FROM sparse s JOIN documents d ON s.doc_id = d.doc_id JOIN questions q USING (query))"""
 _OVERLAP = f"CASE WHEN len(list_distinct({_sql_tokens('query_text')})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({_sql_tokens('query_text')}), {_sql_tokens('{text}')}))::DOUBLE / len(list_distinct({_sql_tokens('query_text')})) END"
 
@@ -238,23 +287,38 @@ def _over(text: str) -> str:
     return "round(" + _OVERLAP.replace("{text}", text) + ", 4)"
 
 
-@query(_HITS + f", s AS (SELECT query, doc, {_over('parent_content')} AS rerank_score, rank AS r FROM hits) SELECT query, doc, rerank_score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC, r))::INTEGER AS rank FROM s) WHERE rank <= 5")
+@query(_HITS + f", s AS (SELECT query, doc, {_over('best')} AS rerank_score, rank AS r FROM hits) SELECT query, doc, rerank_score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC, r))::INTEGER AS rank FROM s) WHERE rank <= 5")
 def rerank(spark, sf_dir):
     return retrieval.rerank(_hits(spark, sf_dir), 5).select("query", "doc", "rerank_score", "rank")
 
 
-@query(_HITS + " SELECT query, doc, md5(parent_content) AS content, (row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, parent_id ORDER BY rank) AS c FROM hits) WHERE c = 1")
+@query(_HITS + " SELECT query, doc, md5(best) AS content, (row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, parent_id, parent_content <> '' ORDER BY rank) AS c FROM hits) WHERE c = 1 OR parent_content = ''")
 def parent_expand(spark, sf_dir):
     return retrieval.expand_parents(_hits(spark, sf_dir)).select("query", "doc", F.md5(F.col("content").cast("binary")).alias("content"), "rank")
 
 
-@query(_HITS + f", s AS (SELECT query, doc, rank, {_over('parent_content')} AS score FROM hits), b AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS best_score FROM s) SELECT query, doc, best_score FROM b WHERE best_score >= 0.5")
+@query(_HITS + f", s AS (SELECT query, doc, rank, {_over('best')} AS score FROM hits), b AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS best_score FROM s) SELECT query, doc, best_score FROM b WHERE best_score >= 0.5")
 def weak_context_gate(spark, sf_dir):
-    rows = _hits(spark, sf_dir).withColumn("score", F.round(retrieval.lexical_overlap(F.col("query_text"), F.col("parent_content")), 4))
+    rows = _hits(spark, sf_dir).withColumn("score", F.round(retrieval.lexical_overlap(F.col("query_text"), T.or_else(F.col("parent_content"), F.col("content"))), 4))
     return retrieval.gate(rows, 0.5).select("query", "doc", "best_score")
 
 
-@query()
+_STRIPPED = r"regexp_replace(content, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+_BLOCK = f"'[Source: ' || source || ' | Page: ' || page || ' | Section: ' || parent_id || ']' || chr(10) || {_STRIPPED}"
+_ANSWER = (
+    _HITS
+    + f""", first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score1 DESC, rank) AS rank1 FROM (SELECT *, {_over("best")} AS score1 FROM hits)) WHERE rank1 <= 5
+), expanded AS (
+  SELECT * REPLACE (best AS content), row_number() OVER (PARTITION BY query ORDER BY rank1) AS rank2 FROM (SELECT *, row_number() OVER (PARTITION BY query, parent_id, parent_content <> '' ORDER BY rank1) AS c FROM first) WHERE c = 1 OR parent_content = ''
+), second AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score1 DESC, rank2) AS rank3 FROM expanded
+), gated AS (SELECT *, max(score1) OVER (PARTITION BY query) AS top, bool_or({_STRIPPED} <> '') OVER (PARTITION BY query) AS has_text FROM second WHERE rank3 <= 5
+), blocks AS (SELECT query, query_text, rank3, {_BLOCK} AS block FROM gated WHERE top >= 0.1 AND has_text
+), budget AS (SELECT *, sum(length(block)) OVER (PARTITION BY query ORDER BY rank3) AS used FROM blocks
+) SELECT query, 'Context:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank3) || chr(10) || chr(10) || 'Question: ' || any_value(query_text) AS prompt FROM budget WHERE used <= 6000 GROUP BY query"""
+)
+
+
+@query(_ANSWER)
 def answer_context(spark, sf_dir):
     """Rerank, expand, rerank, gate, budget: the context and prompt of each question."""
     rows = retrieval.gate(retrieval.online(_hits(spark, sf_dir)))
@@ -262,7 +326,13 @@ def answer_context(spark, sf_dir):
     return context.context(rows).join(asked, "query").select("query", context.prompt(F.col("context"), F.col("text")).alias("prompt"))
 
 
-@query(_HITS + ", b AS (SELECT query, doc, rank, '[Source: ' || source || ' | Page: ' || page || ' | Section: ' || parent_id || ']' || chr(10) || content AS block FROM hits), u AS (SELECT query, doc, rank, sum(length(block)) OVER (PARTITION BY query ORDER BY rank) AS used FROM b) SELECT query, doc, used::BIGINT AS used FROM u WHERE used <= 6000")
+@query(_HITS + " SELECT query, doc, rank::INTEGER AS rank FROM hits WHERE rank <= 3")
+def answer_offline(spark, sf_dir):
+    """Without a model and with reranking off: the first hits as they are."""
+    return retrieval.offline(_hits(spark, sf_dir), k=3).select("query", "doc", "rank")
+
+
+@query(_HITS + ", b AS (SELECT query, doc, rank, " + _BLOCK + " AS block FROM hits), u AS (SELECT query, doc, rank, sum(length(block)) OVER (PARTITION BY query ORDER BY rank) AS used FROM b) SELECT query, doc, used::BIGINT AS used FROM u WHERE used <= 6000")
 def context_budget(spark, sf_dir):
     return context.budgeted(_hits(spark, sf_dir)).select("query", "doc", "used")
 
@@ -277,11 +347,22 @@ def citations_by_parent(spark, sf_dir):
     return context.citations(_hits(spark, sf_dir), context.parent_key()).select("query", "doc", "parent_id")
 
 
-@query(_HITS + " SELECT query, rank::INTEGER AS rank, md5(parent_content) AS content, source, page::INTEGER AS page, 'text' AS chunk_type, round(score, 4) AS score FROM hits")
+@query(_HITS + " SELECT query, rank::INTEGER AS rank, md5(best) AS content, source, page::INTEGER AS page, 'text' AS chunk_type, round(score, 4) AS score FROM hits")
 def offline_view(spark, sf_dir):
     return context.offline_view(_hits(spark, sf_dir)).withColumn("content", F.md5(F.col("content").cast("binary")))
 
 
+@query(_HITS + """, c AS (SELECT *, row_number() OVER (PARTITION BY query, parent_id ORDER BY rank) AS n FROM hits), l AS (SELECT query, rank, source || ', p.' || page || ' [' || parent_id || ']' AS line FROM c WHERE n = 1
+), k AS (SELECT query, rank, '  [' || row_number() OVER (PARTITION BY query ORDER BY rank) || '] ' || line AS line FROM l) SELECT query, 'Sources:' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS citations FROM k GROUP BY query""")
+def citation_lists(spark, sf_dir):
+    return context.format_citations(context.citation_rows(_hits(spark, sf_dir)))
+
+
+@query(_HITS + ", c AS (SELECT *, row_number() OVER (PARTITION BY query, source, page ORDER BY rank) AS n FROM hits) SELECT query, rank::INTEGER AS rank, source, page::INTEGER AS page, '◈' AS icon, CASE WHEN length(parent_id) > 22 THEN parent_id[1:22] || '…' ELSE parent_id END AS section FROM c WHERE n = 1")
+def citation_marks(spark, sf_dir):
+    return context.citation_marks(_hits(spark, sf_dir))
+
+
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY trim(text)")
 def content_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.trim("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("key")
@@ -318,7 +399,7 @@ def _plain(spark, sf_dir):
 
 @query()
 def chunk_fixed(spark, sf_dir):
-    return chunking.chunk_documents(_plain(spark, sf_dir), "fixed")
+    return chunking.chunk_documents(_plain(spark, sf_dir), "fixed_size")
 
 
 @query()
@@ -379,14 +460,39 @@ def kb_diff(spark, sf_dir):
     return sync.client_diff(store.source_fingerprints(client), store.source_fingerprints(c.where("source <> 'src3'")))
 
 
-@query(f"""WITH page AS (SELECT doc_id AS ord, source, text AS content FROM documents ORDER BY doc_id LIMIT 300 OFFSET 100
-), h AS (SELECT *, {_HASH} AS content_hash FROM page), f AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY ord) AS c FROM h
-), v AS (SELECT content_hash, max(vec_id) AS vec_id FROM (SELECT md5(source || '|None|' || text[1:80]) AS content_hash, vec_id FROM documents JOIN embeddings ON doc_id = vec_id) GROUP BY content_hash)
-SELECT ord, content_hash, md5(content) AS content, vec_id FROM f LEFT JOIN v USING (content_hash) WHERE c = 1""")
+_PAGE = f"""WITH page AS (SELECT doc_id AS ord, source, text AS content, CASE WHEN doc_id % 3 = 0 THEN 'parent of ' || text ELSE '' END AS parent_content FROM documents ORDER BY doc_id LIMIT 300 OFFSET 100
+), h AS (SELECT *, {_HASH} AS id FROM page), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS c FROM h
+), v AS (SELECT id, max(vec_id) AS embedding FROM (SELECT md5(source || '|None|' || text[1:80]) AS id, vec_id FROM documents JOIN embeddings ON doc_id = vec_id) GROUP BY id
+), exported AS (SELECT ord, id, source, md5(content) AS content, md5(CASE WHEN parent_content <> '' THEN parent_content ELSE content END) AS parent_content, embedding FROM f LEFT JOIN v USING (id) WHERE c = 1)"""
+
+
+def _export_vectors(spark, sf_dir):
+    """Of the vectors, their ids stand for them here."""
+    return sync.export_vectors(_paired(spark, sf_dir).withColumn("vector", F.col("doc_id")), key="doc_id")
+
+
+def _page(spark, sf_dir):
+    parent = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("parent of "), "content")).otherwise("")
+    c = _chunks(spark, sf_dir).withColumn("parent_content", parent)
+    rows = canonical(c, "doc_id").withColumnRenamed("doc_id", "ord")
+    return sync.export_page(rows, _export_vectors(spark, sf_dir), 100, 300)
+
+
+@query(_PAGE + " SELECT *, '' AS parent_id, 'text' AS chunk_type FROM exported")
 def export_page(spark, sf_dir):
-    c = _chunks(spark, sf_dir).withColumn("ord", F.col("doc_id")).withColumn("parent_content", F.lit(""))
-    v = _paired(spark, sf_dir).select(T.content_hash(F.col("source"), F.col("page"), F.col("content")).alias("content_hash"), F.col("doc_id").alias("vec_id")).groupBy("content_hash").agg(F.max("vec_id").alias("vec_id"))
-    return sync.export_page(c, v, 100, 300).select("ord", "content_hash", F.md5(F.col("content").cast("binary")).alias("content"), "vec_id")
+    digest = {c: F.md5(F.col(c).cast("binary")) for c in ("content", "parent_content")}
+    return _page(spark, sf_dir).withColumns(digest).select("ord", "id", "source", "content", "parent_content", "embedding", "parent_id", "chunk_type")
+
+
+@query(_PAGE + " SELECT count(*)::BIGINT AS chunks, count(embedding)::BIGINT AS matched FROM exported")
+def export_matched(spark, sf_dir):
+    return sync.matched(_page(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT DISTINCT md5(source || '|None|' || text[1:80]) AS k FROM documents), b AS (SELECT DISTINCT md5(source || '|None|' || text[1:80]) AS k FROM documents JOIN embeddings ON doc_id = vec_id)
+SELECT (SELECT count(*) FROM documents)::BIGINT AS chunks, (SELECT count(*) FROM b)::BIGINT AS vectors, (SELECT count(*) FROM a JOIN b USING (k))::BIGINT AS overlap""")
+def key_overlap(spark, sf_dir):
+    return sync.key_overlap(_chunks(spark, sf_dir), _export_vectors(spark, sf_dir))
 
 
 def _stores(spark, sf_dir):
@@ -433,7 +539,7 @@ def batch_file_dedup(spark, sf_dir):
 
 @query("SELECT regexp_extract(url, '^[^?#]*') AS url, arg_min(CASE WHEN page_id % 3 = 0 THEN 'file' || page_id ELSE string_split(rtrim(regexp_extract(url, '^[^?#]*'), '/'), '/')[-1] END, page_id) AS filename FROM pages GROUP BY 1")
 def url_filename_map(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("source_url"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("file"), F.col("page_id").cast("string"))).otherwise("").alias("source"), F.col("page_id").alias("ord"))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit(" "), F.regexp_extract("url", "^[^?#]*", 0), F.lit("\n ")).alias("source_url"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" file"), F.col("page_id").cast("string"))).otherwise(" ").alias("source"), F.col("page_id").alias("ord"))
     return sync.url_filenames(p)
 
 
@@ -449,18 +555,19 @@ def manifest_join(spark, sf_dir):
 ), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s) SELECT event_id, user_id, before, status FROM b WHERE before <> status""")
 def transition_detect(spark, sf_dir):
     s = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("value") > 50, "online").otherwise("offline").alias("status"))
-    return sync.transitions(s, "user_id", "ts", "status").select("event_id", "user_id", "before", "status")
+    return sync.transitions(s, "user_id", "ts", "status", "event_id").select("event_id", "user_id", "before", "status")
 
 
 # --- chat
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), a AS (SELECT *, max(CASE WHEN role = 'user' THEN place END) OVER (PARTITION BY conv_id) AS asked FROM p)
+SELECT conv_id, turn, role FROM a WHERE asked IS NULL OR place > asked - 4""")
 def chat_window(spark, sf_dir):
     return context.chat_window(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn", "role")
 
 
-@query("""WITH n AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w AS replies, row_number() OVER w AS seen, array_to_string(list(role || ': ' || text[1:200]) OVER (PARTITION BY conv_id ORDER BY turn ROWS 9 PRECEDING), chr(10)) AS input
+@query("""WITH n AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w AS replies, row_number() OVER w AS seen, array_to_string(list(upper(role) || ': ' || text[1:200]) OVER (PARTITION BY conv_id ORDER BY turn ROWS 3 PRECEDING), chr(10)) AS input
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, replies::BIGINT AS replies, input FROM n WHERE role = 'assistant' AND replies % 2 = 0 AND seen >= 4""")
 def summary_trigger(spark, sf_dir):
     return context.summary_inputs(table(spark, sf_dir, "conversations"), 2)
@@ -481,14 +588,14 @@ def chat_messages(spark, sf_dir):
 # --- tables
 
 _SUMMARY = " UNION ALL ".join(
-    [f"SELECT count(*)::BIGINT AS rows, '{c}' AS \"column\", count_if({c} IS NULL)::BIGINT AS nulls, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean FROM part" for c in ("p_partkey", "p_size")]
+    [f"SELECT count(*)::BIGINT AS rows, '{c}' AS \"column\", count_if({c} IS NULL)::BIGINT AS nulls, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean FROM part" for c in ("p_partkey", "p_size", "p_retailprice")]
     + [f"SELECT count(*)::BIGINT, '{c}', count_if({c} IS NULL)::BIGINT, NULL, NULL, NULL FROM part" for c in ("p_name", "p_brand", "p_type")]
 )
 
 
 @query(_SUMMARY)
 def table_summary(spark, sf_dir):
-    return tables.summary(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_type"))
+    return tables.summary(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_name", "p_brand", "p_type"))
 
 
 @query("SELECT '| n_nationkey | n_name | n_regionkey |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || trim(n_name) || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")

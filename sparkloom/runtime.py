@@ -42,3 +42,37 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
         path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, in order; none where it is not there."""
+    fs, p = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file if nobody has; false if it is there already. The text is put in place by a rename, whole or not at all."""
+    fs, p = _file_system(spark, path)
+    if fs.exists(p):
+        return False
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs.mkdirs(p.getParent())
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+        fs.create(lock, False).close()  # exclusive: of two writers one gets an error
+    except Exception:
+        fs.delete(part, False)
+        return False
+    return bool(fs.rename(part, p))
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

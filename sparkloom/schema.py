@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: The canonical columns of a chunk, their types and the defaults of missing ones.
 CHUNK_COLUMNS = {
-    "content": ("string", ""), "source": ("string", ""), "page": ("int", None), "type": ("string", "text"), "heading": ("string", ""), "section_path": ("string", ""),
+    "content": ("string", ""), "source": ("string", "unknown"), "page": ("int", None), "type": ("string", "text"), "heading": ("string", ""), "section_path": ("string", ""),
     "image_path": ("string", ""), "parent_id": ("string", ""), "parent_content": ("string", ""), "chunk_index": ("int", None), "total_chunks": ("int", None),
     "bbox": ("array<double>", None), "page_width": ("double", None), "page_height": ("double", None), "source_url": ("string", ""), "score": ("double", 0.0),
 }
@@ -43,10 +43,10 @@ class Settings:
         return max(3 * self.top_k, 20)
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """All canonical columns; a missing column gets its default, an explicit null stays, scores keep four places."""
+def canonical(df: DataFrame, *more: str) -> DataFrame:
+    """The columns named in ``more``, then all canonical ones; a missing column gets its default, an explicit null stays, scores keep four places."""
     out = []
     for name, (kind, default) in CHUNK_COLUMNS.items():
         c = F.col(name).cast(kind) if name in df.columns else F.lit(default).cast(kind)
         out.append((F.round(c, 4) if name == "score" else c).alias(name))
-    return df.select(*out)
+    return df.select(*more, *out)

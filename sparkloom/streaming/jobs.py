@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,19 +13,52 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sparkloom.operators.store import ChunkStore
 
 
-def sync_into(changes: DataFrame, store: ChunkStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Upsert each micro-batch of an authoritative table into a store; one query per checkpoint, so no two syncs overlap.
+def sync_into(changes: DataFrame, store: ChunkStore, checkpoint: str, every: str | None = None, order: str | None = None, deleted: str | None = None) -> StreamingQuery:
+    """Apply each micro-batch of changes to a store; one query per checkpoint, so no two syncs overlap.
 
-    Upserts are by key, so a batch that runs again after a failure changes nothing.
+    Of a key's changes in a batch the last by ``order`` counts, and rows whose ``deleted`` is true take their key out. Both
+    are by key, so a batch that runs again after a failure changes nothing.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        store.upsert(batch.dropDuplicates([store.key]))
+        last = batch.persist()
+        if order:
+            last = batch.groupBy(store.key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").persist()
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        if last.where(~gone).limit(1).count():
+            store.upsert(last.where(~gone))
+        if last.where(gone).limit(1).count():
+            store.delete_by_ids(last.where(gone))
+        last.unpersist()
+        batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def reconcile(cloud: DataFrame, store: ChunkStore) -> tuple[int, int]:
+    """Bring a store in step with an authoritative table by id: (rows pulled, rows deleted); nothing is written where there is nothing to do."""
+    local = store.read().select(store.key)
+    pull = cloud.join(local, store.key, "left_anti")
+    added = pull.count()
+    if added:
+        store.upsert(pull)
+    stale = local.join(cloud.select(store.key), store.key, "left_anti")
+    return added, store.delete_by_ids(stale)
+
+
+def sync_every(ticks: DataFrame, cloud: Callable[[], DataFrame], store: ChunkStore, checkpoint: str, every: str = "20 minutes") -> StreamingQuery:
+    """``reconcile`` at each trigger of a stream of ticks; a sync that fails is tried again at the next one."""
+
+    def apply(_: DataFrame, number: int) -> None:
+        try:
+            reconcile(cloud(), store)
+        except Exception as x:  # the loop outlives a failed sync
+            print(f"sync {number} failed: {x}")
+
+    return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 class _Edges(StatefulProcessor):
     """Emits a row when a key's status changes; the state is the last status."""
 

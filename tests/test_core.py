@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, context, retrieval, store, sync, tables
+from sparkloom.operators import chunking, context, ingest, retrieval, store, sync, tables
 from sparkloom.plans import catalogue
 from sparkloom.schema import Settings, canonical
 from sparkloom.sources import blocks
@@ -38,15 +38,78 @@ def test_query_equals_sql(spark, small, name):
     assert sorted(tuple(norm(x[c]) for c in columns) for x in df.collect()) == sorted(tuple(map(norm, x)) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_sql_has_rows(spark, small, name):
-    assert catalogue.queries()[name](spark, small).count() > 0
+def texts_of(spark, small):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name, split", [("chunk_fixed", chunking.split_fixed), ("chunk_recursive", chunking.split_recursive)])
+def test_chunk_queries_are_row_by_row(spark, small, name, split):
+    rows = {(r["doc_id"], r["chunk_index"]): r for r in catalogue.queries()[name](spark, small).collect()}
+    expected = {(d, k): c for d, t in texts_of(spark, small).items() for k, c in enumerate([x for x in split(t, 500, 50) if x.strip()] if t else [])}
+    assert {k: r["content"] for k, r in rows.items()} == expected
+    assert {r["strategy"] for r in rows.values()} == {"fixed_size" if name == "chunk_fixed" else "recursive"}
+    sizes = {}
+    for d, _ in expected:
+        sizes[d] = sizes.get(d, 0) + 1
+    assert all(r["total_chunks"] == sizes[d] for (d, _), r in rows.items())
+
+
+def test_chunk_stats_query(spark, small):
+    n = [len(c) for t in texts_of(spark, small).values() if t for c in chunking.split_recursive(t, 500, 50) if c.strip()]
+    assert tuple(catalogue.queries()["chunk_stats"](spark, small).first()) == (len(n), round(sum(n) / len(n)), min(n), max(n))
+
+
+def test_hierarchical_query_is_row_by_row(spark, small):
+    """Sections start at short lines, as line_blocks has it; parents and children by the splitter in plain Python."""
+    expected = {}
+    for d, t in texts_of(spark, small).items():
+        groups = []
+        for line in (t or "").split("\n"):
+            if line.strip(" "):
+                if not groups or len(line) < 40:
+                    groups.append([])
+                groups[-1].append(line)
+        for lines in groups:
+            for parent in chunking.split_recursive("\n\n".join(lines), 1500, 100):
+                parts = chunking.split_recursive(parent, 512, 80)
+                for k, child in enumerate(parts):
+                    if child.strip():
+                        key = (str(d), parent, k, len(parts), child)
+                        expected[key] = expected.get(key, 0) + 1
+    got = {}
+    for r in catalogue.queries()["chunk_hierarchical"](spark, small).collect():
+        key = (r["source"], r["parent_content"], r["chunk_index"], r["total_chunks"], r["content"])
+        got[key] = got.get(key, 0) + 1
+    assert got == expected
+
+
+def test_html_blocks_query_is_row_by_row(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    expected = sorted((r["url"], k, *b) for r in pages for k, b in enumerate(blocks.html_block_list(r["html"])))
+    key = lambda x: tuple(map(str, x))
+    got = [(r["source"], r["block_seq"], r["type"], r["level"], r["content"]) for r in catalogue.queries()["html_blocks"](spark, small).collect()]
+    assert sorted(got, key=key) == sorted(expected, key=key)
 
 
 def test_tokenizer(spark):
     row = spark.range(1).select(T.tokens(F.lit("The engine cooling-water temperature must be 60°C!")).alias("t"), T.tokens(F.lit("")).alias("e")).first()
     assert row["t"] == ["engine", "cooling-water", "temperature", "60°c"] and row["e"] == []
     assert len(set(T.STOPWORDS)) == 126
+    df = spark.createDataFrame([("b a b c a b",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.counted(F.filter(F.split("t", " "), lambda x: x != ""))).collect()] == [[("a", 2), ("b", 3), ("c", 1)], [], []]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("Report.PDF", [1.0, 2.5, 11.0, 22.5], "  First line\nsecond  ", " why? ")], "name string, box array<double>, page string, q string")
+    r = df.select(
+        T.bbox_json(F.col("box")), T.bbox_of(T.bbox_json(F.col("box"))), T.bbox_of(F.lit("{bad")), T.bbox_of(F.lit("")), T.canvas_box(F.col("box"), F.lit(100.0), F.lit(2.0)),
+        T.image_label(F.lit(3), F.lit(1), F.col("page"), F.col("name")), T.image_label(F.lit(3), F.lit(2), F.lit(None).cast("string"), F.col("name")), T.image_url(F.lit("/a/b/c.png")),
+        T.public_url("http://x", "docs", F.col("name")), T.file_icon(F.col("name")), T.chunk_icon(F.lit("table")), T.short_section(F.lit("x" * 30)), T.query_text(F.col("q")), T.breadcrumb(F.lit("A > B/ C")),
+    ).first()
+    assert list(r) == [
+        "[1.0,2.5,11.0,22.5]", [1.0, 2.5, 11.0, 22.5], None, None, (2.0, 155.0, 20.0, 40.0), "[IMAGE — Page 3, Figure 1] Figure on this page. Page context: First line second",
+        "[IMAGE — Page 3, Figure 2] Visual figure or diagram from Report.PDF", "/images/c.png", "http://x/storage/v1/object/public/docs/Report.PDF", "📄", "⊞", "x" * 22 + "…", T.QUERY_PREFIX + "why?", ["A", "B", "C"],
+    ]
 
 
 def test_rrf_repeats_add_up_and_dense_wins(spark):
@@ -144,6 +207,122 @@ def test_store_versions(spark, tmp_path):
     assert s.count() == 0
 
 
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    df = spark.range(200).selectExpr("cast(id AS string) AS point_id", "'s' AS source", "id AS v")
+    s = store.ChunkStore(spark, str(tmp_path / "store"), df.schema, buckets=16, order="v")
+    s.append(df)
+    before = s._folders()
+    s.upsert(spark.createDataFrame([("7", "s", 900), ("7", "s", 901), ("7", "t", 700)], df.schema))
+    after = s._folders()
+    assert sum(before[b] != after[b] for b in before) == 1 and s.count() == 200
+    assert [tuple(r) for r in s.read().where("point_id = '7'").collect()] == [("7", "s", 901)]
+    other = store.ChunkStore(spark, str(tmp_path / "store"), df.schema, buckets=16)
+    other.versions = lambda: s.versions()[:-1]  # a writer that has not seen the last version
+    with pytest.raises(RuntimeError):
+        other.append(df.limit(1))
+    assert s.count() == 200
+
+
+def okapi(docs, query, k1=1.5, b=0.75, epsilon=0.25):
+    """BM25 in plain Python over {doc: tokens}."""
+    n, average = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {}
+    for w in docs.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    raw = {t: np.log(n - f + 0.5) - np.log(f + 0.5) for t, f in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {t: epsilon * mean if w < 0 else w for t, w in raw.items()}
+    return {d: s for d, w in docs.items() if (s := sum(idf.get(t, 0) * w.count(t) * (k1 + 1) / (w.count(t) + k1 * (1 - b + b * len(w) / average)) for t in query)) > 0}
+
+
+def test_sparse_store_is_an_index_of_what_it_holds(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(f"p{k}", f"s{k % 4}", " ".join(rng.choice(words, rng.integers(1, 12)))) for k in range(60)] + [("blank", "s1", ""), ("none", "s1", None)]
+    df = spark.createDataFrame(rows, "point_id string, source string, content string")
+    s = store.SparseStore(spark, str(tmp_path / "sparse"))
+    question = spark.createDataFrame([(1, "w1 w2 w3 w1 unknown")], "query long, text string")
+
+    def check(held):
+        docs = {p: c.split() for p, src, c in rows if src in held and c}
+        expected = okapi(docs, ["w1", "w2", "w3", "w1"])
+        got = {r["doc"]: r["score"] for r in retrieval.search(s.index(), question, 100).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[d] - expected[d]) < 1e-9 for d in got)
+
+    assert retrieval.search(s.index(), question, 5).count() == 0
+    s.add(df.where("source <> 's3'"))
+    check({"s0", "s1", "s2"})
+    s.add(df.where("source = 's3'"))
+    assert s.delete_by_source("s1") == 15 and s.delete_by_source("s1") == 0
+    check({"s0", "s2", "s3"})
+    s.add(df.where("source = 's1'"))
+    check({"s0", "s1", "s2", "s3"})
+    s.reset()
+    assert s.index().n == 0
+    s.add(df.where("source = 's2'"))
+    check({"s2"})
+
+
+def test_ingest_replaces_skips_and_deletes(spark, tmp_path):
+    schema = ingest.with_ids(canonical(spark.createDataFrame([], "content string"))).withColumn("vector", F.array(F.lit(0.0).cast("float"))).schema
+    registry = spark.createDataFrame([], "source string, sha256 string").schema
+    new = lambda name, s, key: store.ChunkStore(spark, str(tmp_path / name), s, key, 4)
+    kb = ingest.KnowledgeBase(new("chunks", schema, "point_id"), store.SparseStore(spark, str(tmp_path / "sparse")), new("registry", registry, "source"), ingest.hashed_embedder(16))
+
+    def batch(*files):
+        f = spark.createDataFrame([(k, n, c.encode()) for k, (n, c) in enumerate(files)], "seq long, source string, content binary")
+        b = spark.createDataFrame([(n, j, "text", 1, p) for n, c in files for j, p in enumerate(c.split("|"))], "source string, block_seq long, type string, page int, content string")
+        return f, b.withColumn("section_path", F.lit("")).withColumn("heading", F.lit(""))
+
+    urls = spark.createDataFrame([("a.txt", "http://files/a.txt")], "source string, url string")
+    first = kb.ingest(*batch(("a.txt", "red fox|blue whale"), ("b.txt", "green tree"), ("copy.txt", "green tree"), ("empty.txt", " ")), urls)
+    assert first == ingest.Summary(["a.txt", "b.txt"], ["copy.txt", "empty.txt"], 2, 2)
+    held = {r["source"]: r for r in kb.chunks.read().collect()}
+    assert held["a.txt"]["content"] == "red fox\n\nblue whale" and held["a.txt"]["source_url"] == "http://files/a.txt" and held["b.txt"]["source_url"] == ""
+    assert abs(sum(x * x for x in held["a.txt"]["vector"]) - 1) < 1e-6
+    again = kb.ingest(*batch(("a.txt", "red wolf")))
+    assert again.files_indexed == ["a.txt"] and {r["content"] for r in kb.chunks.read().collect()} == {"red wolf", "green tree"}
+    ask = ingest.embed_questions(spark.createDataFrame([(1, " red wolf ")], "query long, text string"), ingest.hashed_embedder(16), "")
+    sparse = retrieval.search(kb.sparse.index(), ask, 5)
+    dense = retrieval.knn(kb.chunks.read().withColumn("doc_id", F.xxhash64("point_id")), ask, 1)
+    assert sparse.count() == 0 and kb.sparse.index().n == 2  # a word of one of two documents weighs nothing
+    assert abs(dense.first()["score"] - 1) < 1e-6
+    assert kb.delete_file("a.txt") == (1, 1) and kb.delete_file("none") == (0, 0)
+    assert store.list_sources(kb.chunks.read()).collect() == [("b.txt",)] and kb.sparse.rows().count() == 1 and [r["source"] for r in kb.registry.read().collect()] == ["b.txt"]
+    kb.wipe()
+    assert kb.chunks.count() == 0 and kb.sparse.index().n == 0
+
+
+def test_sync_with_deletes(spark, tmp_path):
+    schema = "point_id string, source string, v int"
+    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], schema).schema, buckets=4)
+    cloud = lambda x: spark.createDataFrame([(i, "s", k) for k, i in enumerate(x)], schema)
+    assert jobs.reconcile(cloud("abc"), s) == (3, 0) and jobs.reconcile(cloud("bcd"), s) == (1, 1) and jobs.reconcile(cloud("bcd"), s) == (0, 0)
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([("b", "s", 9, 1, False), ("b", "s", 8, 2, False), ("c", "s", 0, 3, True), ("e", "s", 5, 4, True), ("e", "s", 6, 5, False)], schema + ", seq int, gone boolean").coalesce(1).write.parquet(feed)
+    stream = spark.readStream.schema(schema + ", seq int, gone boolean").parquet(feed)
+    jobs.sync_into(stream, s, str(tmp_path / "cp"), order="seq", deleted="gone").awaitTermination(120)
+    assert {r["point_id"]: r["v"] for r in s.read().collect()} == {"b": 8, "d": 2, "e": 6}
+
+
+def test_parents_citations_and_images(spark):
+    rows = spark.createDataFrame([(1, 1, "p1", "c1", ""), (1, 2, "p2", "c2", "own"), (1, 3, "", "c3", None)], "query long, rank int, parent_id string, content string, parent_content string")
+    parents = spark.createDataFrame([("p1", "parent one"), ("p2", "parent two")], "parent_id string, content string")
+    assert [r["parent_content"] for r in sync.with_parents(rows, parents).orderBy("rank").collect()] == ["parent one", "own", None]
+    same = spark.createDataFrame([(1, 1, 1.0, "x", "p", ""), (1, 2, 0.5, "y", "p", "")], "query long, rank int, score double, content string, parent_id string, parent_content string")
+    assert [r["content"] for r in retrieval.expand_parents(same).orderBy("rank").collect()] == ["x", "y"]
+    hits = spark.createDataFrame([(1, 1, "image", "/gone/a.png"), (1, 2, "image", "/img/b.png"), (1, 3, "text", "/img/b.png"), (1, 4, "image", "/gone/z.png")], "query long, rank int, type string, image_path string")
+    there = spark.createDataFrame([("/img/b.png", "b.png"), ("/img/a.png", "a.png")], "path string, name string")
+    assert sorted((r["rank"], r["path"], r["url"]) for r in context.images(hits, there).collect()) == [(1, "/img/a.png", "/images/a.png"), (2, "/img/b.png", "/images/b.png")]
+    turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", f"m{k}") for k in range(10)], "conv_id long, turn long, role string, text string")
+    assert [r["turn"] for r in context.chat_window(turns, 2).orderBy("turn").collect()] == [5, 6, 7, 8, 9]
+    prompts = spark.createDataFrame([(1, 8, "Context: ... m8")], "conv_id long, turn long, prompt string")
+    assert [(r["stored"], r["sent"]) for r in context.stored_and_sent(turns, prompts).orderBy("turn").collect()][-2:] == [("m6", "m6"), ("m8", "Context: ... m8")]
+    summary = context.rolling_summary(turns, F.upper, 2).first()
+    assert summary["turn"] == 7 and summary["summary"].endswith("USER: M4\nASSISTANT: M5\nUSER: M6\nASSISTANT: M7")
+
+
 def test_sync_is_idempotent(spark):
     ids = lambda x: spark.createDataFrame([(i, i.upper()) for i in x], "point_id string, v string")
     cloud, local = ids("abc"), ids("bcd")
