@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import counted, or_else, stripped, tokens
+from sparkloom.functions.text import counted, let, or_else, stripped, tokens
 from sparkloom.runtime import cut, stored
 from sparkloom.schema import Settings
 
@@ -211,8 +211,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
 
 def lexical_overlap(query: Column, text: Column) -> Column:
     """The built-in pair scorer: the share of the query's distinct tokens that the text has."""
-    q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
+    return let(F.array_distinct(tokens(query)), lambda q: F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q)))
 
 
 def rerank(rows: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = lexical_overlap, threshold: float | None = None) -> DataFrame:

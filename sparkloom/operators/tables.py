@@ -64,3 +64,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
         return excel_rows(spark, path)
     raise ValueError(f"unsupported file type: {path}")
+
+
+def to_chunks(spark: SparkSession, path: str, form: str = "markdown", max_rows: int = 50) -> DataFrame:
+    """Every table of a file as a chunk (content, source, type, page), by the file's kind: CSV, the sheets of Excel, or the tables of HTML."""
+    name, lower = path.rsplit("/", 1)[-1], path.lower()
+    if lower.endswith((".html", ".htm")):
+        from sparkloom.sources.blocks import html_tables
+
+        page = spark.read.text(path, wholetext=True).select(F.lit(name).alias("url"), F.col("value").alias("html"))
+        return html_tables(page, max_rows=max_rows).select("content", "source", "type", "page")
+    rows = read_table(spark, path)
+    if lower.endswith(".csv"):
+        return to_chunk(rows, name, rows.columns[0], form, max_rows)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "json"))), lambda x: x["json"])
+    sheets = rows.where(F.lit(form == "json") | (F.col("row") < max_rows)).groupBy("source").agg(lines.alias("lines"))
+    return sheets.select(F.concat(F.lit("["), F.array_join("lines", ","), F.lit("]")).alias("content"), "source", F.lit("table").alias("type"), F.lit(None).cast("int").alias("page"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import block_type, heading_level, is_bullet
+from sparkloom.functions.text import block_type, heading_level, image_label, is_bullet
 
 BLOCK = "block_seq long, type string, level int, content string"
 
@@ -107,6 +107,38 @@ def html_blocks(pages: DataFrame, source: str = "url", html: str = "html") -> Da
     return rows.select("source", F.col("block_seq").cast("long").alias("block_seq"), "b.content", F.lit(None).cast("int").alias("page"), "b.type", "b.level")
 
 
+def html_tables(pages: DataFrame, source: str = "url", html: str = "html", max_rows: int = 50) -> DataFrame:
+    """Each table of a page as one chunk of its own source, ``page::table_i``: (source, table, content, type, page)."""
+    found = html_blocks(pages, source, html).where("type = 'table'")
+    number = F.row_number().over(Window.partitionBy("source").orderBy("block_seq")) - 1
+    lines = F.slice(F.split("content", "\n"), 1, max_rows + 2)  # a head, its rule, and the rows
+    rows = found.withColumn("table", number).withColumn("content", F.array_join(lines, "\n"))
+    return rows.select(F.concat("source", F.lit("::table_"), F.col("table").cast("string")).alias("source"), "table", "content", "type", "page")
+
+
+#: Fixed value: images of fewer bytes are icons and rules.
+LEAST_IMAGE = 5_000
+
+
+def image_blocks(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """Images (source, page, figure, bytes, path) as blocks, labelled by the text of their page (source, page, text)."""
+    rows = images.where(F.col("bytes") >= LEAST_IMAGE).join(pages.select("source", "page", "text"), ["source", "page"], "left")
+    return rows.select("source", "page", "figure", F.lit("image").alias("type"), F.lit(None).cast("int").alias("level"), image_label(F.col("page"), F.col("figure"), F.col("text"), F.col("source")).alias("content"), F.col("path").alias("image_path"))
+
+
+def united(text: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """All blocks of each source in one order: its text, its tables, then its images; block_seq counts from zero again.
+
+    text and tables: (source, block_seq, type, level, page, content); images: as ``image_blocks`` gives.
+    """
+    columns = ["source", "kind", "at", "type", "level", "page", "content", "image_path"]
+    part = lambda df, kind, at, path: df.withColumns({"kind": F.lit(kind), "at": at, "image_path": path}).select(*columns)
+    own = [part(df, kind, F.col("block_seq"), F.lit("")) for kind, df in enumerate((text, tables))]
+    every = own[0].unionByName(own[1]).unionByName(part(images, 2, F.col("page") * 100_000 + F.col("figure"), F.col("image_path")))
+    order = F.row_number().over(Window.partitionBy("source").orderBy("kind", "at")) - 1
+    return every.withColumn("block_seq", order.cast("long")).drop("kind", "at")
+
+
 def binary_blocks(spark: SparkSession, path: str, extractor: Callable[[str, bytes], list[tuple[str, int | None, int | None, str]]], pattern: str = "*.pdf") -> DataFrame:
     """Blocks of binary files by an extractor: (path, bytes) -> [(type, level, page, content)].
 

@@ -369,6 +369,22 @@ def test_sources(spark, tmp_path):
     assert [(r["content"], r["confidence"]) for r in blocks.image_text_chunks(ocr).collect()] == [("confident words in image", 80.0)]
 
 
+def test_tables_and_images_as_blocks(spark, tmp_path):
+    page = "<p>x</p><table><tr><th>a<th>b<tr><td>1<td>2<tr><td>3<td>4</table><table><tr><td>only</table><table><tr><th>c<tr><td>5</table>"
+    (tmp_path / "p.html").write_text(page)
+    rows = tables.to_chunks(spark, str(tmp_path / "p.html"), max_rows=1).orderBy("source").collect()
+    assert [(r["source"], r["content"]) for r in rows] == [("p.html::table_0", "| a | b |\n|---|---|\n| 1 | 2 |"), ("p.html::table_1", "| c |\n|---|\n| 5 |")]
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    assert tables.to_chunks(spark, str(tmp_path / "t.csv")).first()["content"].splitlines()[2:] == ["| 1 | x |", "| 2 | y |"]
+    images = spark.createDataFrame([("f.pdf", 1, 1, 9000, "/i/1.png"), ("f.pdf", 1, 2, 100, "/i/2.png"), ("f.pdf", 2, 1, 5000, "/i/3.png")], "source string, page int, figure int, bytes long, path string")
+    pages = spark.createDataFrame([("f.pdf", 1, "Some\ntext")], "source string, page int, text string")
+    text = spark.createDataFrame([("f.pdf", 0, "text", None, 1, "Some"), ("f.pdf", 1, "text", None, 2, "more")], "source string, block_seq long, type string, level int, page int, content string")
+    table = text.where("block_seq = 0").withColumn("type", F.lit("table"))
+    all_of = blocks.united(text, table, blocks.image_blocks(images, pages)).orderBy("block_seq").collect()
+    assert [(r["block_seq"], r["type"], r["image_path"]) for r in all_of] == [(0, "text", ""), (1, "text", ""), (2, "table", ""), (3, "image", "/i/1.png"), (4, "image", "/i/3.png")]
+    assert all_of[3]["content"].endswith("Page context: Some text") and all_of[4]["content"].endswith("diagram from f.pdf")
+
+
 def test_rerank_expand_and_gate(spark):
     cols = "query long, query_text string, rank int, score double, content string, parent_id string, parent_content string"
     rows = spark.createDataFrame([(1, "red fox", 1, 0.5, "cat", "p1", "a red thing"), (1, "red fox", 2, 0.4, "dog", "p2", "red fox here"), (1, "red fox", 3, 0.3, "cow", "p2", "red fox here"), (1, "red fox", 4, 0.2, "red fox", "", None)], cols)
