@@ -416,5 +416,43 @@ def test_streaming_sync_and_edges(spark, tmp_path):
     assert [tuple(r) for r in spark.table("memory_out").collect()] == [(1, 4, 5, 8)]
 
 
+def test_hybrid_threshold_and_pins(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"s{k % 2}", f"term{k % 5} term{k % 7} common{k}", rng.normal(size=4).tolist()) for k in range(40)]
+    chunks = spark.createDataFrame(rows, "doc_id long, source string, content string, vector array<double>")
+    q = spark.createDataFrame([(1, "term1 term3", rows[3][3])], "query long, text string, vector array<double>")
+    plain = {r["doc"]: r["rrf_score"] for r in retrieval.hybrid(chunks, q, Settings(top_k=40), deduplicate=False).collect()}
+    bar = sorted(plain.values())[len(plain) // 2]
+    over = retrieval.hybrid(chunks, q, Settings(top_k=40, score_threshold=bar), deduplicate=False).collect()
+    assert {r["doc"] for r in over} == {d for d, x in plain.items() if x >= bar} and 0 < len(over) < len(plain)
+    pin = F.col("source") == "s1"
+    dense_only = {r["doc"] for r in retrieval.hybrid(chunks, q, Settings(top_k=40), pin, deduplicate=False).collect()}
+    both = {r["doc"] for r in retrieval.hybrid(chunks, q, Settings(top_k=40), pin, pin_sparse=True, deduplicate=False).collect()}
+    assert {d % 2 for d in both} == {1} and {d % 2 for d in dense_only} == {0, 1}
+
+
+def test_arrivals_log_and_timed_sync(spark, tmp_path):
+    feed = str(tmp_path / "in")
+    spark.createDataFrame([(1,), (2,)], "v int").coalesce(1).write.parquet(feed)
+    out = jobs.arrivals(spark, feed, "v int").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    assert {r["v"] for r in spark.table("arrived").collect()} == {1, 2} and all(r["file"].endswith(".parquet") for r in spark.table("arrived").collect())
+    log = spark.sql("select timestamp_seconds(id) as timestamp, id as vectors_added from range(80)")
+    assert [r["vectors_added"] for r in sync.log_entries(log).collect()] == list(range(79, 29, -1))
+    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], "point_id string, v int").schema, buckets=4)
+    tries = []
+
+    def cloud():
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("offline")
+        return spark.createDataFrame([("a", 1)], "point_id string, v int")
+
+    q = jobs.sync_every(spark.readStream.format("rate").option("rowsPerSecond", 5).load(), cloud, s, str(tmp_path / "cp2"), "1 second")
+    q.awaitTermination(25)
+    q.stop()
+    assert len(tries) >= 2 and s.count() == 1
+
+
 def test_settings():
     assert Settings().fetch_k == 60 and Settings(top_k=5).fetch_k == 20
