@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import cut, stored
+
 #: Words are runs of anything but ASCII white space; used in Java regular expressions.
 SPACE = r"[ \x09-\x0D]+"
 WORD = r"[^ \x09-\x0D]+"
@@ -12,6 +14,9 @@ WORD = r"[^ \x09-\x0D]+"
 #: A table with at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
+#: Hashes of eight bytes that may be sent to all tasks.
+SENT = 1_000_000
+
 #: A key with more rows than this is not shuffled by.
 HOT_ROWS = 1_000
 
@@ -68,7 +73,23 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest: Column) ->
 
     An id alone doesn't name a row where ids are null or repeat: a dropped row would come back with a kept one of its id.
     Both are fields of one struct, in which null equals null; rows that repeat both are merged.
+
+    Rows that go or repeat are few as a rule. Up to SENT of them, their 64-bit hashes are sent to all tasks: rows without such a hash
+    are there once and stay, unshuffled, and only the others meet ``kept`` by their whole key.
     """
+    row = F.struct(docs[id_col].cast("long").alias("id"), digest.alias("digest"))
     keys = kept.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col("text_sha256").alias("digest")).alias("__kept"))
-    rows = docs.withColumn("__row", F.struct(docs[id_col].cast("long").alias("id"), digest.alias("digest")))
-    return rows.join(keys, rows["__row"] == keys["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")
+    counts = stored(docs.select(row.alias("__row")).groupBy("__row").agg(F.count(F.lit(1)).alias("n")))
+    short = F.xxhash64("__row.id", "__row.digest").alias("__short")
+    odd = counts.join(keys, F.col("__row") == F.col("__kept"), "left_anti").select(short).unionByName(counts.where("n > 1").select(short))
+    odd = cut(odd.distinct())
+    rows = docs.withColumn("__row", row)
+
+    def exact(some: DataFrame) -> DataFrame:
+        return some.join(keys, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"])
+
+    if odd.count() > SENT:
+        return exact(rows).drop("__row")
+    rows = rows.withColumn("__short", short)
+    plain = rows.join(F.broadcast(odd), "__short", "left_anti")
+    return plain.unionByName(exact(rows.join(F.broadcast(odd), "__short", "left_semi"))).select(*[F.col(f"`{c}`") for c in docs.columns])

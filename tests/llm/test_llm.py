@@ -770,7 +770,9 @@ def crowd(rng):
     return rows + [(None, "one text"), (None, "one text"), (None, "another"), (7, "seven"), (7, "also seven"), (9, "Seven"), (7, None), (None, ""), (3, "")]
 
 
-def test_dedup_stages_keep_rows_not_ids(spark):
+@pytest.mark.parametrize("sent", [common.SENT, 0])
+def test_dedup_stages_keep_rows_not_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "SENT", sent)
     rows = crowd(random.Random(12))
     docs = spark.createDataFrame([(d, t, "en", "s", 0, k, "x", "y", 1) for k, (d, t) in enumerate(rows)], SCHEMA + ", fp long, keep_id string, kept string, root long")
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
