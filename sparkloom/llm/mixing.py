@@ -36,7 +36,7 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Newton stops when every source's words are this close to the target, as a part of it.
 TOLERANCE, STEPS = 1e-9, 200
 #: Documents of one source and size that are ranked together, about.
-BIN = 1_000
+BIN = 200
 #: Hashes that order documents lie below this.
 HASHES = 1 << 40
 
