@@ -40,12 +40,12 @@ def counted(words: Column) -> Column:
     """array<struct<tok, tf>> of an array of words: runs of the sorted array, so no row leaves its task."""
 
     def runs(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, F.greatest(i - 1, F.lit(1))) != F.element_at(w, i)))
-        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(w) + 1))
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(w, F.greatest(i - 1, F.lit(1))) != F.element_at(w, i)))
+        ends = lambda s: F.slice(F.concat(s, F.array(F.size(w) + 1)), 2, F.size(s))
         return let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(F.element_at(w, a).alias("tok"), (b - a).alias("tf"))))
 
-    none = F.array().cast("array<struct<tok: string, tf: int>>")
-    return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(none)
+    return F.coalesce(let(F.sort_array(words), runs), F.array().cast("array<struct<tok: string, tf: int>>"))
 
 
 def content_hash(source: Column, page: Column, content: Column) -> Column:

@@ -33,8 +33,9 @@ class SparseIndex:
 
 def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", *more: str) -> DataFrame:
     """(doc, dl, terms): the counted tokens of each document with content, inside its row."""
-    words = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").select(F.col(id_col).alias("doc"), *more, tokens(F.col(text_col)).alias("w"))
-    return words.select("doc", *more, F.size("w").alias("dl"), counted(F.col("w")).alias("terms"))
+    rows = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").select(F.col(id_col).alias("doc"), *more, counted(tokens(F.col(text_col))).alias("terms"))
+    length = F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"])
+    return rows.select("doc", *more, length.alias("dl"), "terms")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
