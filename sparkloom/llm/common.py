@@ -53,18 +53,19 @@ def with_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def join_counted(df: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+def join_counted(df: DataFrame, named: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """``df`` joined with one row a key of ``named`` (a written table), whose column ``count`` says how many rows of ``df`` have the key.
 
     Keys of more than HOT_ROWS rows, at most BROADCAST_ROWS of them, are sent to all tasks, so that their rows stay where they are.
+    ``how`` may be "left" where keys of many rows are all named.
     """
     bar = HOT_ROWS
     while (hot := named.where(F.col(count) > bar).count()) > BROADCAST_ROWS:
         bar *= 10
     if not hot:
-        return df.join(named.drop(count), key)
+        return df.join(named.drop(count), key, how)
     large = F.broadcast(named.where(F.col(count) > bar).drop(count))
-    rest = df.join(F.broadcast(large.select(key)), key, "left_anti").join(named.where(F.col(count) <= bar).drop(count), key)
+    rest = df.join(F.broadcast(large.select(key)), key, "left_anti").join(named.where(F.col(count) <= bar).drop(count), key, how)
     return df.join(large, key).unionByName(rest)
 
 
