@@ -21,21 +21,23 @@ Defined cases: null text or ids count as empty; an empty text has no ids; no beg
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 SPACE = "▁"
+#: A token from here on is a character that is no piece.
+STRANGE = 1 << 24
 #: Stretches and pairs that a worker keeps before it starts its table anew, and the longest stretch that is kept.
-KEPT, KEPT_PAIRS, KEPT_LENGTH = 300_000, 1_000_000, 64
+KEPT, KEPT_PAIRS, KEPT_LENGTH = 250_000, 1_000_000, 64
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -63,15 +65,20 @@ class Pieces:
                 self.byte_ids[int(p.piece[3:-1], 16)] = i
             self.shown.append({NORMAL: p.piece.replace(SPACE, " "), UNKNOWN: " ⁇ ", BYTE: None}.get(p.type, ""))
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.names, self.sizes = [p.piece for p in spec.pieces], [len(p.piece) for p in spec.pieces]
+        self.bytes_of = [np.int32(i).tobytes() for i in range(len(self.names))]
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece, i in self.ids.items():
             if len(piece) == 1 or self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        beside = {a + b for piece in self.ids for a, b in pairwise(piece)}
-        self.cuts = all(pair[1] != SPACE or pair[0] == SPACE for pair in beside)
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.kept: dict[str, array] = {}
+        self.beside = {a + b for piece in self.ids for a, b in pairwise(piece)}
+        self.cuts = all(pair[1] != SPACE or pair[0] == SPACE for pair in self.beside)
+        self.compatible: dict[int, bool] = {}
+        #: Ids of a stretch, as bytes, by its characters after the first space; the last KEPT ones, and KEPT before.
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # of single characters
 
     def merge(self, text: str) -> list[str]:
         """The tokens of a short string by merging: the pair of highest score first, the leftmost of equal ones."""
@@ -87,66 +94,83 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: str, token: str) -> bool:
+    def _name(self, token: int) -> str:
+        return self.names[token] if token < STRANGE else chr(token - STRANGE)
+
+    def fits(self, before: int, token: int) -> bool:
         """Whether the two may stand side by side in an encoding."""
-        pair = (before, token)
-        found = self.compatible.get(pair)
-        if found is None:
-            if len(self.compatible) >= KEPT_PAIRS:
-                self.compatible.clear()
-            found = self.compatible[pair] = self.merge(before + token) == [before, token]
+        if len(self.compatible) >= KEPT_PAIRS:
+            self.compatible.clear()
+        pair = [self._name(before), self.names[token]]
+        found = self.compatible[before << 32 | token] = self.merge("".join(pair)) == pair
         return found
 
-    def tokens(self, text: str) -> list[str]:
-        """The tokens of a text of any length, in order."""
-        #: The last token of the prefix before each place; "" where no token ends.
-        last = [""] * (len(text) + 1)
-        done, fits = 0, self.fits  # places up to ``done`` have their token
-        for end, piece in self.automaton.iter(text):
-            end += 1
-            while done + 1 < end:  # characters that are no piece
-                done += 1
-                last[done] = text[done - 1]
-            if last[end]:
+    def tokens(self, text: str) -> list[int]:
+        """The tokens of a text of any length, in order; a character that is no piece is STRANGE and its number."""
+        #: The last token of the prefix before each place.
+        last = [-1] * (len(text) + 1)
+        done, sizes, known = 0, self.sizes, self.compatible.get  # places up to ``done`` have their token
+        for end, token in self.automaton.iter(text):
+            if end < done:
                 continue
-            start = end - len(piece)
-            if start == 0 or fits(last[start], piece):
-                last[end] = piece
-                done = end
-        while done < len(text):
-            done += 1
-            last[done] = text[done - 1]
+            while done < end:  # characters that are no piece
+                last[done + 1] = STRANGE + ord(text[done])
+                done += 1
+            before = last[end + 1 - sizes[token]]
+            if before >= 0:
+                fit = known(before << 32 | token)
+                if fit is None:
+                    fit = self.fits(before, token)
+                if not fit:
+                    continue
+            done = end + 1
+            last[done] = token
+        for at in range(done, len(text)):
+            last[at + 1] = STRANGE + ord(text[at])
         out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            token = last[at]
+            out.append(token)
+            at -= sizes[token] if token < STRANGE else 1
         out.reverse()
         return out
 
-    def _stretch(self, text: str) -> array:
-        ids = array("i")
-        for token in self.tokens(text):
-            i = self.ids.get(token)
-            if i is None:
-                ids.extend(self.byte_ids[b] for b in token.encode())
-            else:
-                ids.append(i)
-        if len(text) <= KEPT_LENGTH:
+    def _stretch(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None and len(key) > 1 and key[-2:] not in self.beside and key[-2] != " " != key[-1]:
+            # The last character (a comma, as a rule) stands apart from what is before it.
+            tail = self.tails.get(key[-1])
+            if tail is None:
+                tail = self.tails[key[-1]] = self._bytes(key[-1])
+            return (self.kept.get(key[:-1]) or self._stretch(key[:-1])) + tail
+        if found is None:
+            found = self._bytes(SPACE + key.replace(" ", SPACE))
+        if len(key) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[text] = ids
-        return ids
+                self.kept, self.older = {}, self.kept
+            self.kept[key] = found
+        return found
 
-    def encode(self, text: str) -> array:
+    def _bytes(self, text: str) -> bytes:
+        return b"".join([self.bytes_of[t] if t < STRANGE else self._strange(t) for t in self.tokens(text)])
+
+    def _strange(self, token: int) -> bytes:
+        return b"".join(self.bytes_of[self.byte_ids[b]] for b in chr(token - STRANGE).encode())
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
         if not text:
-            return array("i")
-        text = SPACE + text.replace(" ", SPACE)
+            return b""
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
         if not self.cuts:
             return self._stretch(text)
-        out, kept = array("i"), self.kept.get
-        for stretch in _STRETCH.findall(text):
-            out += kept(stretch) or self._stretch(stretch)
-        return out
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            keys = [stretch[1:] for stretch in _STRETCH.findall(" " + text)]
+        else:
+            keys = text.split(" ")
+        kept = self.kept.get
+        return b"".join([kept(key) or self._stretch(key) for key in keys])
 
     def decode(self, ids: list[int]) -> str:
         shown = self.shown
@@ -173,7 +197,7 @@ class Pieces:
         return _LONE.sub("\ufffd", "".join(out))
 
 
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_STRETCH = re.compile(" *[^ ]+| +")
 _LONE = re.compile("[\udc80-\udcff]")
 
 
@@ -188,13 +212,10 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        pieces, flat, ends = load(path), array("i"), [0]
-        for text in texts.to_pylist():
-            if text:
-                flat += pieces.encode(text)
-            ends.append(len(flat))
-        values = pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        pieces = load(path)
+        found = [pieces.encode(text) if text else b"" for text in texts.to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found], dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
 
     return ids(text.cast("string"))
 
@@ -204,8 +225,9 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        pieces = load(path)
-        return pa.array([pieces.decode(ids) if ids else "" for ids in lists.to_pylist()], pa.string())
+        pieces, flat = load(path), lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+        return pa.array([pieces.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
 
     return text(ids)
 
