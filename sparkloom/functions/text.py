@@ -104,8 +104,18 @@ def context_block(source: Column, page: Column, section_path: Column, heading: C
     return F.concat(F.lit("["), header, F.lit("]\n"), stripped(content))
 
 
+#: White space of every kind, in Java's regular expressions: what text is stripped of.
+WHITE = r"[\s\x1C-\x1F\x85\p{Z}]"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def filled(text: Column) -> Column:
+    """Whether there is anything but white space; false for null."""
+    return F.coalesce(stripped(text), F.lit("")) != ""
 
 
 def filename_of(url: Column) -> Column:
@@ -135,9 +145,13 @@ def bbox_of(text: Column) -> Column:
 
 
 def canvas_box(bbox: Column, page_height: Column, scale: Column) -> Column:
-    """struct(x, y, width, height) on a canvas, whose y axis points down, of a box in points."""
+    """struct(x, y, width, height) on a canvas of a box in points; both count y from the top of the page, so that nothing is turned over.
+
+    ``page_height`` bounds the box: what lies below the page is cut off.
+    """
     x0, y0, x1, y1 = (bbox[k] for k in range(4))
-    return F.struct((x0 * scale).alias("x"), ((page_height - y1) * scale).alias("y"), ((x1 - x0) * scale).alias("width"), ((y1 - y0) * scale).alias("height"))
+    y1 = F.least(y1, F.coalesce(page_height, y1))
+    return F.struct((x0 * scale).alias("x"), (y0 * scale).alias("y"), ((x1 - x0) * scale).alias("width"), ((y1 - y0) * scale).alias("height"))
 
 
 def page_sample(page_text: Column) -> Column:

@@ -6,12 +6,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import parent_id
+from sparkloom.functions.text import filled, parent_id, stripped
 from sparkloom.schema import Settings
 
 #: Separators of the recursive splitter, tried in this order; the last splits anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", ", ", " ", "")
 ATOMIC = ("table", "image")
+#: Columns that say where a block stands; tables and images keep those that the blocks have.
+PLACE = ("bbox", "page_width", "page_height", "image_path")
 
 
 def section_groups(blocks: DataFrame) -> DataFrame:
@@ -105,13 +107,14 @@ def chunk_documents(docs: DataFrame, strategy: str = "fixed_size", settings: Set
     parts = F.when(atomic, F.array("content")).otherwise(splitter(strategy, settings.chunk_size, settings.chunk_overlap)(F.col("content")))
     rows = docs.withColumn("parts", parts).withColumn("total_chunks", F.size("parts"))
     out = rows.select(*[c for c in docs.columns if c != "content"], "total_chunks", F.posexplode("parts").alias("chunk_index", "content"))
-    return out.where(F.trim("content") != "").withColumn("strategy", F.when(F.col("type").isin(*ATOMIC), "none").otherwise(strategy))
+    return out.where(filled(F.col("content"))).withColumn("strategy", F.when(F.col("type").isin(*ATOMIC), "none").otherwise(strategy))
 
 
 def chunk_hierarchical(blocks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Parents of section groups and their children; tables and images are their own parents.
 
-    The first block of a group gives its metadata. Blank children are left out but keep their index and count.
+    The first block of a group gives its metadata. Blank children are left out but keep their index and count. Text stands in several
+    blocks' places, so only tables and images keep their box, page size and image path.
     """
     columns = ["source", "page", "type", "heading", "section_path", "content", "parent_id", "parent_content", "chunk_index", "total_chunks", "strategy"]
     text = section_groups(blocks.where(~F.col("type").isin(*ATOMIC)))
@@ -125,9 +128,9 @@ def chunk_hierarchical(blocks: DataFrame, settings: Settings = Settings()) -> Da
     cut = parents.withColumn("parts", splitter("recursive", settings.child_size, settings.child_overlap)(F.col("parent_content"))).withColumn("total_chunks", F.size("parts"))
     children = cut.select("source", "m.page", "m.type", "m.heading", "m.section_path", "parent_id", "parent_content", "total_chunks", F.posexplode("parts").alias("chunk_index", "content")).withColumn("strategy", F.lit("hierarchical"))
     number = F.row_number().over(Window.partitionBy("source").orderBy("block_seq")) - 1
-    whole = blocks.where(F.col("type").isin(*ATOMIC) & (F.trim("content") != "")).withColumn("a", number)
-    atomic = whole.withColumns({"parent_id": parent_id(F.col("source"), F.col("page"), F.col("section_path"), 100000 + F.col("a")), "parent_content": F.col("content"), "chunk_index": F.lit(0), "total_chunks": F.lit(1), "strategy": F.lit("hierarchical")})
-    return children.where(F.trim("content") != "").select(*columns).unionByName(atomic.select(*columns))
+    whole = blocks.where(F.col("type").isin(*ATOMIC) & filled(F.col("content"))).withColumn("a", number)
+    atomic = whole.withColumns({"parent_id": parent_id(F.col("source"), F.col("page"), F.col("section_path"), 100000 + F.col("a")), "parent_content": stripped(F.col("content")), "content": stripped(F.col("content")), "chunk_index": F.lit(0), "total_chunks": F.lit(1), "strategy": F.lit("hierarchical")})
+    return children.where(filled(F.col("content"))).select(*columns).unionByName(atomic.select(*columns, *[c for c in PLACE if c in blocks.columns]), allowMissingColumns=True)
 
 
 def chunk_stats(chunks: DataFrame, content: Column | None = None) -> DataFrame:

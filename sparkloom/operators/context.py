@@ -104,7 +104,7 @@ SUMMARY_PROMPT = "Summarise this conversation in exactly 2 sentences, focusing o
 def rolling_summary(turns: DataFrame, summarise: Callable[[Column], Column], every: int = Settings.summary_every) -> DataFrame:
     """(conv_id, turn, summary) of each conversation's last due summary; ``summarise`` is the caller's model as a column function."""
     due = summary_inputs(turns, every).groupBy("conv_id").agg(F.max_by("input", "turn").alias("input"), F.max("turn").alias("turn"))
-    return due.select("conv_id", "turn", F.trim(summarise(F.concat(F.lit(SUMMARY_PROMPT), F.col("input")))).alias("summary"))
+    return due.select("conv_id", "turn", stripped(summarise(F.concat(F.lit(SUMMARY_PROMPT), F.col("input")))).alias("summary"))
 
 
 def stored_and_sent(turns: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import query_text, tokens
+from sparkloom.functions.text import filled, query_text, tokens
 from sparkloom.operators import chunking, store
 from sparkloom.runtime import cut, stored
 from sparkloom.schema import Settings, canonical
@@ -76,10 +76,12 @@ class KnowledgeBase:
 
         A file that is there already is replaced, whatever its bytes; of equal files in the batch, the first counts and the others are
         skipped, as are files without blocks. Names of files are read to the driver, a batch's worth; chunks never are.
+        Each of the three parts changes once. If a run dies between them, ingesting the batch again puts all three right, as
+        it replaces whatever is there; ``rebuild_sparse`` does so for the index alone.
         """
         seen = cut(store.batch_files(files).join(files.select("seq", "source"), "seq"))
         first = seen.where("not duplicate").select("source", "sha256")
-        own = stored(blocks.where("trim(content) <> ''").join(first.select("source"), "source", "left_semi"))
+        own = stored(blocks.where(filled(F.col("content"))).join(first.select("source"), "source", "left_semi"))
         good = cut(first.join(own.select("source").distinct(), "source", "left_semi").dropDuplicates(["source"]))
         names = sorted(r[0] for r in good.select("source").collect())
         skipped = sorted([r["source"] for r in seen.where("duplicate").collect()] + [r["source"] for r in first.join(good, "source", "left_anti").collect()])
@@ -87,12 +89,10 @@ class KnowledgeBase:
         if urls is not None:
             parts = parts.join(urls.select("source", F.col("url").alias("source_url")), "source", "left").withColumn("source_url", F.coalesce("source_url", F.lit("")))
         rows = stored(embed_chunks(with_ids(canonical(parts)), self.embed))
-        for name in sorted({r[0] for r in seen.select("source").distinct().collect()}):
-            if store.has_source(self.chunks.read(), name):
-                self.delete_file(name)
-        self.chunks.upsert(rows)
-        self.sparse.add(rows)
-        self.registry.upsert(good)
+        held = sorted({r[0] for r in seen.select("source").distinct().collect()})
+        self.chunks.replace_sources(held, rows)
+        self.sparse.replace_sources(held, rows)
+        self.registry.replace_sources(held, good)
         return Summary(names, skipped, rows.count(), rows.select("parent_id").distinct().count())
 
     def delete_file(self, source: str) -> tuple[int, int]:
@@ -101,6 +101,18 @@ class KnowledgeBase:
         self.registry.delete_by_source(source)
         return gone
 
+    def rebuild_sparse(self) -> None:
+        """The sparse index anew from the stored chunks; searches see the old one until it is whole."""
+        self.sparse.rebuild(self.chunks.read())
+
     def wipe(self) -> None:
         for part in (self.chunks, self.sparse, self.registry):
             part.reset()
+
+
+def knowledge_base(spark: SparkSession, path: str, embed: Embedder, settings: Settings = Settings()) -> KnowledgeBase:
+    """The knowledge base under ``path``, new or as it was left."""
+    parts = {"chunks": ("point_id", with_ids(canonical(spark.createDataFrame([], "content string"))).withColumn("vector", F.array(F.lit(0.0).cast("float"))).schema)}
+    parts["registry"] = ("source", spark.createDataFrame([], "source string, sha256 string").schema)
+    made = {name: store.ChunkStore(spark, f"{path}/{name}", schema, key) for name, (key, schema) in parts.items()}
+    return KnowledgeBase(made["chunks"], store.SparseStore(spark, f"{path}/sparse"), made["registry"], embed, settings)

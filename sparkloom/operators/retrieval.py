@@ -9,8 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkloom.functions.text import counted, let, or_else, stripped, tokens
+from sparkloom.operators.postings import PostingIndex, counted_terms, raw_weight
+from sparkloom.operators.postings import search as search_blocks
 from sparkloom.runtime import cut, stored
 from sparkloom.schema import Settings
 
@@ -40,7 +44,7 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "con
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """(doc, tok, tf)"""
-    return document_terms(docs, id_col, text_col).select("doc", F.explode("terms").alias("t")).select("doc", "t.tok", F.col("t.tf").cast("long").alias("tf"))
+    return counted_terms(docs, id_col, text_col).where("tok <> ''").select("doc", "tok", F.col("tf").cast("long").alias("tf"))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -48,10 +52,6 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("terms").alias("t")).groupBy("t.tok").agg(F.count(F.lit(1)).alias("df"))
 
 
-def raw_weight(df: Column, n: int) -> Column:
-    return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
-
-
 def indexed(rows: DataFrame, words: DataFrame) -> SparseIndex:
     """An index over written tables."""
     n, average = rows.agg(F.count(F.lit(1)), F.avg("dl")).first()
@@ -65,12 +65,14 @@ def sparse_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "conte
     return indexed(rows, stored(vocabulary(rows)))
 
 
-def search(index: SparseIndex, queries: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
+def search(index: SparseIndex | PostingIndex, queries: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
     """(query, doc, score, rank): top k of each query; scores at or under zero are dropped after the cut.
 
-    Okapi weights; negative ones become epsilon times the vocabulary's mean weight. The queries' weighted terms go to the postings where they are
+    A ``PostingIndex`` is searched by its blocks. Else, over a table of rows: Okapi weights; negative ones become epsilon times the vocabulary's mean weight. The queries' weighted terms go to the postings where they are
     few, by their counted number; a document's hits then never leave its task, and scores are summed there.
     """
+    if isinstance(index, PostingIndex):
+        return search_blocks(index, queries, k, settings)
     s = settings
     terms = queries.select("query", F.explode(counted(tokens(F.col("text")))).alias("t")).select("query", "t.tok", F.col("t.tf").alias("qf"))
     w = raw_weight(F.col("df"), index.n)
@@ -89,57 +91,93 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = Setti
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, keep_self: bool = True, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
-    """(query, doc, score, rank): exact cosine top k.
+    """(query, doc, score, rank): exact cosine top k; ids keep their own types.
 
     Queries go out in blocks of QUERY_BLOCK; a task keeps k rows a query of each block, and those meet by query.
     The filter comes before the cut, at the scan.
     """
-    rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).alias("doc"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    schema = StructType([StructField("query", queries.schema["query"].dataType), StructField("doc", rows.schema["doc"].dataType), StructField("score", DoubleType())])
     best: DataFrame | None = None
     for ids, matrix in _blocks(queries):
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
+            top = Top(len(ids), k)
+            place = {} if keep_self else {d: i for i, d in enumerate(ids)}
+            kind = None
             for batch in (b.slice(at, ROW_BLOCK) for b in batches for at in range(0, b.num_rows, ROW_BLOCK)):
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                kind = batch.schema.field(0).type
+                doc = np.array(batch.column(0).to_pylist(), dtype=object)
                 m = np.vstack(batch.column(1).to_numpy(zero_copy_only=False))
                 size = np.linalg.norm(m, axis=1)
                 score = q @ (m / np.where(size == 0, 1, size)[:, None]).T
-                for i in range(len(ids)):
-                    s, d = np.concatenate((top[i][0], score[i])), np.concatenate((top[i][1], doc))
-                    if not keep_self:
-                        s, d = s[d != ids[i]], d[d != ids[i]]
-                    if len(s) > 4 * k + 64:
-                        bar = np.partition(np.round(s, 6), len(s) - k)[len(s) - k]
-                        s, d = s[np.round(s, 6) >= bar], d[np.round(s, 6) >= bar]
-                    order = np.lexsort((d, -np.round(s, 6)))[:k]
-                    top[i] = (s[order], d[order])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(d) for _, d in top])), pa.array(np.concatenate([d for _, d in top]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in top]))], ["query", "doc", "score"])
-
-        part = rows.mapInArrow(search, "query long, doc long, score double")
+                for j, d in enumerate(doc) if place else ():
+                    if (i := place.get(d)) is not None:
+                        score[i, j] = -np.inf
+                top.offer(score, doc)
+            if kind is not None:
+                i, doc, score = top.ends()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], query_kind), pa.array(doc.tolist(), kind), pa.array(score)], ["query", "doc", "score"])
+
+        query_kind = to_arrow_type(schema["query"].dataType)
+        part = rows.mapInArrow(search, schema)
         best = part if best is None else best.unionByName(part)
     if best is None:
-        return vectors.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     order = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "doc")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Top:
+    """The k best rows of each query, by score with six places, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.bars = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 4 * queries * k + 65_536
+
+    def offer(self, score: np.ndarray, doc: np.ndarray) -> None:
+        """Scores of all queries by these rows; minus infinity for none."""
+        rounded = np.round(score, 6)
+        if score.shape[1] > self.k:
+            # The k-th best of these rows bounds the k-th best of all.
+            self.bars = np.maximum(self.bars, np.partition(rounded, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((rounded >= self.bars[:, None]) & (rounded > -np.inf))
+        self.held.append((i, doc[j], score[i, j]))
+        self.size += len(i)
+        if self.size > self.limit:
+            self.held = [self.ends()]
+            self.size = len(self.held[0][0])
+            self.limit = max(self.limit, 2 * self.size)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score), k a query at most."""
+        i, doc, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((np.unique(doc, return_inverse=True)[1], -np.round(score, 6), i))
+        i, doc, score = i[order], doc[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        full = place == self.k - 1
+        self.bars[i[full]] = np.maximum(self.bars[i[full]], np.round(score[full], 6))
+        kept = place < self.k
+        return i[kept], doc[kept], score[kept]
+
+
 def _blocks(queries: DataFrame):
     ids, rows = [], []
-    for r in queries.select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
+    for r in queries.select("query", F.col("vector").cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
         ids.append(r["query"])
         rows.append(r["v"])
         if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), _unit(rows)
+            yield ids, _unit(rows)
             ids, rows = [], []
     if ids:
-        yield np.array(ids), _unit(rows)
+        yield ids, _unit(rows)
 
 
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, dtype=np.float64)
+def _unit(rows: list | np.ndarray) -> np.ndarray:
+    m = np.asarray(rows, dtype=np.float64)
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(size == 0, 1, size)
 
@@ -152,7 +190,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, settings: Settings = Settings()) ->
     """
     legs = dense.select("query", "doc", "content", "rank", F.lit(0).alias("leg"), F.lit(settings.dense_weight).alias("w")).unionByName(sparse.select("query", "doc", "content", "rank", F.lit(1).alias("leg"), F.lit(settings.sparse_weight).alias("w")))
     choice = F.struct("leg", F.when(F.col("leg") == 0, -F.col("rank")).otherwise(F.col("rank")).alias("r"))
-    fused = legs.groupBy("query", F.trim("content").alias("key")).agg(
+    fused = legs.groupBy("query", stripped(F.col("content")).alias("key")).agg(
         F.round(F.sum(F.col("w") / (settings.rrf_k + F.col("rank"))), 6).alias("rrf_score"),
         F.min_by(F.struct("doc", "content"), choice).alias("row"),
         F.min(F.when(F.col("leg") == 0, F.col("rank"))).alias("dense_rank"),
@@ -170,10 +208,10 @@ def diversify(ranked: DataFrame, k: int, threshold: float = Settings.diversity)
     to every taken row is under the threshold, and the earliest rows left out fill up at the end. A query's list is as
     long as the retrieval depth, so it fits in one fold.
     """
-    first = Window.partitionBy("query", F.trim("content")).orderBy("rank")
+    first = Window.partitionBy("query", stripped(F.col("content"))).orderBy("rank")
     rows = ranked.withColumn("copy", F.row_number().over(first)).where("copy = 1")
     lists = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", F.col("vector").cast("array<double>").alias("v")))).alias("all"))
-    kind = "array<struct<rank:int,doc:bigint,v:array<double>>>"
+    kind = f"array<struct<rank:int,doc:{ranked.schema['doc'].dataType.simpleString()},v:array<double>>>"
 
     def size(a: Column) -> Column:
         return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
@@ -192,17 +230,17 @@ def diversify(ranked: DataFrame, k: int, threshold: float = Settings.diversity)
     return lists.select("query", F.posexplode(picked).alias("pos", "doc")).select("query", "doc", (F.col("pos") + 1).alias("rank"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_sparse: bool = False, deduplicate: bool = True, index: SparseIndex | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_sparse: bool = False, deduplicate: bool = True, index: SparseIndex | PostingIndex | None = None, id_col: str = "doc_id") -> DataFrame:
     """Dense and sparse top lists, fused, thresholded, deduplicated and diversified.
 
-    chunks: doc_id, content, vector; queries: query, text, vector. ``pin`` filters the dense list before its cut, and the
+    chunks: ``id_col`` of any type, content, vector; queries: query, text, vector. ``pin`` filters the dense list before its cut, and the
     sparse one only with ``pin_sparse``. ``index`` is that of all chunks, if there is one. (query, doc, rrf_score, rank)
     """
-    content = chunks.select(F.col("doc_id").alias("doc"), "content", "vector")
-    dense = knn(chunks, queries, settings.fetch_k, pin).join(content.select("doc", "content"), "doc")
+    content = chunks.select(F.col(id_col).alias("doc"), "content", "vector")
+    dense = knn(chunks, queries, settings.fetch_k, pin, id_col=id_col).join(content.select("doc", "content"), "doc")
     if pin is not None and pin_sparse:
-        index = sparse_index(chunks.where(pin))
-    sparse = search(index or sparse_index(chunks), queries, settings.fetch_k, settings).join(content.select("doc", "content"), "doc")
+        index = sparse_index(chunks.where(pin), id_col)
+    sparse = search(index or sparse_index(chunks, id_col), queries, settings.fetch_k, settings).join(content.select("doc", "content"), "doc")
     fused = rrf(dense, sparse, settings)
     if not deduplicate:
         return fused.where(F.col("rank") <= settings.top_k).select("query", "doc", "rrf_score", "rank")

@@ -86,8 +86,8 @@ def key_overlap(chunks: DataFrame, vectors: DataFrame, first: int | None = None,
 
 
 def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Children with the text of their parent by id, their own fields first: (parent_id, content) of ``parents`` are looked up."""
-    p = parents.groupBy("parent_id").agg(F.first("content").alias("__parent"))
+    """Children with the text of their parent by id, their own fields first: (parent_id, content) of ``parents`` are looked up; of several with one id, the shortest."""
+    p = parents.groupBy("parent_id").agg(F.min_by("content", F.struct(F.length("content"), "content")).alias("__parent"))
     return children.join(p, "parent_id", "left").withColumn("parent_content", or_else(F.col("parent_content"), F.col("__parent"))).drop("__parent")
 
 

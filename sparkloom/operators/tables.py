@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from sparkloom.functions.text import stripped
+
 
 def clean(df: DataFrame) -> DataFrame:
     """Strip strings, then drop rows and columns without any value."""
-    df = df.select(*[F.trim(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields]).dropna("all")
+    df = df.select(*[stripped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields]).dropna("all")
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first() if df.columns else None
     return df.select(*[c for c in df.columns if counts[c]])
 
@@ -28,7 +30,7 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def _row(cells: list[Column]) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.trim(c.cast("string")), F.lit("")) for c in cells]), F.lit(" |"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(stripped(c.cast("string")), F.lit("")) for c in cells]), F.lit(" |"))
 
 
 def markdown(df: DataFrame, order: str, max_rows: int = 50) -> DataFrame:

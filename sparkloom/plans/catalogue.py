@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions.vectors import cosine, norm, normalize
-from sparkloom.operators import chunking, context, retrieval, store, sync, tables
-from sparkloom.runtime import table
+from sparkloom.operators import cells, chunking, context, ingest, postings, retrieval, store, sync, tables
+from sparkloom.runtime import new_folder, stamp, table
 from sparkloom.schema import Settings, canonical
 from sparkloom.sources import blocks
 
@@ -52,13 +52,21 @@ def _sql_tokens(column: str) -> str:
     return f"list_filter(string_split({plain}, ' '), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
 
 
+def _sql_stripped(column: str) -> str:
+    white = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+    return f"regexp_replace({column}, '^{white}+|{white}+$', '', 'g')"
+
+
+_STRIPPED = _sql_stripped("content")
+#: White space behind every third text, by id: texts that are equal but for it are one content.
+_TAILED = "CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || chr(160) ELSE text END"
 _HASH = "md5(source || '|' || 'None' || '|' || content[1:80])"
 _CHUNKS = "chunks AS (SELECT doc_id, source, text AS content FROM documents WHERE text <> '')"
-_INDEXES: dict[tuple[str, str, bool], retrieval.SparseIndex] = {}
-_LINES = r"""lines AS (
-  SELECT doc_id::VARCHAR AS source, i - 1 AS block_seq, l[i] AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[i]) <> ''
+_INDEXES: dict[tuple, postings.PostingIndex] = {}
+_LINES = rf"""lines AS (
+  SELECT doc_id::VARCHAR AS source, i - 1 AS block_seq, l[i] AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE {_sql_stripped("l[i]")} <> ''
 ), typed AS (
-  SELECT *, CASE WHEN length(content) < 40 THEN 'heading' WHEN regexp_matches(content, '^(\s*[•·‣▸▶◦▪▫●○◆◇►]\s+|\s*[-*+]\s+|\s*\d{1,2}[.)]\s+|\s*[a-zA-Z][.)]\s+)') THEN 'bullet' ELSE 'text' END AS type,
+  SELECT *, CASE WHEN length(content) < 40 THEN 'heading' WHEN regexp_matches(content, '^(\s*[•·‣▸▶◦▪▫●○◆◇►]\s+|\s*[-*+]\s+|\s*\d{{1,2}}[.)]\s+|\s*[a-zA-Z][.)]\s+)') THEN 'bullet' ELSE 'text' END AS type,
     CASE WHEN length(content) < 10 THEN 1 WHEN length(content) < 20 THEN 2 WHEN length(content) < 40 THEN 3 END AS level FROM lines
 )"""
 
@@ -67,9 +75,14 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content"), F.lit(None).cast("int").alias("page"))
 
 
-def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paired(spark: SparkSession, sf_dir: str, tail: bool = True) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    return _chunks(spark, sf_dir).join(e, "doc_id")
+    c = _chunks(spark, sf_dir)
+    return (c.withColumn("content", _tailed(F.col("content"))) if tail else c).join(e, "doc_id")
+
+
+def _tailed(text: Column) -> Column:
+    return F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("\n\u00a0"))).otherwise(text)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +94,11 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
-def _index(spark: SparkSession, sf_dir: str, paired: bool = False) -> retrieval.SparseIndex:
-    """The sparse index of the chunks, built at the first query of an application and kept in its checkpoint folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, paired)
+def _index(spark: SparkSession, sf_dir: str, paired: bool = False) -> postings.PostingIndex:
+    """The posting index of the chunks, built at the first query of an application over these very files and kept in its checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, paired, *[stamp(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "embeddings")])
     if key not in _INDEXES:
-        _INDEXES[key] = retrieval.sparse_index((_paired if paired else _chunks)(spark, sf_dir))
+        _INDEXES[key] = postings.posting_index((_paired if paired else _chunks)(spark, sf_dir))
     return _INDEXES[key]
 
 
@@ -171,9 +184,9 @@ def bm25_topk(spark, sf_dir):
 SELECT (SELECT n FROM stats) AS n, (SELECT round(average, 6) FROM stats) AS average, count(*)::BIGINT AS words, sum(df)::BIGINT AS postings, round(avg(ln((SELECT n FROM stats) - df + 0.5) - ln(df + 0.5)), 6) AS mean FROM df""")
 def sparse_index(spark, sf_dir):
     """The index built anew: documents, average length, words, postings, and the words' mean raw weight."""
-    i = retrieval.sparse_index(_chunks(spark, sf_dir))
+    i = postings.posting_index(_chunks(spark, sf_dir))
     numbers = [F.lit(i.n).cast("long").alias("n"), F.round(F.lit(i.average), 6).alias("average")]
-    return i.vocabulary.agg(F.count(F.lit(1)).alias("words"), F.sum("df").alias("postings")).select(*numbers, "words", "postings", F.round(F.lit(i.mean), 6).alias("mean"))
+    return postings.vocabulary(i).agg(F.count(F.lit(1)).alias("words"), F.sum("df").alias("postings")).select(*numbers, "words", "postings", F.round(F.lit(i.mean), 6).alias("mean"))
 
 
 _KNN = """SELECT query, doc, round(score, 4) AS score, rank::INTEGER AS rank FROM (
@@ -195,13 +208,13 @@ def dense_topk_filtered(spark, sf_dir):
     return retrieval.knn(_embedded(spark, sf_dir), _vector_queries(spark, sf_dir), 20, F.col("label") == 1).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
-_FUSED = f"""WITH RECURSIVE chunks AS (SELECT doc_id, source, text AS content, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id
+_FUSED = f"""WITH RECURSIVE chunks AS (SELECT doc_id, source, {_TAILED} AS content, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id
 ), questions AS (SELECT item_id AS query, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id
 ), {_BM25.replace("{k}", "60")}, dense AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
     SELECT query, doc_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM questions q, chunks c WHERE {{pin}})) WHERE rank <= 60
 ), legs AS (
-  SELECT query, doc_id, trim(content) AS key, rank, 0 AS leg FROM dense JOIN chunks USING (doc_id) UNION ALL SELECT query, doc_id, trim(content), rank, 1 FROM sparse JOIN chunks USING (doc_id)
+  SELECT query, doc_id, {_STRIPPED} AS key, rank, 0 AS leg FROM dense JOIN chunks USING (doc_id) UNION ALL SELECT query, doc_id, {_STRIPPED}, rank, 1 FROM sparse JOIN chunks USING (doc_id)
 ), fused AS (
   SELECT query, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, coalesce(arg_max(doc_id, rank) FILTER (WHERE leg = 0), arg_min(doc_id, rank) FILTER (WHERE leg = 1)) AS doc,
     min(rank) FILTER (WHERE leg = 0) AS dr, min(rank) FILTER (WHERE leg = 1) AS sr FROM legs GROUP BY query, key
@@ -267,6 +280,54 @@ def mmr_select(spark, sf_dir):
     return retrieval.diversify(near.withColumn("content", F.col("doc").cast("string")), 20, 0.2)
 
 
+@query(_KNN.format(where="true"))
+def dense_cells(spark, sf_dir):
+    """The cell index with every cell probed: the exact lists."""
+    found = cells.cell_knn(cells.cell_index(_embedded(spark, sf_dir)), _vector_queries(spark, sf_dir), 20, cells.MOST)
+    return found.select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+@query()
+def dense_approximate(spark, sf_dir):
+    """The cell index with the default number of probes; tests hold its recall against the exact lists."""
+    return cells.cell_knn(cells.cell_index(_embedded(spark, sf_dir)), _vector_queries(spark, sf_dir), 20, keep_self=False)
+
+
+#: What the ingest query embeds texts by: how often each of these letters stands in them.
+_LETTERS = "aeinorst"
+
+
+def _letters(text: Column) -> Column:
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("float") for c in _LETTERS], F.lit(1.0).cast("float"))
+
+
+_INGESTED = (
+    f"""WITH RECURSIVE first AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text
+), files AS (SELECT id::VARCHAR AS source, {_sql_stripped("text")} AS content FROM first WHERE {_sql_stripped("text")} <> ''
+), chunks AS (
+  SELECT md5(source || '|None|par_' || md5(source || '|pNone||100000')[1:12] || '|0|' || content) AS doc_id, source, content,
+    [{", ".join(f"length(content) - length(replace(content, '{c}', ''))" for c in _LETTERS)}, 1]::DOUBLE[] AS embedding FROM files
+), questions AS (SELECT item_id AS query, text, [{", ".join(f"length(trim(text)) - length(replace(trim(text), '{c}', ''))" for c in _LETTERS)}, 1]::DOUBLE[] AS embedding FROM benchmark
+), """
+    + _HYBRID.split("\n), ", 2)[2].replace("BIGINT, v DOUBLE[]", "VARCHAR, v DOUBLE[]").replace("JOIN embeddings ON doc = vec_id", "JOIN chunks ON doc = doc_id").replace("{pin}", "true")
+    + " JOIN chunks x ON x.doc_id = c.doc"
+).replace("SELECT c.query, c.doc, l.rrf_score, c.rank", "SELECT c.query, c.doc, x.source, l.rrf_score, c.rank")
+
+
+@query(_INGESTED)
+def ingest_retrieve(spark, sf_dir):
+    """Documents as files of one table block each, ingested into a new knowledge base, then hybrid retrieval from what it stored."""
+    d = table(spark, sf_dir, "documents")
+    source = F.col("doc_id").cast("string")
+    files = d.select(F.col("doc_id").alias("seq"), source.alias("source"), F.col("text").alias("content"))
+    parts = d.select(source.alias("source"), F.lit(0).cast("long").alias("block_seq"), F.lit("table").alias("type"), F.lit(None).cast("int").alias("page"), F.lit("").alias("heading"), F.lit("").alias("section_path"), F.col("text").alias("content"))
+    kb = ingest.knowledge_base(spark, new_folder(spark, "kb"), _letters)
+    kb.ingest(files, parts)
+    chunks = kb.chunks.read()
+    found = retrieval.hybrid(chunks, ingest.embed_questions(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"), _letters, ""), index=kb.sparse.index(), id_col="point_id")
+    return found.join(chunks.select(F.col("point_id").alias("doc"), "source"), "doc").select("query", "doc", "source", "rrf_score", "rank")
+
+
 def _hits(spark, sf_dir):
     """BM25 hits as result rows; documents of the same source and language share a parent, whose text every fourth lacks."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"), "text")
@@ -303,7 +364,6 @@ def weak_context_gate(spark, sf_dir):
     return retrieval.gate(rows, 0.5).select("query", "doc", "best_score")
 
 
-_STRIPPED = r"regexp_replace(content, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
 _BLOCK = f"'[Source: ' || source || ' | Page: ' || page || ' | Section: ' || parent_id || ']' || chr(10) || {_STRIPPED}"
 _ANSWER = (
     _HITS
@@ -363,9 +423,9 @@ def citation_marks(spark, sf_dir):
     return context.citation_marks(_hits(spark, sf_dir))
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY trim(text)")
+@query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY " + _sql_stripped(_TAILED))
 def content_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.trim("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("key")
+    return table(spark, sf_dir, "documents").groupBy(T.stripped(_tailed(F.col("text"))).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("key")
 
 
 # --- blocks and chunks
@@ -468,7 +528,7 @@ _PAGE = f"""WITH page AS (SELECT doc_id AS ord, source, text AS content, CASE WH
 
 def _export_vectors(spark, sf_dir):
     """Of the vectors, their ids stand for them here."""
-    return sync.export_vectors(_paired(spark, sf_dir).withColumn("vector", F.col("doc_id")), key="doc_id")
+    return sync.export_vectors(_paired(spark, sf_dir, tail=False).withColumn("vector", F.col("doc_id")), key="doc_id")
 
 
 def _page(spark, sf_dir):

@@ -35,15 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """As ``cut``, but as compressed Parquet, at ``path`` or in the checkpoint folder; meant for tables that are read more than once."""
+def stored(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """As ``cut``, but as compressed Parquet, at ``path`` or in the checkpoint folder; meant for tables that are read more than once.
+
+    ``by`` names a column whose values get a folder each.
+    """
     if path is None:
-        ensure_checkpoint_dir(df.sparkSession)
-        path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name of its own in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -56,7 +64,12 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
 
 
 def claim(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file if nobody has; false if it is there already. The text is put in place by a rename, whole or not at all."""
+    """Create a small file if nobody has; false if it is there already. The text is put in place by a rename, whole or not at all.
+
+    This asks for a file system with exclusive create and atomic rename, such as HDFS or a shared disk. Most object stores have neither, so
+    that one writer at a time must be seen to by other means there. A writer that dies before its rename leaves a ``.lock`` file, which must be
+    removed by hand.
+    """
     fs, p = _file_system(spark, path)
     if fs.exists(p):
         return False
@@ -74,5 +87,19 @@ def claim(spark: SparkSession, path: str, text: str) -> bool:
     return bool(fs.rename(part, p))
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove files and folders, as far as they are there."""
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and last change of a file or folder of files: another pair says that something was written."""
+    fs, p = _file_system(spark, path)
+    files = fs.listStatus(p)
+    return sum(f.getLen() for f in files), max([f.getModificationTime() for f in files], default=0)
+
+
 def text_of(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]

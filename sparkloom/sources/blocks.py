@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import block_type, heading_level, image_label, is_bullet
+from sparkloom.functions.text import block_type, filled, heading_level, image_label, is_bullet, stripped
 
 BLOCK = "block_seq long, type string, level int, content string"
 
 
 def line_blocks(docs: DataFrame, source: str = "doc_id", text: str = "text") -> DataFrame:
     """Each non-blank line of a document as a block; short lines stand for headings, by their length."""
-    rows = docs.select(F.col(source).cast("string").alias("source"), F.posexplode(F.split(F.col(text), "\n")).alias("block_seq", "content")).where(F.trim("content") != "")
+    rows = docs.select(F.col(source).cast("string").alias("source"), F.posexplode(F.split(F.col(text), "\n")).alias("block_seq", "content")).where(filled(F.col("content")))
     size = F.length("content")
     kind = F.when(size < 40, "heading").when(is_bullet(F.col("content")), "bullet").otherwise("text")
     level = F.when(size < 40, F.when(size < 10, 1).when(size < 20, 2).otherwise(3))
@@ -29,10 +29,10 @@ def span_blocks(spans: DataFrame) -> DataFrame:
 
     Spans of a line are joined, lines of a block are joined by new lines, and the block's largest span classifies it.
     """
-    spans = spans.where(F.trim("text") != "")
+    spans = spans.where(filled(F.col("text")))
     body = spans.groupBy("source", "page").agg(F.array_sort(F.collect_list("size")).alias("s")).select("source", "page", F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("body"))
     lines = spans.groupBy("source", "page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "").alias("text"), F.max("size").alias("size"))
-    blocks = lines.groupBy("source", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("text")))), lambda x: x["text"]), "\n").alias("content"), F.max("size").alias("size"))
+    blocks = lines.groupBy("source", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", stripped(F.col("text")).alias("text")))), lambda x: x["text"]), "\n").alias("content"), F.max("size").alias("size"))
     typed = blocks.join(body, ["source", "page"]).withColumn("type", block_type(F.col("size"), F.col("body"), F.col("content")))
     order = F.row_number().over(Window.partitionBy("source").orderBy("page", "block")) - 1
     return typed.withColumn("level", F.when(F.col("type") == "heading", heading_level(F.col("size"), F.col("body")))).withColumn("block_seq", order.cast("long")).drop("size", "body")
@@ -199,6 +199,6 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def image_text_chunks(ocr: DataFrame, least: int = 20) -> DataFrame:
     """OCR words (source, seq, word, conf) as one chunk per image: confident words only, 20 characters or more."""
-    rows = ocr.where((F.col("conf") > 0) & (F.trim("word") != ""))
+    rows = ocr.where((F.col("conf") > 0) & filled(F.col("word")))
     out = rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda x: x["word"]), " ").alias("content"), F.round(F.avg("conf"), 2).alias("confidence"))
     return out.where(F.length("content") >= least).withColumn("type", F.lit("image"))

@@ -107,7 +107,7 @@ def test_small_functions(spark):
         T.public_url("http://x", "docs", F.col("name")), T.file_icon(F.col("name")), T.chunk_icon(F.lit("table")), T.short_section(F.lit("x" * 30)), T.query_text(F.col("q")), T.breadcrumb(F.lit("A > B/ C")),
     ).first()
     assert list(r) == [
-        "[1.0,2.5,11.0,22.5]", [1.0, 2.5, 11.0, 22.5], None, None, (2.0, 155.0, 20.0, 40.0), "[IMAGE — Page 3, Figure 1] Figure on this page. Page context: First line second",
+        "[1.0,2.5,11.0,22.5]", [1.0, 2.5, 11.0, 22.5], None, None, (2.0, 5.0, 20.0, 40.0), "[IMAGE — Page 3, Figure 1] Figure on this page. Page context: First line second",
         "[IMAGE — Page 3, Figure 2] Visual figure or diagram from Report.PDF", "/images/c.png", "http://x/storage/v1/object/public/docs/Report.PDF", "📄", "⊞", "x" * 22 + "…", T.QUERY_PREFIX + "why?", ["A", "B", "C"],
     ]
 
@@ -207,22 +207,6 @@ def test_store_versions(spark, tmp_path):
     assert s.count() == 0
 
 
-def test_store_rewrites_touched_buckets_only(spark, tmp_path):
-    df = spark.range(200).selectExpr("cast(id AS string) AS point_id", "'s' AS source", "id AS v")
-    s = store.ChunkStore(spark, str(tmp_path / "store"), df.schema, buckets=16, order="v")
-    s.append(df)
-    before = s._folders()
-    s.upsert(spark.createDataFrame([("7", "s", 900), ("7", "s", 901), ("7", "t", 700)], df.schema))
-    after = s._folders()
-    assert sum(before[b] != after[b] for b in before) == 1 and s.count() == 200
-    assert [tuple(r) for r in s.read().where("point_id = '7'").collect()] == [("7", "s", 901)]
-    other = store.ChunkStore(spark, str(tmp_path / "store"), df.schema, buckets=16)
-    other.versions = lambda: s.versions()[:-1]  # a writer that has not seen the last version
-    with pytest.raises(RuntimeError):
-        other.append(df.limit(1))
-    assert s.count() == 200
-
-
 def okapi(docs, query, k1=1.5, b=0.75, epsilon=0.25):
     """BM25 in plain Python over {doc: tokens}."""
     n, average = len(docs), sum(map(len, docs.values())) / len(docs)
@@ -267,7 +251,7 @@ def test_sparse_store_is_an_index_of_what_it_holds(spark, tmp_path):
 def test_ingest_replaces_skips_and_deletes(spark, tmp_path):
     schema = ingest.with_ids(canonical(spark.createDataFrame([], "content string"))).withColumn("vector", F.array(F.lit(0.0).cast("float"))).schema
     registry = spark.createDataFrame([], "source string, sha256 string").schema
-    new = lambda name, s, key: store.ChunkStore(spark, str(tmp_path / name), s, key, 4)
+    new = lambda name, s, key: store.ChunkStore(spark, str(tmp_path / name), s, key)
     kb = ingest.KnowledgeBase(new("chunks", schema, "point_id"), store.SparseStore(spark, str(tmp_path / "sparse")), new("registry", registry, "source"), ingest.hashed_embedder(16))
 
     def batch(*files):
@@ -296,7 +280,7 @@ def test_ingest_replaces_skips_and_deletes(spark, tmp_path):
 
 def test_sync_with_deletes(spark, tmp_path):
     schema = "point_id string, source string, v int"
-    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], schema).schema, buckets=4)
+    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], schema).schema)
     cloud = lambda x: spark.createDataFrame([(i, "s", k) for k, i in enumerate(x)], schema)
     assert jobs.reconcile(cloud("abc"), s) == (3, 0) and jobs.reconcile(cloud("bcd"), s) == (1, 1) and jobs.reconcile(cloud("bcd"), s) == (0, 0)
     feed = str(tmp_path / "feed")
@@ -439,7 +423,7 @@ def test_arrivals_log_and_timed_sync(spark, tmp_path):
     assert {r["v"] for r in spark.table("arrived").collect()} == {1, 2} and all(r["file"].endswith(".parquet") for r in spark.table("arrived").collect())
     log = spark.sql("select timestamp_seconds(id) as timestamp, id as vectors_added from range(80)")
     assert [r["vectors_added"] for r in sync.log_entries(log).collect()] == list(range(79, 29, -1))
-    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], "point_id string, v int").schema, buckets=4)
+    s = store.ChunkStore(spark, str(tmp_path / "local"), spark.createDataFrame([], "point_id string, v int").schema)
     tries = []
 
     def cloud():
