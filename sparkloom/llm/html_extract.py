@@ -5,8 +5,9 @@ the like are cut by element, role or class. Each paragraph then gives points for
 ``LEVELS`` nearest ancestors (all to its parent, half to the next, a third of that and less to the others), each container's points
 are discounted by the share of its text that lies in links, and the best container is kept with those siblings that score well
 or read like text beside it. Where the best container lies in an article or main element, that is kept instead, whole.
-The kept blocks are the text, in page order. If all text was cut, wrappers with a noise word in their class that hold most of the page's text
-are let back in. Every step is linear in the page.
+The kept blocks are the text, in page order. An element that is cut for a word of its class or id only is let back in, before anything is scored,
+if it holds most of the page's text that is not cut otherwise: such a word then names what the wrapper goes with, not what it is. Words that say the opposite (``has-sidebar``, ``no-comments``) are no noise. Every
+step is linear in the page.
 
 White space inside a block becomes one space, blocks are joined by an empty line, and character references are decoded.
 
@@ -41,6 +42,8 @@ _NOISE = re.compile(
     r"|share|sharing|social|comments?|commentlist|respond|replies|reply|disqus|discussion|login|search)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: What a class says that a wrapper has, lacks or goes with.
+_WITH = re.compile(r"(?:^|(?<=\s))(?:has|have|no|not|without|with|hide|show|enable|disable|is|supports|includes?)[-_]\S*", re.I)
 _SPACE = re.compile(r"\s+")
 #: A sibling stays if it scores this part of the best container, which counts as ten at least, or if it reads like text: links are under
 #: LINKED of it, and none of one of SHORT characters or less.
@@ -74,20 +77,25 @@ def _cuts(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
     found = {m[1].lower(): next((html.unescape(x) for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in _ROLES:
         return True, False
-    named = bool(_NOISE.search(found.get("class", ""))) or bool(_NOISE.search(found.get("id", "")))
+    named = any(_NOISE.search(_WITH.sub(" ", found.get(name, ""))) for name in ("class", "id"))
     return named, named
 
 
 def parse(page: str) -> Node:
     root = node = Node("#root", None)
     at, end = 0, len(page)
+    open_: dict[str, int] = {}  # how many elements of each tag are open
 
     def close(tags: set[str], stop: set[str]) -> None:
         nonlocal node
+        if not any(open_.get(t) for t in tags):
+            return
         x = node
         while x.parent is not None and x.tag not in stop:
             if x.tag in tags:
-                node = x.parent
+                while node is not x.parent:
+                    open_[node.tag] -= 1
+                    node = node.parent
                 return
             x = x.parent
 
@@ -125,6 +133,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
         elif not m[3].rstrip().endswith("/") or tag in _BLOCK:
             node = child
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
@@ -261,18 +270,16 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _measure(root)
-    best = _best(root)
-    if best is None:
-        # Nothing is left: let wrappers back in that hold most of what is not cut for other reasons.
-        named = [n for n in _every(root) if n.named]
+    named = [n for n in _every(root) if n.named]
+    if named:
+        # Which of them are noise is told by their share of what is not cut for other reasons.
         for n in named:
             n.cut = False
         _measure(root)
         for n in named:
-            n.cut = n.total < MOST * root.total
-        _measure(root)
-        best = _best(root)
+            n.cut = not n.total or n.total < MOST * root.total
+    _measure(root)
+    best = _best(root)
     return "\n\n".join(blocks(_kept(best))) if best else ""
 
 

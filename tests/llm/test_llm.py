@@ -437,6 +437,79 @@ def test_html_keeps_all_of_a_nested_article():
         assert html_extract.extract(page) == expected, page
 
 
+ARTICLE = [f"A paragraph, with commas, and enough words to count as text in this page, number {k}." for k in range(10)]
+
+
+def test_html_keeps_articles_whose_wrapper_has_a_noise_word():
+    inner, text = "".join(f"<p>{b}</p>" for b in ARTICLE), "\n\n".join(ARTICLE)
+    for wrapper in ("layout has-sidebar", "post no-comments", "post with-nav", "page sidebar-right", "widget", "content-sidebar-wrap", "search-result-page", "related"):
+        for page in (f'<div class="{wrapper}">{inner}</div><div><p>Short line.</p></div>', f'<main><div class="{wrapper}">{inner}</div><p>x intro</p></main>', f'<div id="{wrapper}"><div class="post">{inner}</div></div><footer>All rights.</footer>'):
+            assert text in html_extract.extract(page), page[:80]
+    noise = "<p>Other text, with commas, to be read elsewhere.</p>"
+    for wrapper in ("sidebar", "comments", "related-posts", "cookie-notice", "share"):
+        assert html_extract.extract(f'<div class="page"><div class="body">{inner}</div><div class="{wrapper}">{noise}</div></div>') == text
+
+
+def test_html_of_odd_shapes_is_linear():
+    for shape in ("<b></i>", "<div></p>", "<p></span>", "<li>x</ul>", "<table><tr></td>", "<h1></h2>", "<a href=x>y", "</div>", "<td>x", "<ul><li>", "<", "<!--", "&amp;", '<p class="sidebar">', "<div class='a ads'>x</b>"):
+        took = []
+        for n in (50_000, 400_000):
+            began = time.process_time()
+            html_extract.extract(shape * (n // len(shape)))
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 1, shape
+
+
+def plain_best(root):
+    """The scoring once more, without shared sums: points by walking up from each text, densities by walking down."""
+
+    def texts(node, link=False):
+        link = link or node.tag == "a"
+        for c in node.children:
+            if isinstance(c, str):
+                yield len(c.strip()), link
+            elif not c.cut:
+                yield from texts(c, link)
+
+    alive = list(html_extract._walk(root))
+    points = dict.fromkeys(map(id, alive), 0.0)
+    for node, text in html_extract._paragraphs(root):
+        up = node.parent if node.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else node
+        for share in (1, 2, 6, 9, 12):
+            if up is not None:
+                points[id(up)] += (1 + text.count(",") + min(len(text) / 100, 3)) / share
+                up = up.parent
+    best = None
+    for node in alive:
+        up, inside = node.parent, False
+        while up is not None:
+            up, inside = up.parent, inside or up.tag == "a"
+        sizes = list(texts(node, inside))
+        total = sum(n for n, _ in sizes)
+        score = points[id(node)] * (1 - (sum(n for n, linked in sizes if linked) / total if total else 0)) * (1.5 if node.tag in ("article", "main") else 1)
+        if points[id(node)] and (best is None or score > best[0] + 1e-9):
+            best = (score, node)
+    return best and best[1]
+
+
+def test_html_scoring_is_brute_force(spark, small):
+    rng = random.Random(6)
+
+    def piece(depth):
+        kind = rng.choice(["p", "p", "div", "section", "a", "ul", "article", "td", "span", "text"])
+        if kind == "text" or depth == 0:
+            return "word, " * rng.randrange(4) + "word " * rng.randrange(12)
+        name = rng.choice(["", "", "", ' class="sidebar"', ' class="has-nav"', ' id="main"'])
+        return f"<{kind}{name}>" + "".join(piece(depth - 1) for _ in range(rng.randrange(4))) + rng.choice([f"</{kind}>", ""])
+
+    pages = ["".join(piece(4) for _ in range(5)) for _ in range(200)] + [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").limit(20).collect()]
+    for page in pages:
+        root = html_extract.parse(page)
+        html_extract._measure(root)
+        expected = plain_best(root)
+        assert html_extract._best(root) is expected
+
+
 def test_html_extraction_is_linear():
     took = []
     for n in (1_000, 8_000):
