@@ -9,8 +9,8 @@ most ``n - needed`` words, so of any larger set of its words one is there; the l
 place of one of them gives a passage of the template's length and ``SLACK`` of it on both sides.
 
 Words are runs of letters and digits, lower-cased. Templates are parameters; the built-in ones are common notices
-and permission texts. Words that tell a license from its relatives (``DECIDING``) must be covered, however much else is. Where
-passages overlap, of one license or several, the one with more covered words is kept, then the better covered, then the first.
+and permission texts. Words that tell a license from its relatives (``DECIDING``) must be covered, however much else is, and words
+that make a relative of it (``FORBIDDEN``) may not stand between the first and the last covered word. Where passages overlap, of one license or several, the one with more covered words is kept, then the better covered, then the first.
 
 Defined cases: null and empty text give no row; every passage that matches gives a row; repeated rows are scanned one by
 one; very long texts are scanned whole; an empty table gives no row.
@@ -39,6 +39,13 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "MIT-line": "is MIT licensed",
+    "GPL-3.0-line": "GNU General Public License version 3",
+    "GPL-2.0-line": "GNU General Public License version 2",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
@@ -94,6 +101,14 @@ DECIDING = {
     "MIT-notice": "mit", "Apache-2.0-notice": "apache 2", "GPL-3.0-notice": "general 3", "GPL-2.0-notice": "general 2", "CC-BY-NC-4.0-notice": "nc 4", "CC-BY-4.0-short": "cc by 4", "CC-BY-4.0-notice": "attribution 4",
     "CC-BY-SA-4.0-notice": "attribution sharealike 4", "Apache-2.0": "apache", "GPL-3.0-or-later": "general 3 later", "GPL-2.0-or-later": "general 2 later", "LGPL-2.1-or-later": "lesser 2 1 later",
     "AGPL-3.0-or-later": "affero 3 later", "MPL-2.0": "mozilla", "BSD-3-Clause": "neither endorse", "ISC": "permission fee",
+    "CC-BY-SA-4.0-short": "cc by sa 4", "CC-BY-ND-4.0-short": "cc by nd 4", "CC-BY-NC-SA-4.0-short": "cc by nc sa 4", "CC-BY-NC-ND-4.0-short": "cc by nc nd 4", "MIT-line": "mit licensed", "GPL-3.0-line": "general 3", "GPL-2.0-line": "general 2",
+}
+_NC, _SA, _ND = "nc noncommercial", "sa sharealike", "nd noderivatives noderivs"
+#: Words that make another license of a passage, and so may not stand in it.
+FORBIDDEN = {
+    "CC-BY-4.0-short": f"{_NC} {_SA} {_ND}", "CC-BY-4.0-notice": f"{_NC} {_SA} {_ND}", "CC-BY-SA-4.0-notice": f"{_NC} {_ND}", "CC-BY-NC-4.0-notice": f"{_SA} {_ND}", "CC-BY-SA-4.0-short": f"{_NC} {_ND}", "CC-BY-ND-4.0-short": f"{_NC} {_SA}",
+    "CC-BY-NC-SA-4.0-short": _ND, "CC-BY-NC-ND-4.0-short": _SA, "GPL-3.0-notice": "lesser affero library", "GPL-2.0-notice": "lesser affero library", "GPL-3.0-line": "lesser affero library", "GPL-2.0-line": "lesser affero library",
+    "GPL-3.0-or-later": "lesser affero", "GPL-2.0-or-later": "lesser affero",
 }
 _WORD = re.compile(r"[^\W_]+")
 
@@ -150,10 +165,11 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float, deciding: dict[str, str] = DECIDING):
+    def __init__(self, templates: dict[str, str], coverage: float, deciding: dict[str, str] = DECIDING, forbidden: dict[str, str] = FORBIDDEN):
         self.templates = {name: w for name, t in templates.items() if (w := words_of(t))}
         self.needed = {name: max(1, -int(-coverage * len(w) // 1)) for name, w in self.templates.items()}
         self.deciding = {name: set(words_of(deciding.get(name, ""))) for name in self.templates}
+        self.forbidden = {name: set(words_of(forbidden.get(name, ""))) for name in self.templates}
         self.seeds: dict[str, list[tuple[str, int]]] = {}
         for name, w in self.templates.items():
             order = sorted(range(len(w)), key=lambda k: (-len(w[k]), k))
@@ -185,7 +201,7 @@ class Scanner:
         for s in starts:
             lo, hi = max(0, s - slack), min(len(doc), s + len(template) + slack)
             pairs = patience(template, doc[lo:hi])
-            if len(pairs) >= self.needed[name] and deciding <= {template[i] for i, _ in pairs}:
+            if len(pairs) >= self.needed[name] and deciding <= {template[i] for i, _ in pairs} and self.forbidden[name].isdisjoint(doc[lo + pairs[0][1] : lo + pairs[-1][1]]):
                 yield lo, pairs
 
 

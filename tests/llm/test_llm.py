@@ -780,6 +780,35 @@ def test_licenses_are_told_from_their_relatives(spark):
     assert license_scan.scan_licenses(twice).count() == 2 and license_scan.scan_licenses(twice.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-short"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0-short"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]),
+        ("Licensed under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND-4.0-short"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-short"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", []),
+        ("This project is MIT licensed.", ["MIT-line"]),
+        ("GNU General Public License version 3", ["GPL-3.0-line"]),
+        ("the GNU General Public License, version 2, as it is", ["GPL-2.0-line"]),
+        ("GNU Lesser General Public License version 3", []),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", []),
+    ],
+)
+def test_sibling_notices(text, expected):
+    found = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE).scan(f"Words before. {text} And words after it.")
+    assert [x[0] for x in found] == expected
+
+
+def test_license_scan_of_very_long_texts():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    for word in ("licensed", "permission", "cc", "license version"):
+        began = time.process_time()
+        scanner.scan(f"{word} " * 100_000)
+        assert time.process_time() - began < 60, word
+
+
 def test_many_notices_in_one_text():
     notice = license_scan.TEMPLATES["MIT-notice"]
     scanner, took = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE), []
@@ -803,8 +832,12 @@ def test_license_scan_loses_no_window(spark, medium):
         doc = license_scan.words_of(r["text"])
         for name, w in scanner.templates.items():
             slack = int(len(w) * license_scan.SLACK) + 1
-            each = (license_scan.patience(w, doc[max(0, p - slack) : p + len(w) + slack]) for p in range(len(doc)))
-            hit = any(len(pairs) >= scanner.needed[name] and scanner.deciding[name] <= {w[i] for i, _ in pairs} for pairs in each)
+            windows = (doc[max(0, p - slack) : p + len(w) + slack] for p in range(len(doc)))
+            each = ((license_scan.patience(w, window), window) for window in windows)
+            hit = any(
+                len(pairs) >= scanner.needed[name] and scanner.deciding[name] <= {w[i] for i, _ in pairs} and not scanner.forbidden[name] & set(window[pairs[0][1] : pairs[-1][1]])
+                for pairs, window in each
+            )
             assert hit == ((r["doc_id"], name) in found)
 
 
