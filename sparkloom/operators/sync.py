@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import content_hash, filename_of, or_else, stripped
+from sparkloom.runtime import stored
 
 
 def plan(cloud: DataFrame, local: DataFrame, key: str = "point_id") -> DataFrame:
@@ -48,15 +51,52 @@ def client_diff(client: DataFrame, server: DataFrame) -> DataFrame:
     return c.join(s, "source", "full").select("source", action.alias("action"))
 
 
-def export_page(chunks: DataFrame, vectors: DataFrame, offset: int = 0, limit: int = 2000, source: str | None = None, order: str = "ord") -> DataFrame:
+#: Rows of a range of a page index.
+RANGE_ROWS = 50_000
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows in a folder for each range of the export order, and how many rows of each source a range has (range, source, n)."""
+
+    rows: DataFrame
+    counts: DataFrame
+    order: str
+
+    def page(self, offset: int, limit: int, source: str | None = None) -> DataFrame:
+        """The rows at these places of the order: the ranges that hold them are found by their counts, and only these are opened and sorted."""
+        counts = self.counts if source is None else self.counts.where(F.col("source") == source)
+        sums = counts.groupBy("range").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.orderBy("range"))  # a row a range
+        hit = sums.withColumn("upto", upto).where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit)).orderBy("range").collect()  # limit + 1 at most
+        rows = self.rows.where(F.col("range").isin(*[r["range"] for r in hit])) if hit else self.rows.limit(0)
+        if source is not None:
+            rows = rows.where(F.col("source") == source)
+        before = hit[0]["upto"] - hit[0]["n"] if hit else 0
+        return rows.orderBy(self.order).offset(offset - before if hit else 0).limit(limit).drop("range")
+
+
+def page_index(chunks: DataFrame, order: str = "ord", path: str | None = None) -> PageIndex:
+    """Deal the rows over ranges of the order, once, under ``path`` or in the checkpoint folder; order values must not repeat."""
+    n = chunks.count()
+    dealt = chunks.repartitionByRange(max(1, -(-n // RANGE_ROWS)), order).withColumn("range", F.spark_partition_id())
+    rows = stored(dealt, path, by="range")
+    return PageIndex(rows, stored(rows.groupBy("range", "source").agg(F.count(F.lit(1)).alias("n"))), order)
+
+
+def export_page(chunks: DataFrame | PageIndex, vectors: DataFrame, offset: int = 0, limit: int = 2000, source: str | None = None, order: str = "ord") -> DataFrame:
     """A page of chunks in the thirteen columns of an export; equal content keys inside the page keep the first.
 
-    chunks: the order column and any canonical ones; vectors: content_hash, embedding. A chunk without a vector has null.
+    chunks: the order column and any canonical ones, as a table, all of which is put in order, or as a page index, of which a few ranges are opened; vectors: content_hash, embedding. A chunk without a vector has null.
     """
     if not 1 <= limit <= 3000 or offset < 0:
         raise ValueError("limit must be 1 to 3000 and offset not negative")
-    rows = chunks if source is None else chunks.where(F.col("source") == source)
-    page = rows.orderBy(order).offset(offset).limit(limit).withColumn("content_hash", content_hash(F.col("source"), F.col("page"), F.col("content")))
+    if isinstance(chunks, PageIndex):
+        order, taken = chunks.order, chunks.page(offset, limit, source)
+    else:
+        rows = chunks if source is None else chunks.where(F.col("source") == source)
+        taken = rows.orderBy(order).offset(offset).limit(limit)
+    page = taken.withColumn("content_hash", content_hash(F.col("source"), F.col("page"), F.col("content")))
     first = page.withColumn("copy", F.row_number().over(Window.partitionBy("content_hash").orderBy(order))).where("copy = 1").drop("copy")
     out = first.select(
         order, F.col("content_hash").alias("id"), "source", "content", or_else(F.col("parent_content"), F.col("content")).alias("parent_content"), "parent_id", "page", F.col("type").alias("chunk_type"),

@@ -535,7 +535,7 @@ def _page(spark, sf_dir):
     parent = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("parent of "), "content")).otherwise("")
     c = _chunks(spark, sf_dir).withColumn("parent_content", parent)
     rows = canonical(c, "doc_id").withColumnRenamed("doc_id", "ord")
-    return sync.export_page(rows, _export_vectors(spark, sf_dir), 100, 300)
+    return sync.export_page(sync.page_index(rows), _export_vectors(spark, sf_dir), 100, 300)
 
 
 @query(_PAGE + " SELECT *, '' AS parent_id, 'text' AS chunk_type FROM exported")
@@ -575,6 +575,37 @@ def pending_count(spark, sf_dir):
     return sync.pending(*_stores(spark, sf_dir))
 
 
+def _changed_store(spark, sf_dir) -> store.ChunkStore:
+    """Documents in a store: all come, a source goes, every tenth is replaced, every seventh goes by its id."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("point_id"), "source", F.col("lang").alias("type"), F.lit(0).alias("v"), "doc_id")
+    s = store.ChunkStore(spark, new_folder(spark, "store"), d.drop("doc_id").schema)
+    s.upsert(d.drop("doc_id"))
+    s.delete_by_source("src2")
+    s.upsert(d.where("doc_id % 10 = 3").drop("doc_id").withColumns({"v": F.lit(1), "type": F.lit("new")}))
+    s.delete_by_ids(d.where("doc_id % 7 = 0").select("point_id"))
+    return s
+
+
+_CHANGED = "changed AS (SELECT doc_id::VARCHAR AS point_id, source, CASE WHEN doc_id % 10 = 3 THEN 'new' ELSE lang END AS type, (doc_id % 10 = 3)::INTEGER AS v FROM documents WHERE (source <> 'src2' OR doc_id % 10 = 3) AND doc_id % 7 <> 0)"
+
+
+@query(f"WITH {_CHANGED} SELECT point_id, source, type, v FROM changed")
+def store_after_changes(spark, sf_dir):
+    return _changed_store(spark, sf_dir).read()
+
+
+@query(f"WITH {_CHANGED} SELECT source, type, count(*)::BIGINT AS n FROM changed GROUP BY ALL")
+def store_kept_counts(spark, sf_dir):
+    """Counts from the changes' own signed counts; no row of the store is read for them."""
+    return _changed_store(spark, sf_dir).histogram()
+
+
+@query(f"WITH {_CHANGED} SELECT point_id, v FROM changed WHERE source = 'src3'")
+def store_by_source(spark, sf_dir):
+    """One source's rows, from the files that may hold it."""
+    return _changed_store(spark, sf_dir).read(sources=["src3"]).select("point_id", "v")
+
+
 @query("SELECT doc_id, source FROM documents WHERE source <> 'src2'")
 def delete_by_source(spark, sf_dir):
     return store.without_source(_chunks(spark, sf_dir), "src2").select("doc_id", "source")

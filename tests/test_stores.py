@@ -1,13 +1,14 @@
 """Stores that merge on read, the posting index, the cell index, and the path from files to retrieval."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import cells, chunking, ingest, postings, retrieval, store
-from sparkloom.schema import Settings
+from sparkloom.operators import cells, chunking, ingest, postings, retrieval, store, sync
+from sparkloom.schema import Settings, canonical
 
 SCHEMA = "point_id string, source string, type string, v int"
 
@@ -242,6 +243,20 @@ def test_cells_odd_tables(spark):
     assert cells.cell_knn(cells.cell_index(rows.limit(0)), asked, 2).count() == 0
 
 
+def test_pages_open_the_ranges_that_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(sync, "RANGE_ROWS", 50)
+    rows = canonical(spark.range(1_000).selectExpr("id * 3 as ord", "concat('s', id % 7) as source", "concat('text ', id) as content", "cast(null as int) as page"), "ord")
+    index = sync.page_index(rows)
+    vectors = spark.createDataFrame([], "content_hash string, embedding array<float>")
+    assert index.rows.select("range").distinct().count() >= 15
+    for offset, limit, source in ((0, 1, None), (0, 60, None), (333, 100, None), (999, 10, None), (1_000, 10, None), (0, 3_000, None), (20, 30, "s3"), (140, 30, "s3"), (0, 5, "none")):
+        page = sync.export_page(index, vectors, offset, limit, source)
+        assert sorted(page.select("ord", "content").collect()) == sorted(sync.export_page(rows, vectors, offset, limit, source).select("ord", "content").collect())
+    plan = index.page(333, 100)._jdf.queryExecution().executedPlan().toString()
+    opened = re.search(r"PartitionFilters: \[[^\]]*range#\d+ IN \(([\d,]+)\)", plan)
+    assert opened and 2 <= len(opened[1].split(",")) <= 6
+
+
 def test_equal_but_for_white_space(spark):
     legs = lambda rows: spark.createDataFrame(rows, "query long, doc string, content string, rank int")
     fused = retrieval.rrf(legs([(1, "a", "same text\n", 1), (1, "c", "other", 2)]), legs([(1, "b", " same text", 1)])).collect()
