@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import chunk_icon, context_block, image_url, or_else, short_section
+from sparkloom.functions.text import chunk_icon, context_block, image_url, or_else, short_section, stripped
 from sparkloom.schema import Settings
 
 
