@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,12 @@ def _bucket(tok: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
 
 
+def _bucket_of(tok: str, buckets: int) -> int:
+    """The same for one token."""
+    h = xxhash.xxh64_intdigest(tok.encode(), seed=42)
+    return (h - (h >> 63 << 64)) % buckets
+
+
 def posting_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", settings: Settings = Settings(), path: str | None = None) -> PostingIndex:
     """Build the index of a chunk table, under ``path`` or in the checkpoint folder. Ids must not repeat."""
     k1, b = settings.bm25_k1, settings.bm25_b
@@ -97,8 +104,8 @@ def of_tokens(index: PostingIndex, wanted: DataFrame) -> DataFrame:
     few = wanted.select("tok").distinct().limit(NAMED + 1).collect()  # so many at most
     if len(few) <= NAMED:
         names = sorted(r["tok"] for r in few)
-        where = wanted.sparkSession.createDataFrame([(t,) for t in names], "tok string").select(_bucket(F.col("tok"), index.buckets)).distinct().collect()
-        return index.blocks.where(F.col("bucket").isin(*[r[0] for r in where]) & F.col("tok").isin(*names)) if names else index.blocks.limit(0)
+        where = sorted({_bucket_of(t, index.buckets) for t in names})
+        return index.blocks.where(F.col("bucket").isin(*where) & F.col("tok").isin(*names)) if names else index.blocks.limit(0)
     keys = wanted.select("tok").distinct().withColumn("bucket", _bucket(F.col("tok"), index.buckets))
     return index.blocks.join(keys, ["bucket", "tok"], "left_semi")
 
@@ -108,7 +115,8 @@ def search(index: PostingIndex, queries: DataFrame, k: int, settings: Settings =
     if (settings.bm25_k1, settings.bm25_b) != (index.k1, index.b):
         raise ValueError("the index was built for another k1 or b")
     terms = cut(queries.select("query", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("query", "tok").agg(F.count(F.lit(1)).alias("qf")))
-    heads = cut(of_tokens(index, terms).select("tok", "range", "n", "top"))
+    blocks = of_tokens(index, terms)
+    heads = cut(blocks.select("tok", "range", "n", "top"))
     w = raw_weight(F.col("df"), index.n)
     weight = F.col("qf") * F.when(w < 0, settings.bm25_epsilon * index.mean).otherwise(w)
     weighted = cut(terms.join(heads.groupBy("tok").agg(F.sum("n").alias("df")), "tok").select("query", "tok", weight.alias("weight")))
@@ -120,21 +128,20 @@ def search(index: PostingIndex, queries: DataFrame, k: int, settings: Settings =
     # Ranges in order of their sums: those before k documents with the range's heaviest token are reached are scored first.
     order = Window.partitionBy("query").orderBy(F.col("most").desc(), "range").rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut(sums.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("query", "range", "most", (F.col("before") < k).alias("first")))
-    start = cut(_scores(index, terms, weighted, few, ranked.where("first")))
+    start = cut(_scores(index, blocks, weighted, few, ranked.where("first")))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
     bars = start.withColumn("place", place).where(F.col("place") == k).select("query", F.col("score").alias("bar"))
     # Places are told apart by six digits, then by id: a sum within two of the last digit still counts.
     rest = ranked.where("not first").join(bars, "query", "left").where(F.col("bar").isNull() | (F.col("most") >= F.col("bar") - 2e-6))
-    scores = start.unionByName(_scores(index, terms, weighted, few, cut(rest.select("query", "range"))))
+    scores = start.unionByName(_scores(index, blocks, weighted, few, cut(rest.select("query", "range"))))
     best = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "doc")
     return cut(scores.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0)))
 
 
-def _scores(index: PostingIndex, terms: DataFrame, weighted: DataFrame, few: bool, chosen: DataFrame) -> DataFrame:
+def _scores(index: PostingIndex, blocks: DataFrame, weighted: DataFrame, few: bool, chosen: DataFrame) -> DataFrame:
     """(query, doc, score) of all documents in the chosen (query, range) that have a token of the query."""
     wanted = weighted.join(chosen.select("query", "range"), "query")
     sent = few and wanted.count() <= SENT
-    blocks = of_tokens(index, terms).select("tok", "range", "postings")
-    hits = blocks.join(F.broadcast(wanted) if sent else wanted, ["tok", "range"]).select("query", "weight", F.explode("postings").alias("p"))
+    hits = blocks.select("tok", "range", "postings").join(F.broadcast(wanted) if sent else wanted, ["tok", "range"]).select("query", "weight", F.explode("postings").alias("p"))
     part = F.col("weight") * contribution(F.col("p.tf"), F.col("p.dl"), index.average, index.k1, index.b)
     return hits.groupBy("query", F.col("p.doc").alias("doc")).agg(F.sum(part).alias("score"))
