@@ -272,6 +272,17 @@ def expand_parents(rows: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 
 
+def dense_with_parents(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", pin: Column | None = None) -> DataFrame:
+    """The plain retriever: the k nearest chunks of each question, each parent once and with its own text. (query, doc, content, score, rank)"""
+    rows = knn(chunks, queries, k, pin, id_col=id_col).join(chunks.select(F.col(id_col).alias("doc"), "content", "parent_id", "parent_content"), "doc")
+    return expand_parents(rows).select("query", "doc", "content", "score", "rank")
+
+
+def asked(questions: DataFrame, most: int = 2000) -> DataFrame:
+    """Questions of 1 to ``most`` characters; others, null ones too, are refused."""
+    return questions.where(F.length("text").between(1, most))
+
+
 def online(rows: DataFrame, settings: Settings = Settings(), scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:
     """Rerank, expand to parents, rerank again."""
     return rerank(expand_parents(rerank(rows, settings.rerank_top_k, scorer)), settings.rerank_top_k, scorer)

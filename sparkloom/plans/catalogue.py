@@ -358,6 +358,23 @@ def parent_expand(spark, sf_dir):
     return retrieval.expand_parents(_hits(spark, sf_dir)).select("query", "doc", F.md5(F.col("content").cast("binary")).alias("content"), "rank")
 
 
+@query(
+    "WITH near AS (" + _KNN.format(where="e.vec_id IN (SELECT doc_id FROM documents)") + """), hits AS (
+  SELECT n.*, d.source || '-' || d.lang AS parent_id, d.doc_id % 4 <> 0 AS has, CASE WHEN d.doc_id % 4 = 0 THEN d.text ELSE 'parent of ' || d.source || ': ' || d.text END AS best FROM near n JOIN documents d ON n.doc = d.doc_id)
+SELECT query, doc, md5(best) AS content, (row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, has, parent_id ORDER BY rank) AS c FROM hits) WHERE c = 1 OR NOT has"""
+)
+def dense_parents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat_ws("-", "source", "lang").alias("parent_id"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("parent of "), "source", F.lit(": "), "text")).alias("parent_content"))
+    found = retrieval.dense_with_parents(_embedded(spark, sf_dir).join(d, "doc_id"), _vector_queries(spark, sf_dir), 20)
+    return found.select("query", "doc", F.md5(F.col("content").cast("binary")).alias("content"), "rank")
+
+
+@query("SELECT doc_id AS query FROM documents WHERE length(text) BETWEEN 1 AND 2000")
+def asked_questions(spark, sf_dir):
+    """Documents as questions: those of an answerable length."""
+    return retrieval.asked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), "text")).select("query")
+
+
 @query(_HITS + f", s AS (SELECT query, doc, rank, {_over('best')} AS score FROM hits), b AS (SELECT *, first_value(score) OVER (PARTITION BY query ORDER BY rank) AS best_score FROM s) SELECT query, doc, best_score FROM b WHERE best_score >= 0.5")
 def weak_context_gate(spark, sf_dir):
     rows = _hits(spark, sf_dir).withColumn("score", F.round(retrieval.lexical_overlap(F.col("query_text"), T.or_else(F.col("parent_content"), F.col("content"))), 4))
