@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions.vectors import cosine, norm, normalize
-from sparkloom.operators import cells, chunking, context, ingest, postings, retrieval, store, sync, tables
+from sparkloom.operators import cells, chunking, context, ingest, keytree, postings, retrieval, store, sync, tables
 from sparkloom.runtime import new_folder, stamp, table
 from sparkloom.schema import Settings, canonical
 from sparkloom.sources import blocks
@@ -582,6 +582,11 @@ def sync_plan(spark, sf_dir):
     return sync.plan(*_stores(spark, sf_dir))
 
 
+@query(_SQL["sync_plan"])
+def sync_plan_tree(spark, sf_dir):
+    return keytree.plan(*[keytree.KeyTree(spark, new_folder(spark, "tree")).take(s) for s in _stores(spark, sf_dir)])
+
+
 @query("SELECT vec_id AS point_id, label FROM embeddings WHERE label <> 2")
 def sync_apply(spark, sf_dir):
     return sync.apply(*_stores(spark, sf_dir)).select("point_id", "label")

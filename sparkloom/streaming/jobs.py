@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sparkloom.operators.store import ChunkStore
+from sparkloom.operators import keytree
+from sparkloom.operators.keytree import KeyTree
+from sparkloom.operators.store import SENT, ChunkStore
+from sparkloom.runtime import cut
 
 
 def sync_into(changes: DataFrame, store: ChunkStore, checkpoint: str, every: str | None = None, order: str | None = None, deleted: str | None = None) -> StreamingQuery:
@@ -47,6 +50,21 @@ def reconcile(cloud: DataFrame, store: ChunkStore) -> tuple[int, int]:
     return added, store.delete_by_ids(stale)
 
 
+def reconcile_trees(cloud: DataFrame, cloud_tree: KeyTree, store: ChunkStore, tree: KeyTree) -> tuple[int, int]:
+    """As ``reconcile``, with the trees of both sides' keys: keys of ranges that are equal are not read, and ``tree`` follows the store.
+
+    The store changes first. Should its tree's change fail, the next sync does the same rows again, which changes nothing in the store.
+    """
+    todo = cut(keytree.plan(cloud_tree, tree))
+    pull, stale = (todo.where(F.col("action") == a).select(store.key) for a in ("pull", "delete"))
+    added = pull.count()
+    if added:
+        store.upsert(cloud.join(F.broadcast(pull) if added <= SENT else pull, store.key, "left_semi"))
+    deleted = store.delete_by_ids(stale)
+    tree.change(pull, stale)
+    return added, deleted
+
+
 def sync_every(ticks: DataFrame, cloud: Callable[[], DataFrame], store: ChunkStore, checkpoint: str, every: str = "20 minutes") -> StreamingQuery:
     """``reconcile`` at each trigger of a stream of ticks; a sync that fails is tried again at the next one."""
 
