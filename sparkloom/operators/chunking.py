@@ -25,8 +25,8 @@ def section_groups(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("starts", F.when(first | new, 1).otherwise(0)).withColumn("grp", F.sum("starts").over(w) - 1).drop("starts")
 
 
-def heading_paths(blocks: DataFrame, levels: int = 3) -> DataFrame:
-    """Adds ``path``: the open headings above each block, joined by " > ".
+def heading_paths(blocks: DataFrame, levels: int = 3, heading: str | None = None) -> DataFrame:
+    """Adds ``path``: the open headings above each block, joined by " > "; and the last of them, as the column that ``heading`` names.
 
     A heading closes all of its level and deeper, so the open heading of a level is its last one that no shallower
     heading follows: a running maximum per level, no ordered fold.
@@ -38,6 +38,8 @@ def heading_paths(blocks: DataFrame, levels: int = 3) -> DataFrame:
         out = out.withColumn(f"__at{n}", F.max(F.when(own, F.col("block_seq"))).over(w)).withColumn(f"__h{n}", F.last(F.when(own, F.col("content")), ignorenulls=True).over(w))
         above = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"__at{m}"), F.lit(-1)) for m in range(1, n)]) if n > 1 else F.lit(-1)
         last.append(F.when(F.col(f"__at{n}") > above, F.col(f"__h{n}")))
+    if heading:
+        out = out.withColumn(heading, F.coalesce(*reversed(last), F.lit("")))
     return out.withColumn("path", F.concat_ws(" > ", *last)).drop(*[f"__{k}{n}" for k in ("at", "h") for n in range(1, levels + 1)])
 
 

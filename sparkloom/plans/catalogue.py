@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions.vectors import cosine, norm, normalize
-from sparkloom.operators import cells, chunking, context, ingest, keytree, postings, retrieval, store, sync, tables
+from sparkloom.operators import cells, chunking, context, ingest, keytree, postings, retrieval, ruled, store, sync, tables
 from sparkloom.runtime import new_folder, stamp, table
 from sparkloom.schema import Settings, canonical
 from sparkloom.sources import blocks
@@ -465,6 +465,34 @@ def breadcrumbs(spark, sf_dir):
     return chunking.heading_paths(_lines(spark, sf_dir)).select("source", "block_seq", "path")
 
 
+def _spans(spark, sf_dir) -> DataFrame:
+    """Lines of documents as printed text: five to a page, each a block of one span whose font follows its length."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    n = F.length("text")
+    size = F.when(n < 20, 20.0).when(n < 60, 15.0).when(n < 200, 12.0).otherwise(10.0)
+    box = {"x0": F.lit(10.0), "y0": (F.col("k") % 5) * 12.0, "x1": 10 + n * 5.125, "y1": (F.col("k") % 5) * 12.0 + 10}
+    return lines.withColumns({"page": F.floor(F.col("k") / 5).cast("int") + 1, "block": F.col("k"), "line": F.lit(0), "span": F.lit(0), "size": size, **box})
+
+
+@query(rf"""WITH RECURSIVE spans AS (
+  SELECT source, i - 1 AS block_seq, (i - 1) // 5 + 1 AS page, t AS text, ((i - 1) % 5) * 12.0::DOUBLE AS y0, 10 + length(t) * 5.125::DOUBLE AS x1, CASE WHEN length(t) < 20 THEN 20.0 WHEN length(t) < 60 THEN 15.0 WHEN length(t) < 200 THEN 12.0 ELSE 10.0 END::DOUBLE AS size
+  FROM (SELECT doc_id::VARCHAR AS source, i, string_split(text, chr(10))[i] AS t FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE {_sql_stripped("t")} <> ''
+), body AS (SELECT source, page, list_sort(list(size))[count(*) // 2 + 1] AS body FROM spans GROUP BY source, page
+), typed AS (
+  SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY block_seq) AS n, {_sql_stripped("text")} AS content, y0, round(x1, 2) AS x1, size >= 1.15 * body AND length({_sql_stripped("text")}) < 200 AS head,
+    CASE WHEN size >= 1.8 * body THEN 1 WHEN size >= 1.4 * body THEN 2 ELSE 3 END AS level FROM spans JOIN body USING (source, page)
+), walk AS (
+  SELECT source, page, n, head, y0, x1, CASE WHEN head THEN [struct_pack(l := level, c := content)] ELSE [] END AS open FROM typed WHERE n = 1
+  UNION ALL
+  SELECT b.source, b.page, b.n, b.head, b.y0, b.x1, CASE WHEN b.head THEN list_append(list_filter(w.open, lambda x: x.l < b.level), struct_pack(l := b.level, c := b.content)) ELSE w.open END FROM walk w JOIN typed b ON b.source = w.source AND b.n = w.n + 1
+) SELECT source, n - 1 AS block_seq, page::INTEGER AS page, head, md5(array_to_string(list_transform(open, lambda x: x.c), ' > ')) AS section_path, md5(CASE WHEN len(open) > 0 THEN open[-1].c ELSE '' END) AS heading, y0, x1, 595.28::DOUBLE AS page_width FROM walk""")
+def span_geometry(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    sizes = spans.select("source", "page", F.lit(595.2756).alias("width"), F.lit(841.8898).alias("height")).distinct()
+    text = {c: F.md5(F.col(c).cast("binary")) for c in ("section_path", "heading")}
+    return blocks.span_blocks(spans, sizes).withColumns(text).select("source", "block_seq", "page", (F.col("type") == "heading").alias("head"), "section_path", "heading", F.col("bbox")[1].alias("y0"), F.col("bbox")[2].alias("x1"), "page_width")
+
+
 @query(f"WITH {_LINES} SELECT type, count(*)::BIGINT AS n FROM typed GROUP BY type")
 def block_types(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
@@ -572,6 +600,28 @@ def key_overlap(spark, sf_dir):
     return sync.key_overlap(_chunks(spark, sf_dir), _export_vectors(spark, sf_dir))
 
 
+def _sheet(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parts as printed pages of 40 rows: ruling lines, and words with their boxes."""
+    place = {"page": F.floor(F.col("p_partkey") / 40) + 1, "row": F.col("p_partkey") % 40 + 1, "source": F.lit("part")}
+    rows = table(spark, sf_dir, "part").withColumns(place).select("source", "page", "row", F.array("p_name", "p_brand", F.col("p_size").cast("string")).alias("cells"))
+    head = rows.select("source", "page").distinct().select("*", F.lit(0).cast("long").alias("row"), F.array(*map(F.lit, ("name", "brand", "size"))).alias("cells"))
+    every = rows.unionByName(head)
+    y = F.col("row") * 20.0
+    box = lambda *c: [v.cast("double").alias(n) for v, n in zip(c, ("x0", "y0", "x1", "y1"), strict=True)]
+    flat = every.select("source", "page", F.explode(F.array(y, y + 20)).alias("y")).select("source", "page", *box(F.lit(0), F.col("y"), F.lit(450), F.col("y")))
+    up = every.select("source", "page", y.alias("y"), F.explode(F.array(*[F.lit(150 * k) for k in range(4)])).alias("x")).select("source", "page", *box(F.col("x"), F.col("y"), F.col("x"), F.col("y") + 20))
+    words = every.select("source", "page", y.alias("y"), F.posexplode("cells").alias("column", "cell")).select("source", "page", "y", "column", F.posexplode(F.split("cell", " ")).alias("k", "text"))
+    x = F.col("column") * 150.0 + 4 + F.col("k") * 40
+    return flat.unionByName(up), words.select("source", "page", x.alias("x0"), (F.col("y") + 5).alias("top"), (x + 30).alias("x1"), (F.col("y") + 15).alias("bottom"), "text")
+
+
+@query("""SELECT 'part' AS source, p_partkey // 40 + 1 AS page, 1 AS number, 450.0::DOUBLE AS wide, 20.0::DOUBLE * (max(p_partkey % 40) + 2) AS foot,
+  '[TABLE 1 — Page ' || (p_partkey // 40 + 1) || ']' || chr(10) || '| name | brand | size |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS content
+  FROM part GROUP BY p_partkey // 40""")
+def ruled_tables(spark, sf_dir):
+    return ruled.ruled_tables(*_sheet(spark, sf_dir)).select("source", "page", F.col("table").alias("number"), F.col("bbox")[2].alias("wide"), F.col("bbox")[3].alias("foot"), "content")
+
+
 def _stores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "point_id")
     return e.where("label <> 2"), e.where("label <> 1")

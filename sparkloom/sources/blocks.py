@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import block_type, filled, heading_level, image_label, is_bullet, stripped
+from sparkloom.operators.chunking import heading_paths
 
 BLOCK = "block_seq long, type string, level int, content string"
 
@@ -24,18 +25,30 @@ def line_blocks(docs: DataFrame, source: str = "doc_id", text: str = "text") ->
     return rows.select("source", F.col("block_seq").cast("long").alias("block_seq"), "content", F.lit(None).cast("int").alias("page"), kind.alias("type"), level.cast("int").alias("level"))
 
 
-def span_blocks(spans: DataFrame) -> DataFrame:
-    """Blocks from font spans (source, page, block, line, span, text, size): body size per page is the upper median.
+def span_blocks(spans: DataFrame, page_sizes: DataFrame | None = None) -> DataFrame:
+    """Blocks from font spans (source, page, block, line, span, text, size, and box x0, y0, x1, y1 if known): body size per page is the upper median.
 
-    Spans of a line are joined, lines of a block are joined by new lines, and the block's largest span classifies it.
+    Spans of a line are joined, lines of a block are joined by new lines, and the block's largest span classifies it. Every block gets
+    the box around its spans (``bbox``, null where no span has one), the size of its page from ``page_sizes`` (source, page, width,
+    height), and its place among headings: ``section_path`` joins the open headings from the highest level down, the block itself included if it
+    is one, and ``heading`` is the last of them. Headings stay open across pages until one of the same or a higher level comes.
     """
-    spans = spans.where(filled(F.col("text")))
-    body = spans.groupBy("source", "page").agg(F.array_sort(F.collect_list("size")).alias("s")).select("source", "page", F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("body"))
-    lines = spans.groupBy("source", "page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "").alias("text"), F.max("size").alias("size"))
-    blocks = lines.groupBy("source", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", stripped(F.col("text")).alias("text")))), lambda x: x["text"]), "\n").alias("content"), F.max("size").alias("size"))
-    typed = blocks.join(body, ["source", "page"]).withColumn("type", block_type(F.col("size"), F.col("body"), F.col("content")))
+    sides = ("x0", "y0", "x1", "y1")
+    boxed = spans.withColumns({c: F.lit(None).cast("double") for c in sides if c not in spans.columns})
+    body = spans.where(filled(F.col("text"))).groupBy("source", "page").agg(F.array_sort(F.collect_list("size")).alias("s")).select("source", "page", F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("body"))
+    around = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    held = lambda c: F.when(filled(F.col("text")), c)
+    lines = boxed.groupBy("source", "page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(held(F.struct("span", "text")))), lambda x: x["text"]), "").alias("text"), F.max(held(F.col("size"))).alias("size"), *around)
+    blocks = lines.groupBy("source", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line", stripped(F.col("text")).alias("text"))))), lambda x: x["text"]), "\n").alias("content"), F.max("size").alias("size"), *around)
+    typed = blocks.where("content <> ''").join(body, ["source", "page"]).withColumn("type", block_type(F.col("size"), F.col("body"), F.col("content")))
     order = F.row_number().over(Window.partitionBy("source").orderBy("page", "block")) - 1
-    return typed.withColumn("level", F.when(F.col("type") == "heading", heading_level(F.col("size"), F.col("body")))).withColumn("block_seq", order.cast("long")).drop("size", "body")
+    typed = typed.withColumn("level", F.when(F.col("type") == "heading", heading_level(F.col("size"), F.col("body")))).withColumn("block_seq", order.cast("long"))
+    box = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in sides]) == 0, F.array(*[F.round(c, 2) for c in sides]))
+    out = heading_paths(typed.withColumn("bbox", box), heading="heading").withColumnRenamed("path", "section_path").drop("size", "body", *sides)
+    if page_sizes is None:
+        return out.withColumns({"page_width": F.lit(None).cast("double"), "page_height": F.lit(None).cast("double")})
+    sizes = page_sizes.groupBy("source", "page").agg(*[F.round(F.max(c), 2).alias(f"page_{c}") for c in ("width", "height")])
+    return out.join(sizes, ["source", "page"], "left")
 
 
 class _Blocks(HTMLParser):

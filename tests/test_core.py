@@ -330,6 +330,22 @@ def test_span_blocks(spark):
     spans = [("f", 1, 0, 0, 0, "Big title", 20.0), ("f", 1, 1, 0, 0, "plain ", 10.0), ("f", 1, 1, 0, 1, "text", 10.0), ("f", 1, 2, 0, 0, "- item", 10.0), ("f", 1, 2, 1, 0, "  ", 10.0)]
     rows = blocks.span_blocks(spark.createDataFrame(spans, "source string, page int, block int, line int, span int, text string, size double")).orderBy("block_seq").collect()
     assert [(r["type"], r["level"], r["content"]) for r in rows] == [("heading", 1, "Big title"), ("text", None, "plain text"), ("bullet", None, "- item")]
+    assert [(r["heading"], r["section_path"], r["bbox"], r["page_width"]) for r in rows] == [("Big title", "Big title", None, None)] * 3
+
+
+def test_span_geometry_and_headings_across_pages(spark):
+    box = lambda k: (1.006, 10.0 * k, 90.0 + k, 10.0 * k + 9)
+    spans = [("f", 1, 0, 0, 0, "before", 10.0, *box(0)), ("f", 1, 1, 0, 0, "One", 20.0, *box(1)), ("f", 1, 2, 0, 0, "Two", 15.0, *box(2)), ("f", 1, 3, 0, 0, "a", 10.0, *box(3)), ("f", 1, 3, 1, 0, " ", 10.0, *box(9)), ("f", 1, 4, 0, 0, "b", 10.0, *box(4)), ("f", 1, 5, 0, 0, "c", 10.0, *box(5))]
+    spans += [("f", 2, 0, 0, 0, "d", 10.0, *box(0)), ("f", 2, 1, 0, 0, "Three", 18.0, *box(1)), ("f", 2, 2, 0, 0, "e", 10.0, None, 1.0, 2.0, 3.0), ("f", 2, 3, 0, 0, " ", 30.0, *box(3)), ("g", 1, 0, 0, 0, "x", 10.0, *box(0))]
+    df = spark.createDataFrame(spans, "source string, page int, block int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double")
+    sizes = spark.createDataFrame([("f", 1, 595.276, 841.89), ("f", 1, 595.276, 841.89), ("f", 2, 100.0, 50.0)], "source string, page int, width double, height double")
+    rows = blocks.span_blocks(df, sizes).orderBy("source", "block_seq").collect()
+    assert [(r["content"], r["section_path"], r["heading"]) for r in rows] == [
+        ("before", "", ""), ("One", "One", "One"), ("Two", "One > Two", "Two"), ("a", "One > Two", "Two"), ("b", "One > Two", "Two"), ("c", "One > Two", "Two"),
+        ("d", "One > Two", "Two"), ("Three", "Three", "Three"), ("e", "Three", "Three"), ("x", "", ""),
+    ]
+    assert (rows[3]["bbox"], rows[3]["page_width"], rows[3]["page_height"]) == ([1.01, 30.0, 99.0, 99.0], 595.28, 841.89)
+    assert rows[8]["bbox"] is None and rows[8]["page_height"] == 50.0 and rows[9]["page_width"] is None
 
 
 def test_sources(spark, tmp_path):
