@@ -11,6 +11,8 @@ Texts are equal when identical after lower-casing A-Z. Of equal texts, the row w
    to as many parts of a bucket as its incoming digests need, which stream past them, so that a small or empty
    snapshot gathers nothing in one task.
 4. Positives join the snapshot's exact groups. Snapshots are taken in turn; what one holds alone is looked up in the next.
+   Each row has a number of its own from the first writing on, and a group names the row that stays, so that no text's rows have to meet to
+   be counted through. Groups of many rows are sent to all tasks when rows look up their group; their rows stay where they are.
 5. Byte check: texts whose digest two rows or more have are grouped by (digest, text), again with map-side sums; a digest of one
    row needs no check, and its text is not shuffled. Should texts of one digest ever differ, their rows are split by text.
 
@@ -20,6 +22,7 @@ id and text count in group_size, and one of them is kept; empty tables and snaps
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.runtime import cut, stored
 
-from .common import lower_ascii, text_or_empty
+from .common import join_counted, lower_ascii, text_or_empty
 
 #: Digests that a filter's bucket holds, and incoming digests that one part of a bucket takes, about.
 BUCKET_KEYS, PART_KEYS = 2_000, 200_000
@@ -115,7 +118,7 @@ def _bucket(buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """An immutable snapshot: texts (doc, norm), digests (doc, digest), groups (digest, top, n) and filters, one a bucket."""
+    """An immutable snapshot: texts (doc, norm), digests (doc, digest, part, row), groups (digest, top, n), top being the (doc, part, row) that stays, and filters, one a bucket."""
 
     texts: DataFrame
     digests: DataFrame
@@ -162,7 +165,12 @@ def screen(incoming: DataFrame, count: int, snapshot: Snapshot) -> DataFrame:
 
 
 def _groups(digests: DataFrame) -> DataFrame:
-    return digests.groupBy("digest").agg(F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"))
+    return digests.groupBy("digest").agg(F.max(F.struct("doc", "part", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
+
+
+def _numbered(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """``rows`` written with ``part``, a number of this table, and ``row``, a number in it: both differ between rows that are equal else."""
+    return stored(rows.withColumns({"part": F.lit(uuid.uuid4().int >> 65), "row": F.monotonically_increasing_id()}), path)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,7 +186,7 @@ def _freeze(texts: DataFrame, digests: DataFrame, path: str | None) -> Snapshot:
 def take_snapshot(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
     """Freeze a table that no longer changes; with a path, ``open_snapshot`` finds what was built there."""
     texts = _texts(df, id_col, text_col)
-    return _freeze(texts, stored(texts.select("doc", F.sha2("norm", 256).alias("digest")), path and f"{path}/digests"), path)
+    return _freeze(texts, _numbered(texts.select("doc", F.sha2("norm", 256).alias("digest")), path and f"{path}/digests"), path)
 
 
 def open_snapshot(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
@@ -195,7 +203,7 @@ def _decide(texts: DataFrame, digests: DataFrame, batch: DataFrame, snapshots: S
         met = cut(maybe.join(s.groups, "digest").select("digest", F.col("top").alias("old_top"), F.col("n").alias("old_n")))
         more = groups.join(met, "digest", "left").select("digest", F.greatest("top", "old_top").alias("top"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"))
         groups = cut(more.unionByName(s.groups.join(met, "digest", "left_anti").select("digest", "top", "n")))
-    groups = groups.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = groups.select("digest", "top", F.col("n").alias("group_size"))
 
     # Byte check. The first sixteen digits of a digest are enough to leave out texts that no other row has.
     short = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
@@ -204,23 +212,24 @@ def _decide(texts: DataFrame, digests: DataFrame, batch: DataFrame, snapshots: S
     rows = texts.select("doc", "norm", F.sha2("norm", 256).alias("digest"))
     rows = rows.join(F.broadcast(repeated) if sent else repeated, short(F.col("digest")) == F.col("short"), "left_semi")
     checked = cut(rows.groupBy("digest", "norm").count().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
-    once = Window.partitionBy("digest", "doc").orderBy(F.lit(0))
-    numbered = digests.select("doc", "digest").withColumn("copy", F.row_number().over(once))
-    if checked.limit(1).count():  # one digest, different bytes
-        normal = groups.join(checked, "digest", "left_anti")
+    columns = ["doc", "keep_id", "group_size", "kept", "digest"]
+    differ = checked.limit(1).count()  # one digest, different bytes
+    normal = cut(groups.join(checked, "digest", "left_anti")) if differ else groups
+    met = join_counted(digests.select("doc", "digest", "part", "row"), normal.withColumn("rows", F.col("group_size")), "digest", "rows")
+    out = met.withColumns({"keep_id": F.col("top.doc"), "kept": F.struct("doc", "part", "row").eqNullSafe(F.col("top"))}).select(*columns)
+    if differ:
         own = rows.join(checked, "digest", "left_semi")
         parts = own.groupBy("digest", "norm").agg(F.max("doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = own.withColumn("copy", F.row_number().over(Window.partitionBy("digest", "norm", "doc").orderBy(F.lit(0)))).join(parts, ["digest", "norm"]).select("doc", "digest", "copy", "keep_id", "group_size")
-        out = numbered.join(normal, "digest").select("doc", "digest", "copy", "keep_id", "group_size").unionByName(apart)
-    else:
-        out = numbered.join(groups, "digest")
-    return out.select(F.col("doc").alias(id_col), "keep_id", "group_size", (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
+        first = F.row_number().over(Window.partitionBy("digest", "norm", "doc").orderBy(F.lit(0))) == 1
+        apart = own.withColumn("first", first).join(parts, ["digest", "norm"])
+        out = out.unionByName(apart.withColumn("kept", F.col("doc").eqNullSafe(F.col("keep_id")) & F.col("first")).select(*columns))
+    return out.select(F.col("doc").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def dedup_batch(df: DataFrame, snapshots: Sequence[Snapshot], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of the new batch ``df`` and of every snapshot: id, keep_id, group_size, kept, text_sha256."""
     texts = _texts(df, id_col, text_col)
-    batch = stored(texts.select("doc", F.sha2("norm", 256).alias("digest")))
+    batch = _numbered(texts.select("doc", F.sha2("norm", 256).alias("digest")))
     every, digests = texts, batch
     for s in snapshots:
         every, digests = every.unionByName(s.texts), digests.unionByName(s.digests)
@@ -230,6 +239,6 @@ def dedup_batch(df: DataFrame, snapshots: Sequence[Snapshot], id_col: str = "doc
 def exact_dedup(df: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``dedup_batch`` where one table holds both: ``in_snapshot`` says which rows are the snapshot's, the others are the new batch."""
     texts = _texts(df, id_col, text_col)
-    digests = stored(df.select(df[id_col].cast("long").alias("doc"), F.sha2(lower_ascii(text_or_empty(df[text_col])), 256).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old")))
-    held = _freeze(texts, digests.where("old").select("doc", "digest"), None)
+    digests = _numbered(df.select(df[id_col].cast("long").alias("doc"), F.sha2(lower_ascii(text_or_empty(df[text_col])), 256).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old")))
+    held = _freeze(texts, digests.where("old").drop("old"), None)
     return _decide(texts, digests, digests.where("not old"), [held], id_col)

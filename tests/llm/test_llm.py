@@ -356,6 +356,21 @@ def test_exact_dedup_against_stored_snapshots(spark, tmp_path, monkeypatch, sent
     assert both <= maybe and len(maybe - both) < 5
 
 
+@pytest.mark.parametrize("hot", [1_000, 5])
+def test_exact_dedup_of_hot_texts_with_null_and_repeated_ids(spark, monkeypatch, hot):
+    """A third of the rows are one text, most without an id; one row of each text stays, with groups joined and sent alike."""
+    from sparkloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    ids = [None] * 60 + [7] * 20 + [None] * 10 + list(range(100, 190))
+    texts = ["Hot"] * 40 + ["cold"] * 20 + ["hot"] * 20 + ["only null"] * 10 + [f"t {k % 30}" for k in range(90)]
+    rows = exact_dedup.exact_dedup(frame(spark, texts, ids), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))).collect()
+    kept = [(r["doc_id"], r["keep_id"], r["group_size"]) for r in rows if r["kept"]]
+    assert len(rows) == len(ids) and sorted(kept, key=str) == sorted([(7, 7, 60), (None, None, 20), (None, None, 10), *[(160 + k, 160 + k, 3) for k in range(30)]], key=str)
+    plan = exact_dedup.exact_dedup(frame(spark, texts, ids), F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_exact_dedup_splits_texts_of_one_digest(spark, monkeypatch):
     """With a digest of one digit, unequal texts meet in the byte check and are told apart there."""
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n, real=F.sha2: F.rpad(F.substring(real(c, n), 1, 1), 64, "0"))
