@@ -190,6 +190,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     out = np.zeros(len(vocabulary) + 2, dtype=np.int64)
     for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["word"]] = r["n"]
+    shared.destroy()
     return out[:-2], int(out[-2]), int(out[-1])
 
 
@@ -225,27 +226,35 @@ def _search(shared):
 
 
 def _searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, ngram: int, chance: float, min_score: float, shard_words: int):
-    """One shard's column function after the other: text -> array of (item_id, score, start, end), words from start to before end."""
+    """One shard after the other, as its column function, text -> array of (item_id, score, start, end), words from start to before end, and what it has sent out."""
     texts, sc = small_batches(docs).select(docs[text_col].cast("string").alias("text")), docs.sparkSession.sparkContext
     for shards in batched(_shards(benchmark, item_col, item_text_col, shard_words), TOGETHER):
         vocabulary = np.unique(np.concatenate([items.vocabulary for items in shards]))
         counts, total, n = _word_counts(texts, vocabulary)
         for items in shards:
             own = counts[np.searchsorted(vocabulary, items.vocabulary)]
-            yield _search(sc.broadcast((items, items.index(own, total, ngram, chance, n), min_score)))
+            shared = sc.broadcast((items, items.index(own, total, ngram, chance, n), min_score))
+            yield _search(shared), shared
 
 
 def _each(docs: DataFrame, searches, row) -> DataFrame:
-    """The rows that ``row`` makes of each search. One shard's stay lazy; of several, each shard's are written before the next is built."""
+    """The rows that ``row`` makes of each search. One shard's stay lazy; of several, each shard's are written, and the shard freed, before the next is built."""
+
+    def written(search) -> DataFrame:
+        find, shared = search
+        rows = stored(row(find))
+        shared.destroy()
+        return rows
+
     first = next(searches, None)
     if first is None:
         return row(lambda text: F.array().cast(_FOUND))
     second = next(searches, None)
     if second is None:
-        return row(first)
-    out = stored(row(first)).unionByName(stored(row(second)))
+        return row(first[0])
+    out = written(first).unionByName(written(second))
     for search in searches:
-        out = out.unionByName(stored(row(search)))
+        out = out.unionByName(written(search))
     return out
 
 
@@ -264,7 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         return docs
     second = next(searches, None)
     if second is None:
-        return docs.where(F.size(first(text)) == 0)
+        return docs.where(F.size(first[0](text)) == 0)
     digest = F.sha2(text_or_empty(docs[text_col]), 256)
     hit = lambda search: docs.where(F.size(search(text)) > 0).select(digest.alias("__digest"))
     found = _each(docs, chain((first, second), searches), hit).distinct()
