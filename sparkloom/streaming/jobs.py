@@ -1,4 +1,7 @@
-"""Streaming forms: store sync, arrival of files, status edges, conversation memory."""
+"""Streaming forms: store sync, arrival of files, status edges, conversation memory and summaries.
+
+Operators that keep state of their own ask for the RocksDB provider in ``spark.sql.streaming.stateStore.providerClass``.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sparkloom.operators import keytree
+from sparkloom.operators.context import SUMMARY_PROMPT
 from sparkloom.operators.keytree import KeyTree
 from sparkloom.operators.store import SENT, ChunkStore
 from sparkloom.runtime import cut
+from sparkloom.schema import Settings
 
 
 def sync_into(changes: DataFrame, store: ChunkStore, checkpoint: str, every: str | None = None, order: str | None = None, deleted: str | None = None) -> StreamingQuery:
@@ -129,6 +134,54 @@ def conversation_memory(turns: DataFrame, max_turns: int) -> DataFrame:
     return turns.groupBy("conv_id").transformWithStateInPandas(_memory(2 * max_turns), "conv_id long, n_messages long, first_turn long, last_turn long", "Update", "None")
 
 
+def _summaries(summarise: Callable[[str], str], every: int, cut: int):
+    class Summaries(StatefulProcessor):
+        """A conversation's last messages, how many messages and replies it has had, and its summary."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.recent = handle.getListState("recent", "line string")
+            self.counts = handle.getValueState("counts", "seen long, replies long")
+            self.summary = handle.getValueState("summary", "turn long, text string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            recent = [r[0] for r in self.recent.get()]
+            seen, replies = tuple(self.counts.get()) if self.counts.exists() else (0, 0)
+            found = None
+            for r in pd.concat(list(rows)).sort_values("turn").itertuples():
+                recent = [*recent, f"{(r.role or '').upper()}: {(r.text or '')[:cut]}"][-2 * every :]
+                seen += 1
+                if r.role != "assistant":
+                    continue
+                replies += 1
+                if replies % every == 0 and seen >= 4:
+                    try:
+                        found = (int(r.turn), summarise(SUMMARY_PROMPT + "\n".join(recent)).strip())
+                    except Exception as x:  # the summary before stays
+                        print(f"summary of {key[0]} failed: {x}")
+            self.recent.put([(line,) for line in recent])
+            self.counts.update((seen, replies))
+            if found:
+                self.summary.update(found)
+            if self.summary.exists():
+                turn, text = self.summary.get()
+                yield pd.DataFrame({"conv_id": [key[0]], "turn": [turn], "summary": [text]})
+
+        def close(self) -> None:
+            pass
+
+    return Summaries()
+
+
+def kept_summaries(turns: DataFrame, summarise: Callable[[str], str], every: int = Settings.summary_every, cut: int = 200) -> DataFrame:
+    """(conv_id, turn, summary) of each conversation that a batch of (conv_id, turn, role, text) touches, once it has a summary.
+
+    As ``context.rolling_summary``, with the messages, counts and summary kept between batches: a summary is due at every ``every``-th reply
+    with four messages or more, is made of the last ``2 * every`` messages, and stays until the next one; one that fails leaves the last in place.
+    ``summarise`` runs in the workers. Null roles and texts count as empty; messages of a batch are taken by turn, batches as they come.
+    """
+    return turns.groupBy("conv_id").transformWithStateInPandas(_summaries(summarise, every, cut), "conv_id long, turn long, summary string", "Update", "None")
+
+
 def arrivals(spark, folder: str, schema: str, name_column: str = "file") -> DataFrame:
     """A stream over files as they land, with the name of each."""
     return spark.readStream.schema(schema).parquet(folder).withColumn(name_column, F.element_at(F.split(F.input_file_name(), "/"), -1))

@@ -416,6 +416,32 @@ def test_streaming_sync_and_edges(spark, tmp_path):
     assert [tuple(r) for r in spark.table("memory_out").collect()] == [(1, 4, 5, 8)]
 
 
+def test_summaries_are_kept_between_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, talk = "conv_id long, turn long, role string, text string", str(tmp_path / "talk")
+
+    def summarise(prompt):
+        if "fail" in prompt.splitlines()[-1]:
+            raise ValueError("no model")
+        lines = prompt.split("\n\n", 1)[1].splitlines()
+        return f" {len(lines)} {lines[0]} {lines[-1]} "
+
+    def run(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(talk)
+        stream = jobs.kept_summaries(spark.readStream.schema(schema).parquet(talk), summarise, every=2, cut=5)
+        out = str(tmp_path / name)
+        q = stream.writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.schema("conv_id long, turn long, summary string").parquet(out).collect())
+
+    say = lambda c, t, text=None: (c, t, "user" if t % 2 == 0 else "assistant", text or f"m{t}")
+    assert run([say(1, 0, "longer than five"), say(1, 1), say(1, 2), say(2, 0), say(2, 1)], "sum0") == []  # nothing is due
+    assert run([say(1, 3)], "sum1") == [(1, 3, "4 USER: longe ASSISTANT: m3")]  # three of the messages come from the state
+    assert run([say(1, 4), say(1, 5), (2, 2, None, None)], "sum2") == [(1, 3, "4 USER: longe ASSISTANT: m3")]  # kept
+    assert run([say(1, 6), say(1, 7, "fail"), say(2, 3)], "sum3") == [(1, 3, "4 USER: longe ASSISTANT: m3"), (2, 3, "4 USER: m0 ASSISTANT: m3")]
+    assert run([say(1, k) for k in range(8, 12)], "sum4") == [(1, 11, "4 USER: m8 ASSISTANT: m11")]
+
+
 def test_hybrid_threshold_and_pins(spark):
     rng = np.random.default_rng(5)
     rows = [(k, f"s{k % 2}", f"term{k % 5} term{k % 7} common{k}", rng.normal(size=4).tolist()) for k in range(40)]
