@@ -668,10 +668,11 @@ def brute_rates(sizes, goal):
     return [rate(lo, s) for s in sizes]
 
 
-@pytest.mark.parametrize("bins", [mixing.BIN, 3])
-def test_mixing_is_brute_force(spark, documents, monkeypatch, bins):
+@pytest.mark.parametrize(("bins", "held"), [(mixing.BIN, mixing.HELD), (3, 0)])
+def test_mixing_is_brute_force(spark, documents, monkeypatch, bins, held):
     """Targets and rates by plain Python; whole copies next to the rate, and one document a source that takes what is off."""
     monkeypatch.setattr(mixing, "BIN", bins)
+    monkeypatch.setattr(mixing, "HELD", held)
     rows = [(r.doc_id, r.text, r.source) for r in documents.collect()]
     rows += [(1000 + k, "w " * (k + 1), None if k % 2 else "tiny") for k in range(20)] + [(2000, None, "empty"), (2001, "", "empty"), (None, "a b", "src0"), (5, "a b c", "src0"), (None, "c d", "src0")]
     rows += [(3000 + k, "same size here", "even") for k in range(50)] + [(4000, "long " * 3000, "few"), (4001, "short", "few")]
@@ -698,6 +699,18 @@ def test_mixing_is_brute_force(spark, documents, monkeypatch, bins):
     assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("bands", [mixing.BANDS, 0.1])
+def test_mixing_level_of_many_sources(spark, monkeypatch, bands):
+    """Sources of all sizes and of equal ones: the targets of plain Python, whatever the bands."""
+    monkeypatch.setattr(mixing, "BANDS", bands)
+    rng = np.random.default_rng(8)
+    for spread in (0.1, 3.0):
+        sizes = {f"s{k:03}": int(v) for k, v in enumerate(rng.lognormal(6, spread, 300))} | {f"t{k}": 50 for k in range(40)} | {"zero": 0, None: 9}
+        found, count = mixing.targets(spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, size long, n long"))
+        goal = brute_targets(sizes)
+        assert count == len(sizes) and all(abs(r["target"] - goal[r["source"]]) < 1e-6 for r in found.collect())
+
+
 def test_mixing_odd_tables(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string").selectExpr("*", "1 AS mix_size", "2 AS `x.y`")
     assert mixing.mix(df.limit(0)).count() == 0
