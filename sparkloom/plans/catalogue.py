@@ -17,7 +17,7 @@ from sparkloom.functions.vectors import cosine, norm, normalize
 from sparkloom.operators import cells, chunking, context, ingest, keytree, postings, retrieval, ruled, store, sync, tables
 from sparkloom.runtime import new_folder, stamp, table
 from sparkloom.schema import Settings, canonical
-from sparkloom.sources import blocks
+from sparkloom.sources import blocks, events
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -706,6 +706,19 @@ def url_filename_map(spark, sf_dir):
     return sync.url_filenames(p)
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def event_log(spark, sf_dir):
+    """Events written as a log of server events, and read back by a stream that runs until it has caught up."""
+    events.register(spark)
+    log, out, state = (new_folder(spark, name) for name in ("event-log", "event-rows", "event-state"))
+    line = F.concat(F.lit("data: "), F.to_json(F.struct("event_id", "user_id", "event_type", "value")))
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(log)
+    parsed = blocks.server_events(spark.readStream.format("event_lines").load(log), "event_id long, user_id long, event_type string, value double")
+    run = parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(out)
+
+
 @query("SELECT DISTINCT source AS filename, 'http://files/' || source AS url FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr') AND source NOT IN ('src1', 'src4')")
 def manifest_join(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -199,9 +199,16 @@ def excel_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def server_events(lines: DataFrame, schema: str) -> DataFrame:
-    """``data: {json}`` lines of an event stream as rows; malformed lines are left out."""
-    parsed = lines.where(F.col("value").startswith("data: ")).select(F.from_json(F.substring("value", 7, 1 << 30), schema).alias("e"))
-    return parsed.where("e is not null").select("e.*")
+    """``data: {json}`` lines of an event stream as rows; lines whose data is no whole JSON object are left out.
+
+    A field that an object lacks, or has of another type, is null.
+    """
+    data = stripped(F.substring("value", 7, (1 << 31) - 1))
+    found = lines.where(F.col("value").startswith("data: ")).select(data.alias("data"))
+    # JSON functions stop at the end of a value: what follows it shows inside a list and inside an object.
+    one = (F.json_array_length(F.concat(F.lit("["), "data", F.lit("]"))) == 1) & F.json_object_keys(F.concat(F.lit('{"v":'), "data", F.lit("}"))).isNotNull()
+    found = found.where(one & F.json_object_keys("data").isNotNull())
+    return found.select(F.from_json("data", schema).alias("e")).select("e.*")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
