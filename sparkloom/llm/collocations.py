@@ -4,9 +4,11 @@ Texts are split into pieces and words. Lead-window columns ``w1 .. wk`` hold eac
 with empty strings, and equal windows are counted as they are. A phrase's count is the sum over the windows that begin with it, so one
 ROLLUP over the columns gives the counts of all shorter phrases; no shorter n-gram is made by itself.
 
-Two-column windows come first: their marginal sums are the counts of words and pairs. A pair under the bar can't be inside a
-candidate, so the longest windows are cut (padded) where such a pair would follow, which keeps every count at or over the bar exact
-and leaves few windows to count. Counting is by partial sums in each task, so that a hot word, pair or language is one row a task.
+Hashes of pairs of neighbouring words come first, then those of three words whose pairs both pass. A pair or three words under the bar
+can't be inside a candidate, so the longest windows are cut (padded) where such would follow, which keeps every count at or over the bar
+exact and leaves few windows to count. The hashes that occur often enough go to all tasks as bit tables of bounded size; one that they
+wrongly let pass only leaves a window longer than it need be, so windows themselves never meet a table of pairs by a shuffle. Counting is by
+partial sums in each task, so that a hot word, pair or language is one row a task.
 
 A candidate is a phrase of 2 to ``longest`` words that occurs ``least`` times or more. Each cut in two gives floor(1000 a n / (l r)),
 in decimals of 38 digits; the lowest counts. Candidates inside a longer one that occurs ``share`` percent as often or more are dropped.
@@ -18,56 +20,138 @@ Counts up to 10^15 are exact (1000 a n stays under 10^38).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.runtime import stored
 
-from .common import BROADCAST_ROWS, join_counted, lower_ascii, pick, text_or_empty
+from .common import BROADCAST_ROWS, LOWER, UPPER, join_counted, pick, small_batches, text_or_empty
 
 LEAST, LONGEST, SHARE, TOP = 100, 5, 100, 2000
-PIECES, SPACES = r"[.,;:!?\x0A-\x0D]", r"[ \x09]+"
+#: What parts pieces, and words within them.
+PIECES, SPACES = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Parts in which a language's phrases are ranked before the best of each meet.
 PARTS = 64
 
 
-def windows(df: DataFrame, k: int) -> DataFrame:
-    """(lang, w1 .. wk): each word of each piece and those that follow, padded with empty strings."""
-    pieces = df.select("lang", F.explode(F.split(lower_ascii(text_or_empty(F.col("text"))), PIECES)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", SPACES), lambda w: w != "").alias("w"))
-    each = words.select("lang", "w", F.posexplode("w").alias("i", "w1"))
-    return each.select("lang", "w1", *[F.coalesce(F.get("w", F.col("i") + j), F.lit("")).alias(f"w{j + 1}") for j in range(1, k)])
-
-
-def _cut(rows: DataFrame, pairs: DataFrame, k: int, n_pairs: int) -> DataFrame:
-    """Windows that begin with one of ``pairs``, padded from the first neighbours on that are none."""
-    names = [f"w{j}" for j in range(1, k + 1)]
-    for j in range(1, k):
-        key = ["lang", f"w{j}", f"w{j + 1}"]
-        here = pairs.select("lang", F.col("w1").alias(key[1]), F.col("w2").alias(key[2]), F.lit(True).alias("__in"), "n")
-        how = "inner" if j == 1 else "left"
-        if n_pairs <= BROADCAST_ROWS:
-            rows = rows.join(F.broadcast(here.drop("n")), key, how)
-        else:
-            # The pairs of many rows are sent, the others meet their windows by a shuffle; padding meets nothing.
-            open_ = rows.where(F.col(key[2]) != "").withColumn("__key", F.struct(*key))
-            found = join_counted(open_, here.select(F.struct(*key).alias("__key"), "__in", "n"), "__key", "n", how)
-            rows = found.unionByName(rows.where(F.col(key[2]) == ""), allowMissingColumns=True) if j > 1 else found
-        kept = F.col("__in").isNotNull()
-        rows = rows.select("lang", *names[:j], *[F.when(kept, F.col(w)).otherwise("").alias(w) for w in names[j:]])
-    return rows
+#: Bits of a table for each hash, bits that a hash sets in its word of 64, and such words at most (32 MB, for 17 million hashes;
+#: with more of them, more windows than need be stay long). Tables are made for phrases of 2 to SIFTED words.
+BITS, SET, MOST_WORDS, SIFTED = 16, 4, 1 << 22, 3
+
+
+def pieces(df: DataFrame) -> DataFrame:
+    """(lang, w): the words of each piece that has any."""
+    plain = F.translate(text_or_empty(F.col("text")), UPPER + PIECES + SPACES, LOWER + "\n" * len(PIECES) + " " * len(SPACES))
+    cut = df.select("lang", F.explode(F.split(plain, "\n")).alias("piece"))
+    return cut.select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+
+
+def _pairs(w: Column) -> Column:
+    """The hash of each word and the next one in the piece, with the language."""
+    n = F.size(w) - 1
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64("lang", a, b))
+
+
+def _bit_table(hashes: DataFrame) -> np.ndarray:
+    """The bits of the column ``h``, put together in tasks: word ``h mod size`` of a power of two, SET bits by the upper bits of ``h``."""
+    size = 64
+    n = hashes.count()
+    while size * 64 < n * BITS and size < MOST_WORDS:
+        size *= 2
+    bits = F.lit(0).cast("long")
+    for j in range(SET):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 64 - 6 * (j + 1)).bitwiseAND(F.lit(63)).cast("int")))
+    words = hashes.groupBy(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at")).agg(F.bit_or(bits).alias("bits")).toArrow()  # MOST_WORDS rows at most
+    table = np.zeros(size, dtype=np.int64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return table
+
+
+def _sift(lists: pa.Array, tables: list[np.ndarray]):
+    """Of lists of pair hashes: offsets, where lists end, and for phrases of each length from 2 to one over the tables' own (hashes, which are held).
+
+    A phrase beyond the last table is held if its two parts of one word less are.
+    """
+    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    ends = np.zeros(len(h) + 1, dtype=bool)
+    ends[offsets] = True
+    held, levels = np.ones(len(h), dtype=bool), []
+    for table in [*tables, None]:
+        if table is not None:
+            word = table[(h & np.uint64(len(table) - 1)).astype(np.int64)].view(np.uint64)
+            for j in range(SET):
+                held = held & ((word >> ((h >> np.uint64(64 - 6 * (j + 1))) & np.uint64(63))) & np.uint64(1) == 1)
+        levels.append((h, held))
+        after = np.append(h[1:], np.uint64(0))[: len(h)]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + after
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(29))
+        held = held & np.append(held[1:], False)[: len(held)] & ~ends[1:]
+    return offsets, ends, levels
+
+
+def _next_hashes(rows: DataFrame, tables: list[np.ndarray]) -> Column:
+    """From the pair hashes ``h``: the hashes of the phrases one word longer than the tables' last whose parts are held."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<long>")
+    def longer(lists: pa.Array) -> pa.Array:
+        offsets, _, levels = _sift(lists, shared.value)
+        h, held = levels[-1]
+        places = np.concatenate([[0], np.cumsum(held)])[offsets].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(places), pa.array(h[held].view(np.int64)))
+
+    return longer(F.col("h"))
+
+
+def _followers(rows: DataFrame, tables: list[np.ndarray], k: int) -> Column:
+    """From the pair hashes ``h``: how many words may follow each first one, up to ``k - 1``."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<int>")
+    def follow(lists: pa.Array) -> pa.Array:
+        offsets, ends, levels = _sift(lists, shared.value)
+        held = [x for _, x in levels[: len(shared.value)]]
+        most = len(held)
+        more = sum(x.astype(np.int32) for x in held)
+        for _ in range(k - 1 - most):
+            after = np.where(ends[1:], 0, np.append(more[1:], np.int32(0))[: len(more)])
+            more = np.where(held[-1] & (after >= most), 1 + after, more).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.minimum(more, k - 1).astype(np.int32)))
+
+    return follow(F.col("h"))
+
+
+def hashed_pairs(rows: DataFrame) -> DataFrame:
+    """(lang, w, h) of the pieces of several words, with the hashes of their pairs."""
+    return small_batches(rows.where(F.size("w") > 1)).withColumn("h", _pairs(F.col("w")))
+
+
+def cut_windows(rows: DataFrame, tables: list[np.ndarray], k: int) -> DataFrame:
+    """(lang, w1 .. wk): each word and those that follow in its piece for as long as the tables hold what they make, padded with empty strings."""
+    each = hashed_pairs(rows).select("lang", "w", F.posexplode(_followers(rows, tables, k)).alias("i", "more")).where("more > 0")
+    word = lambda j: F.get("w", F.col("i") + j)
+    return each.select("lang", word(0).alias("w1"), *[F.when(F.col("more") >= j, word(j)).otherwise("").alias(f"w{j + 1}") for j in range(1, k)])
 
 
 def phrase_counts(df: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, n), (lang, words, phrase, f)): words of each language, and its phrases of up to ``longest`` words found ``least`` times or more."""
     rows = pick(df, lang=lang_col, text=text_col).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("und")))
-    levels = windows(rows, 2).rollup("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    levels = stored(levels.where((F.col("g") == 3) | ((F.col("n") >= least) & F.when(F.col("g") == 0, F.col("w2") != "").otherwise(F.col("g") == 1))))
-    sizes = levels.where("g = 3").select("lang", "n")
-    single = levels.where("g = 1").select("lang", F.lit(1).alias("words"), F.col("w1").alias("phrase"), F.col("n").alias("f"))
-    pairs = levels.where("g = 0").select("lang", "w1", "w2", "n")
+    each = pieces(rows)
+    counted = each.select("lang", F.explode("w").alias("w1")).groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("n"))
+    levels = counted.rollup("lang", "w1").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    levels = stored(levels.where((F.col("g") == 1) | ((F.col("n") >= least) & (F.col("g") == 0))))
+    sizes = levels.where("g = 1").select("lang", "n")
+    single = levels.where("g = 0").select("lang", F.lit(1).alias("words"), F.col("w1").alias("phrase"), F.col("n").alias("f"))
+    tables: list[np.ndarray] = []
+    for _ in range(2, min(SIFTED, longest) + 1):
+        found = hashed_pairs(each).select(F.explode(_next_hashes(each, tables) if tables else F.col("h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        tables.append(_bit_table(stored(found.where(F.col("n") >= least).select("h"))))
     names = [f"w{j}" for j in range(1, longest + 1)]
-    whole = _cut(windows(rows, longest), pairs, longest, pairs.count()).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
+    whole = cut_windows(each, tables, longest).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
     summed = whole.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
     # A level of j words leaves the last longest - j columns out; a window that ends before is counted by a shorter level.
     words = sum((F.when(F.col("g") == (1 << (longest - j)) - 1, j).otherwise(0) for j in range(2, longest + 1)), F.lit(0))

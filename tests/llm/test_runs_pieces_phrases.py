@@ -267,3 +267,26 @@ def test_collocations_odd_tables(spark):
     assert [(r["phrase"], r["a"]) for r in collocations.collocations(long, longest=2).orderBy("rank").collect()] == [("a b", 100_000), ("b a", 99_999)]
     with pytest.raises(ValueError):
         collocations.collocations(df, longest=1)
+
+
+def test_collocation_windows_meet_no_table_of_pairs(spark, monkeypatch):
+    """However many pairs there are, windows are cut where they are made; a full bit table lets more of them pass and changes no count."""
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    rng = random.Random(5)
+    docs = [(" ".join(rng.choice(["a", "b", "c", "d.", f"x{rng.randrange(50)}"]) for _ in range(60)), rng.choice(["en", "fr"])) for _ in range(30)]
+    df = frame(spark, [d[0] for d in docs], langs=[d[1] for d in docs])
+    joined = []
+    plain = collocations.join_counted
+    monkeypatch.setattr(collocations, "join_counted", lambda rows, *more: joined.append(rows.columns) or plain(rows, *more))
+    counts = [sorted(map(tuple, collocations.phrase_counts(df, 4)[1].collect()))]
+    assert not joined and any(words > 2 for _, words, _, _ in counts[0])
+    table = collocations._bit_table
+    monkeypatch.setattr(collocations, "_bit_table", lambda hashes: np.full(64, -1))
+    counts.append(sorted(map(tuple, collocations.phrase_counts(df, 4)[1].collect())))
+    assert counts[0] == counts[1]
+    monkeypatch.setattr(collocations, "_bit_table", table)
+    for sifted in (2, 4, 5):
+        monkeypatch.setattr(collocations, "SIFTED", sifted)
+        assert sorted(map(tuple, collocations.phrase_counts(df, 4)[1].collect())) == counts[0]
+    table = np.zeros(64, dtype=np.int64)
+    assert collocations.cut_windows(collocations.pieces(df), [table], 5).count() == 0
