@@ -289,3 +289,33 @@ def test_from_files_to_hybrid_retrieval(spark, tmp_path):
     before = kb.sparse.index().n
     kb.rebuild_sparse()
     assert kb.sparse.index().n == before == 3
+
+
+def test_index_and_search_shuffle_no_rows_by_query(spark, monkeypatch):
+    """Found rows are sent to the documents, and only the k best of each query and part leave the task that scored them."""
+    monkeypatch.setattr(postings, "RANGE", 8)
+    monkeypatch.setattr(postings, "PART", 64)
+    docs = spark.range(600).selectExpr("id as doc_id", "concat_ws(' ', 'common', 'word', concat('w', id % 7), repeat('more ', cast(id % 5 as int))) as content")
+    index = postings.posting_index(docs)
+    asked = spark.createDataFrame([(k, f"common word w{k}") for k in range(7)], "query long, text string")
+    scored = []
+    plain = postings._scores
+    monkeypatch.setattr(postings, "_scores", lambda *a: scored.append(plain(*a)) or scored[-1])
+    got = sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in retrieval.search(index, asked, 3).collect())
+    assert got == sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in retrieval.search(retrieval.sparse_index(docs), asked, 3).collect())
+    for rows in scored:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "part" in rows.columns and "hashpartitioning(part" in plan and "hashpartitioning(query" not in plan
+        assert rows.groupBy("query", "doc").count().where("count > 1").count() == 0
+    found = spark.createDataFrame([(1, 5)], "query long, doc long").checkpoint()
+    plan = postings.found_rows(found, docs.withColumnRenamed("doc_id", "doc"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_ranges_of_long_documents_hold_fewer(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat('long words here ', 20) as content")
+    wide = postings.posting_index(docs)
+    monkeypatch.setattr(postings, "LONG", 120)
+    narrow = postings.posting_index(docs)
+    assert wide.blocks.select("range").distinct().count() == 1 < narrow.blocks.select("range").distinct().count()
+    assert narrow.blocks.selectExpr("sum(n)").first()[0] == wide.blocks.selectExpr("sum(n)").first()[0] == 40 * 2
