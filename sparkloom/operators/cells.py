@@ -7,6 +7,7 @@ score and order; what it can miss is a neighbour in a cell that it did not probe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkloom.operators.retrieval import Top, _blocks, _unit
+from sparkloom.operators.retrieval import ROW_BLOCK, Top, _blocks, _unit
 from sparkloom.runtime import cut, stored
 
 #: Rows that centroids are fitted on, rows of a cell as a rule, steps of the fit, and cells at most (each is a folder).
 SAMPLE, CELL, STEPS, MOST = 20_000, 200, 12, 4096
-#: Rows that one task scores together; a larger cell is dealt over several.
+#: Rows of one file of a cell; a larger cell is dealt over several.
 PART = 50_000
 
 
@@ -78,6 +79,7 @@ def cell_knn(index: Cells, queries: DataFrame, k: int, probes: int = 8, where: C
     """(query, doc, score, rank): the k best rows, by exact cosine, of the ``probes`` cells nearest to each query.
 
     ``where`` may use ``doc`` and ``cell``. Queries go out in blocks, as in the exact search; a block opens the folders of its cells only.
+    A task keeps the k best rows a query over all of its cells, so that what it holds and passes on grows with neither cells nor rows.
     """
     spark = queries.sparkSession
     schema = StructType([StructField("query", queries.schema["query"].dataType), StructField("doc", index.rows.schema["doc"].dataType), StructField("score", DoubleType())])
@@ -85,11 +87,11 @@ def cell_knn(index: Cells, queries: DataFrame, k: int, probes: int = 8, where: C
     best: DataFrame | None = None
     for ids, matrix in _blocks(queries) if len(index.centroids) else ():
         near = _nearest(index.centroids, matrix, min(probes, len(index.centroids)))
-        asked = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-        shared = spark.sparkContext.broadcast((ids, matrix, asked))
+        every = near.shape[1] == len(index.centroids)
+        shared = spark.sparkContext.broadcast((ids, matrix, None if every else near.astype(np.int16)))
 
-        probed = rows.where(F.col("cell").isin(*asked))
-        part = probed.groupBy("cell", "part").applyInArrow(_scorer(shared, k, keep_self), schema)
+        probed = rows if every else rows.where(F.col("cell").isin(*map(int, np.unique(near))))
+        part = probed.select("cell", "doc", "v").mapInArrow(_scorer(shared, k, keep_self), schema)
         best = part if best is None else best.unionByName(part)
     if best is None:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
@@ -98,22 +100,31 @@ def cell_knn(index: Cells, queries: DataFrame, k: int, probes: int = 8, where: C
 
 
 def _scorer(shared, k: int, keep_self: bool):
-    """The function of one part of a cell: the k best of its rows for each query that probes the cell."""
-
-    def score(key, table):
-        ids, q, asked = shared.value
-        which = asked[int(key[0].as_py())]
-        top = Top(len(which), k)
-        place = {} if keep_self else {ids[i]: j for j, i in enumerate(which)}
-        for batch in table.select(["doc", "v"]).to_batches(max_chunksize=4096):
-            doc = np.array(batch.column(0).to_pylist(), dtype=object)
-            like = q[which] @ _unit(np.vstack(batch.column(1).to_numpy(zero_copy_only=False))).T
+    """The function of one task: the k best of its rows for each query, each row scored for the queries that probe its cell."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, near = shared.value
+        top = Top(len(ids), k)
+        place = {} if keep_self else {d: i for i, d in enumerate(ids)}
+        kind = None
+        for batch in (b.slice(at, ROW_BLOCK) for b in batches for at in range(0, b.num_rows, ROW_BLOCK)):
+            kind = batch.schema.field("doc").type
+            cell, doc = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
+            m = _unit(np.vstack(batch.column(2).to_numpy(zero_copy_only=False)))
+            if near is None:
+                like = q @ m.T
+            else:
+                like = np.full((len(ids), len(doc)), -np.inf)
+                for c in np.unique(cell):
+                    which, here = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
+                    like[np.ix_(which, here)] = q[which] @ m[here].T
             for j, d in enumerate(doc) if place else ():
                 if (i := place.get(d)) is not None:
                     like[i, j] = -np.inf
             top.offer(like, doc)
-        i, doc, found = top.ends()
-        return pa.table([pa.array([ids[which[x]] for x in i]), pa.array(doc.tolist(), table.schema.field("doc").type), pa.array(found)], ["query", "doc", "score"])
+        if kind is not None:
+            i, doc, found = top.ends()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(doc.tolist(), kind), pa.array(found)], ["query", "doc", "score"])
 
     return score
 

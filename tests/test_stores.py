@@ -319,3 +319,29 @@ def test_ranges_of_long_documents_hold_fewer(spark, monkeypatch):
     narrow = postings.posting_index(docs)
     assert wide.blocks.select("range").distinct().count() == 1 < narrow.blocks.select("range").distinct().count()
     assert narrow.blocks.selectExpr("sum(n)").first()[0] == wide.blocks.selectExpr("sum(n)").first()[0] == 40 * 2
+
+
+def test_cells_pass_on_k_rows_a_query_and_task(spark):
+    """Not k rows a query and cell: what leaves the scoring tasks follows queries and tasks alone."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(400)], "doc_id long, vector array<double>")
+    index = cells.cell_index(rows, cells=20)
+    asked = rows.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query")
+    ids, matrix = next(cells._blocks(asked))
+    shared = spark.sparkContext.broadcast((ids, matrix, None))
+    batches = index.rows.select("cell", "doc", "v").coalesce(1).toArrow().to_batches(max_chunksize=30)
+    out = list(cells._scorer(shared, 5, True)(iter(batches)))
+    assert sum(b.num_rows for b in out) == 5 * len(ids)
+    key = lambda df: sorted((r["query"], r["rank"], r["doc"]) for r in df.collect())
+    assert key(cells.cell_knn(index, asked, 5, cells.MOST)) == key(retrieval.knn(rows, asked, 5))
+    assert cells.recall(cells.cell_knn(index, asked, 5, 19), retrieval.knn(rows, asked, 5)) > 0.9
+
+
+def test_texts_are_split_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "SLICE", 10)
+    texts = pa.array(["abcd", "efgh", None, "x" * 30, "", "é" * 4, "ij", "k"])
+    parts = list(chunking.slices(texts))
+    assert parts == [(0, 3), (3, 1), (4, 3), (7, 1)]
+    assert list(chunking.slices(pa.array([], pa.string()))) == [] and list(chunking.slices(texts.slice(3))) == [(0, 1), (1, 3), (4, 1)]
