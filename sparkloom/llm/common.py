@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import cut, stored
+from sparkloom.runtime import cut, small_batches, stored  # noqa: F401
 
 #: Words are runs of anything but ASCII white space; used in Java regular expressions.
 SPACE = r"[ \x09-\x0D]+"
@@ -20,9 +20,6 @@ SENT = 1_000_000
 #: A key with more rows than this is not shuffled by.
 HOT_ROWS = 1_000
 
-#: Texts that go to a Python worker together; Spark's own 10,000 hold hundreds of MB a task where texts are long.
-BATCH_ROWS = 1_000
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,14 +37,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` unchanged; its session sends at most BATCH_ROWS rows an Arrow batch from here on (a lower setting stays)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def with_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str = "left") -> DataFrame:
     """Join a table of ``rows`` counted rows: broadcast within BROADCAST_ROWS, else a shuffled join."""
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

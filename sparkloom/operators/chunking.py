@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import filled, parent_id, stripped
+from sparkloom.runtime import small_batches
 from sparkloom.schema import Settings
 
 #: Separators of the recursive splitter, tried in this order; the last splits anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", ", ", " ", "")
 ATOMIC = ("table", "image")
+#: Bytes of texts that are Python strings at once.
+SLICE = 1 << 20
 #: Columns that say where a block stands; tables and images keep those that the blocks have.
 PLACE = ("bbox", "page_width", "page_height", "image_path")
 
@@ -92,13 +97,27 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
     return out + (_merge(small, "", size, overlap) if small else [])
 
 
+def slices(texts: pa.Array):
+    """(first, number) of texts that follow one another and hold about SLICE bytes together, or of one longer text."""
+    ends = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        yield at, to - at
+        at = to
+
+
 def splitter(strategy: str, size: int, overlap: int):
     """A column function: text -> array of chunks, by ``fixed_size`` or ``recursive``."""
     cut = {"fixed_size": split_fixed, "recursive": split_recursive}[strategy]
 
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([[c for c in cut(t, size, overlap) if c.strip()] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        # Python strings of some texts at a time; those of a whole batch would be several times its size.
+        done = [pa.array([], pa.list_(pa.string()))]
+        for at, n in slices(texts):
+            done.append(pa.array([[c for c in cut(t, size, overlap) if c.strip()] if t else [] for t in texts.slice(at, n).to_pylist()], pa.list_(pa.string())))
+        return pa.concat_arrays(done)
 
     return split
 
@@ -107,7 +126,7 @@ def chunk_documents(docs: DataFrame, strategy: str = "fixed_size", settings: Set
     """One row per chunk of (doc_id, content, type): index, total, strategy; tables and images stay whole."""
     atomic = F.col("type").isin(*ATOMIC)
     parts = F.when(atomic, F.array("content")).otherwise(splitter(strategy, settings.chunk_size, settings.chunk_overlap)(F.col("content")))
-    rows = docs.withColumn("parts", parts).withColumn("total_chunks", F.size("parts"))
+    rows = small_batches(docs).withColumn("parts", parts).withColumn("total_chunks", F.size("parts"))
     out = rows.select(*[c for c in docs.columns if c != "content"], "total_chunks", F.posexplode("parts").alias("chunk_index", "content"))
     return out.where(filled(F.col("content"))).withColumn("strategy", F.when(F.col("type").isin(*ATOMIC), "none").otherwise(strategy))
 
@@ -120,7 +139,7 @@ def chunk_hierarchical(blocks: DataFrame, settings: Settings = Settings()) -> Da
     """
     columns = ["source", "page", "type", "heading", "section_path", "content", "parent_id", "parent_content", "chunk_index", "total_chunks", "strategy"]
     text = section_groups(blocks.where(~F.col("type").isin(*ATOMIC)))
-    groups = text.groupBy("source", "grp").agg(
+    groups = small_batches(text).groupBy("source", "grp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_seq", "content"))), lambda x: x["content"]), "\n\n").alias("joined"),
         F.min_by(F.struct("page", "type", "heading", "section_path"), "block_seq").alias("m"),
     )
