@@ -137,8 +137,8 @@ class Pieces:
 
     def _stretch(self, key: str) -> bytes:
         found = self.older.get(key)
-        if found is None and len(key) > 1 and key[-2:] not in self.beside and key[-2] != " " != key[-1]:
-            # The last character (a comma, as a rule) stands apart from what is before it.
+        if found is None and 1 < len(key) <= KEPT_LENGTH and key[-2:] not in self.beside and key[-2] != " " != key[-1]:
+            # The last character (a comma, as a rule) stands apart from what is before it. Longer stretches, which are not kept, are read in one pass.
             tail = self.tails.get(key[-1])
             if tail is None:
                 tail = self.tails[key[-1]] = self._bytes(key[-1])

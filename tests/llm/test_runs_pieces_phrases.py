@@ -182,6 +182,13 @@ def test_pieces_of_very_long_texts(library):
         assert time.perf_counter() - began < 20 and ids == library.encode(text) and own.decode(ids) == text
 
 
+def test_pieces_that_stand_apart(library):
+    own = sentence_pieces.Pieces(open(MODEL, "rb").read())
+    for n in (1, 2, 63, 64, 65, 66, 1500):
+        for text in ("日" * n, "本日" * n, "ab" + "日" * n, "日" * n + ",", "a " + "本" * n + " b"):
+            assert np.frombuffer(own.encode(text), dtype=np.int32).tolist() == library.encode(text)
+
+
 def test_sentence_pieces_query_is_the_library(spark, tmp_path, library, small):
     rng = random.Random(3)
     texts = [None, "", " ", "a", "▁a", "\U0001f600 x"] + [odd_text(rng, ["the", "▁of", "ing"]) for _ in range(50)]
