@@ -6,7 +6,8 @@ the like are cut by element, role or class. Each paragraph then gives points for
 are discounted by the share of its text that lies in links, and the best container is kept with those siblings that score well
 or read like text beside it. Where the best container lies in an article or main element, that is kept instead, whole.
 The kept blocks are the text, in page order. An element that is cut for a word of its class or id only is let back in, before anything is scored,
-if it holds most of the page's text that is not cut otherwise: such a word then names what the wrapper goes with, not what it is. Words that say the opposite (``has-sidebar``, ``no-comments``) are no noise. Every
+if it holds most of the page's text that is not cut otherwise: such a word then names what the wrapper goes with, not what it is. It stays cut, however much it holds,
+where an article or main element with text lies outside of it. Words that say the opposite (``has-sidebar``, ``no-comments``) are no noise. Every
 step is linear in the page.
 
 White space inside a block becomes one space, blocks are joined by an empty line, and character references are decoded.
@@ -56,11 +57,11 @@ _READS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "named", "score", "inside", "total", "linked")
+    __slots__ = ("tag", "parent", "children", "cut", "named", "score", "inside", "total", "linked", "article")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
         self.tag, self.parent, self.cut, self.named = tag, parent, cut, named  # named: cut for its class or id only
-        self.total = self.linked = 0
+        self.total = self.linked = self.article = 0
         self.children: list[Node | str] = []
         self.score = 0.0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
@@ -157,7 +158,7 @@ def _every(root: Node) -> Iterator[Node]:
 
 
 def _measure(root: Node) -> None:
-    """Characters below every node, and those in links, from the leaves up."""
+    """Characters below every node, those in links and those in article or main elements, from the leaves up."""
     nodes, stack = [], [(root, False)]
     while stack:
         x, link = stack.pop()
@@ -169,6 +170,7 @@ def _measure(root: Node) -> None:
         inner = [c for c in x.children if isinstance(c, Node) and not c.cut]
         x.total = own + sum(c.total for c in inner)
         x.linked = own * link + sum(c.linked for c in inner)
+        x.article = x.total if x.tag in ("article", "main") else sum(c.article for c in inner)
 
 
 def _density(node: Node) -> float:
@@ -277,7 +279,7 @@ def extract(page: str | None) -> str:
             n.cut = False
         _measure(root)
         for n in named:
-            n.cut = not n.total or n.total < MOST * root.total
+            n.cut = not n.total or n.total < MOST * root.total or not n.inside and n.article < root.article
     _measure(root)
     best = _best(root)
     return "\n\n".join(blocks(_kept(best))) if best else ""

@@ -551,6 +551,15 @@ def test_html_of_sample_pages(spark, small):
         assert html_extract.extract(r["html"]) == "\n\n".join(p for p in parts if p)
 
 
+def test_html_advert_longer_than_the_article():
+    ad, article = '<div class="ad">A long advert, longer than all the rest.</div>', "<article><h1>Title</h1><p>Text.</article>"
+    for page in (ad + article, article + ad, f"<body>{ad}<div>{article}</div></body>", ad + article.replace("article", "main")):
+        assert html_extract.extract(page) == "Title\n\nText."
+    # A wrapper around the article, or one of a page whose article has no text, is still let back in.
+    assert html_extract.extract(f'<div class="promo">{article}</div>') == "Title\n\nText."
+    assert html_extract.extract('<div class="promo"><p>Only text.</p></div><article></article>') == "Only text."
+
+
 # --- 7: SimHash
 
 
