@@ -297,3 +297,17 @@ def test_collocation_windows_meet_no_table_of_pairs(spark, monkeypatch):
         assert sorted(map(tuple, collocations.phrase_counts(df, 4)[1].collect())) == counts[0]
     table = np.zeros(64, dtype=np.int64)
     assert collocations.cut_windows(collocations.pieces(df), [table], 5).count() == 0
+
+
+def test_collocation_texts_are_split_as_arrays(spark, monkeypatch):
+    """Words, hashes and counts don't depend on how texts are sliced or hashes are sorted and grouped."""
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 10**6)
+    rng, docs = random.Random(8), [("A" * 300 + " b." + "A" * 300 + " b", None), ("\tA  b\r\x0cA b", "fr"), ("É\u00a0b É\u00a0b", "fr"), ("...", "en"), ("İK a", "en"), ("", "en"), (None, "en")]
+    docs += [(" ".join(rng.choice(["a", "B", "c.", "É", "日本", "x"]) for _ in range(rng.randrange(50))), rng.choice(["en", "fr", None])) for _ in range(40)]
+    df, want = frame(spark, [d[0] for d in docs], langs=[d[1] for d in docs]), brute_phrases(docs, 2, 5, 100, 2000)
+    for slice_, held, group in ((1, 1, 1), (100, 50, 64), (1 << 22, 1 << 22, 1 << 21)):
+        for name, value in (("SLICE", slice_), ("HELD", held), ("GROUP", group)):
+            monkeypatch.setattr(collocations, name, value)
+        assert sorted(map(tuple, collocations.collocations(df, 2).collect())) == want
+    plan = collocations.frequent_hashes(collocations.pieces(df), [], 2, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "translate" not in plan  # no row for each pair, and texts are not rebuilt by Spark's translate
