@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,35 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", F.md5(F.concat_ws("|", *parts).cast("binary")))
 
 
+class Names(Sequence):
+    """The names in a table's column ``source``, sorted, as a list that is read to the driver only when somebody looks at it."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    @cached_property
+    def held(self) -> list[str]:
+        return sorted(r[0] for r in self.rows.select("source").collect())
+
+    def __getitem__(self, at):
+        return self.held[at]
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Sequence) and self.held == list(other)
+
+    __hash__ = None
+
+    def __repr__(self) -> str:
+        return repr(self.held) if "held" in self.__dict__ else "Names(not read)"
+
+
 @dataclass(frozen=True)
 class Summary:
-    files_indexed: list[str]
-    skipped: list[str]
+    files_indexed: Sequence[str]
+    skipped: Sequence[str]
     total_chunks: int
     total_parents: int
 
@@ -75,7 +101,8 @@ class KnowledgeBase:
         """Index a batch: files (seq, source, content), their blocks by any loader, and (source, url) where they were put.
 
         A file that is there already is replaced, whatever its bytes; of equal files in the batch, the first counts and the others are
-        skipped, as are files without blocks. Names of files are read to the driver, a batch's worth; chunks never are.
+        skipped, as are files without blocks. Neither names of files nor chunks pass through the driver; the summary's names are read when
+        looked at.
         Each of the three parts changes once. If a run dies between them, ingesting the batch again puts all three right, as
         it replaces whatever is there; ``rebuild_sparse`` does so for the index alone.
         """
@@ -83,17 +110,16 @@ class KnowledgeBase:
         first = seen.where("not duplicate").select("source", "sha256")
         own = stored(blocks.where(filled(F.col("content"))).join(first.select("source"), "source", "left_semi"))
         good = cut(first.join(own.select("source").distinct(), "source", "left_semi").dropDuplicates(["source"]))
-        names = sorted(r[0] for r in good.select("source").collect())
-        skipped = sorted([r["source"] for r in seen.where("duplicate").collect()] + [r["source"] for r in first.join(good, "source", "left_anti").collect()])
+        skipped = seen.where("duplicate").select("source").unionByName(first.join(good, "source", "left_anti").select("source"))
         parts = chunking.chunk_hierarchical(own, self.settings)
         if urls is not None:
             parts = parts.join(urls.select("source", F.col("url").alias("source_url")), "source", "left").withColumn("source_url", F.coalesce("source_url", F.lit("")))
         rows = stored(embed_chunks(with_ids(canonical(parts)), self.embed))
-        held = sorted({r[0] for r in seen.select("source").distinct().collect()})
+        held = cut(seen.select("source").distinct())
         self.chunks.replace_sources(held, rows)
         self.sparse.replace_sources(held, rows)
         self.registry.replace_sources(held, good)
-        return Summary(names, skipped, rows.count(), rows.select("parent_id").distinct().count())
+        return Summary(Names(good), Names(skipped), rows.count(), rows.select("parent_id").distinct().count())
 
     def delete_file(self, source: str) -> tuple[int, int]:
         """Remove a file everywhere: (chunks, sparse rows) deleted. Copies of the store follow at their next sync."""

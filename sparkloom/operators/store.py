@@ -204,14 +204,22 @@ class ChunkStore:
         return folder
 
     def _change(self, new: DataFrame | None, gone: list[tuple[list[str], DataFrame | Column]]) -> int:
-        """Add ``new`` rows (written ones) and remove rows of each (files, keys or condition) in ``gone``; the number removed."""
+        """Add ``new`` rows (written ones) and remove rows of each (files, keys, sources or condition) in ``gone``; the number removed."""
         last = next(reversed(self.versions()), None)
         manifest = self.manifest(last)
         place = [F.col("__file"), F.col("__row")]
         found = None
         for files, what in gone:
+            if not files:
+                continue
             rows = self._visible(manifest, files, *place).select(*dict.fromkeys([self.key, *self.by]), *place)
-            hit = rows.where(what) if isinstance(what, Column) else rows.join(F.broadcast(what) if what.count() <= SENT else what, self.key, "left_semi")
+            if isinstance(what, Column):
+                hit = rows.where(what)
+            else:
+                of = what.columns[0]
+                small = what.select(F.col(of).alias("__of"))
+                same = F.col(of) == F.col("__of") if of == self.key else F.col(of).eqNullSafe(F.col("__of"))
+                hit = rows.join(F.broadcast(small) if what.count() <= SENT else small, same, "left_semi")
             found = hit if found is None else found.unionByName(hit).dropDuplicates(["__file", "__row"])
         found = None if found is None else cut(found.select(*self.by, *place))
         removed = found.count() if found is not None else 0
@@ -236,10 +244,17 @@ class ChunkStore:
 
     append = upsert
 
-    def replace_sources(self, sources: Iterable[str | None], rows: DataFrame) -> int:
-        """All rows of these sources go and ``rows`` come, in one change; the number that went."""
-        last, sources = stored(self._last(rows).select(*self.schema.fieldNames())), list(sources)
-        return self._change(last, [(self.files(sources), self._of(sources)), (self.files(), last.select(self.key))])
+    def replace_sources(self, sources: Iterable[str | None] | DataFrame, rows: DataFrame) -> int:
+        """All rows of these sources go and ``rows`` come, in one change; the number that went. A table with a column ``source``, as large as
+        it may be, meets the rows by a join; a list is named to the scan.
+        """
+        last = stored(self._last(rows).select(*self.schema.fieldNames()))
+        if isinstance(sources, DataFrame):
+            old = self.files(), sources.select("source").distinct()
+        else:
+            sources = list(sources)
+            old = self.files(sources), self._of(sources)
+        return self._change(last, [old, (self.files(), last.select(self.key))])
 
     def delete_by_sources(self, sources: Iterable[str | None]) -> int:
         sources = list(sources)
@@ -316,7 +331,7 @@ class SparseStore:
 
     def _write(self, rows: DataFrame, words: DataFrame, gone: DataFrame) -> str:
         folder = uuid.uuid4().hex
-        for kind, df in (("rows", rows), ("words", words), ("gone", gone.coalesce(1))):
+        for kind, df in (("rows", rows), ("words", words), ("gone", gone)):
             df.write.parquet(f"{self.path}/data/{folder}/{kind}")
         return folder
 
@@ -331,20 +346,25 @@ class SparseStore:
     def _terms(self, chunks: DataFrame) -> DataFrame:
         return stored(document_terms(chunks.withColumn(self.key, F.col(self.key).cast("string")).withColumn("source", F.coalesce("source", F.lit(""))), self.key, "content", "source"))
 
-    def _change(self, rows: DataFrame | None, sources: list[str], keep: bool = True) -> int:
+    def _change(self, rows: DataFrame | None, sources: list[str] | DataFrame, keep: bool = True) -> int:
         """Hide the sources' rows, add ``rows`` (written), in one part; without ``keep``, nothing older stays. The number hidden."""
         last = self._last()
         parts = self.parts() if keep else []
         number = int(last.split(".")[0]) + 1 if last else 0
         empty = self.spark.createDataFrame([], self.ROWS.removesuffix(", part long"))
-        gone = stored(self._visible(parts).where(F.col("source").isin(*sources)).drop("part")) if sources and parts else empty
+        gone = empty
+        if parts and isinstance(sources, DataFrame):
+            gone = stored(self._visible(parts).join(sources.select(F.coalesce("source", F.lit("")).alias("source")), "source", "left_semi").drop("part").select(*empty.columns))
+        elif parts and sources:
+            gone = stored(self._visible(parts).where(F.col("source").isin(*sources)).drop("part"))
         new = empty if rows is None else rows
         hidden, less = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         added, more = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if keep and not hidden and not added:
             return 0
         words = vocabulary(new).unionByName(vocabulary(gone).withColumn("df", -F.col("df"))).groupBy("tok").agg(F.sum("df").alias("df")).where("df <> 0")
-        names = self.spark.createDataFrame([(s, number) for s in sources] if hidden else [], self.GONE)
+        # Sources without older rows need not be named.
+        names = gone.select("source").distinct().withColumn("part", F.lit(number).cast("long")).coalesce(max(1, hidden // FILE_ROWS))
         folder = self._write(new.withColumn("part", F.lit(number).cast("long")), words, names)
         self._commit(self._merged([*parts, {"folder": folder, "number": number, "docs": added - hidden, "tokens": more - less, "held": added + hidden}]), last)
         return hidden
@@ -362,7 +382,7 @@ class SparseStore:
             number = young[-1]["number"]
             rows = self._visible(young).withColumn("part", F.lit(number).cast("long"))
             words = self._read("words", self.WORDS, young).groupBy("tok").agg(F.sum("df").alias("df")).where("df <> 0")
-            gone = self._read("gone", self.GONE, young) if old else self.spark.createDataFrame([], self.GONE)
+            gone = self._read("gone", self.GONE, young).coalesce(max(1, sum(p["held"] for p in young) // FILE_ROWS)) if old else self.spark.createDataFrame([], self.GONE).coalesce(1)
             folder = self._write(rows, words, gone)
             docs, tokens = (sum(p[k] for p in young) for k in ("docs", "tokens"))
             parts = [*old, {"folder": folder, "number": number, "docs": docs, "tokens": tokens, "held": max(self.FANOUT ** (self._tier(young[-1]) + 1), sum(p["held"] for p in young))}]
@@ -371,9 +391,9 @@ class SparseStore:
     def add(self, chunks: DataFrame) -> None:
         self._change(self._terms(chunks), [])
 
-    def replace_sources(self, sources: Iterable[str | None], chunks: DataFrame) -> int:
-        """Rows of these sources go and those of ``chunks`` come, in one change; the number that went."""
-        return self._change(self._terms(chunks), [s or "" for s in sources])
+    def replace_sources(self, sources: Iterable[str | None] | DataFrame, chunks: DataFrame) -> int:
+        """Rows of these sources (a list, or a table of any size) go and those of ``chunks`` come, in one change; the number that went."""
+        return self._change(self._terms(chunks), sources if isinstance(sources, DataFrame) else [s or "" for s in sources])
 
     def delete_by_sources(self, sources: Iterable[str | None]) -> int:
         return self._change(None, [s or "" for s in sources])

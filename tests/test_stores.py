@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.operators import cells, chunking, ingest, postings, retrieval, store, sync
@@ -291,6 +292,24 @@ def test_from_files_to_hybrid_retrieval(spark, tmp_path):
     assert kb.sparse.index().n == before == 3
 
 
+def test_ingest_names_no_file_to_the_driver(spark, tmp_path, monkeypatch):
+    """A batch's files, however many, are joined: none is a literal of a condition, and none is collected before the summary is looked at."""
+    kb = ingest.knowledge_base(spark, str(tmp_path / "kb"), ingest.hashed_embedder(8))
+    files = spark.range(40).selectExpr("id as seq", "concat('file', id) as source", "concat('text ', id % 39, ' of a file') as content")
+    named, collected, kind = [], [], type(files)
+    isin, collect = Column.isin, kind.collect
+    monkeypatch.setattr(Column, "isin", lambda self, *names: named.extend(map(str, names)) or isin(self, *names))
+    monkeypatch.setattr(kind, "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    monkeypatch.setattr(store, "SENT", 0)
+    for words in (1, 2):
+        batch = files.withColumn("content", F.expr(f"concat(content, repeat(' more', {words}))"))
+        found = kb.ingest(batch, batch.selectExpr("source", "0L as block_seq", "'text' as type", "1 as page", "'' as heading", "'' as section_path", "content"))
+        assert "file3" not in named and not any(r["source"] for rows in collected for r in rows if "source" in r)
+    assert (found.total_chunks, kb.chunks.count(), kb.sparse.index().n, kb.sparse.rows().count(), kb.registry.count()) == (39,) * 5
+    assert all(r["content"].endswith("more more") for r in kb.chunks.read().collect())
+    assert len(found.files_indexed) == 39 and found.skipped == ["file39"]
+
+
 def test_index_and_search_shuffle_no_rows_by_query(spark, monkeypatch):
     """Found rows are sent to the documents, and only the k best of each query and part leave the task that scored them."""
     monkeypatch.setattr(postings, "RANGE", 8)
